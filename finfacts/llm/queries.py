@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, neardup, pii, secrets
+from . import bpe, exact_dedup, neardup, pii, secrets, toxicity
 from ._shared import documents
 
 
@@ -14,6 +15,18 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(documents(spark, sf_dir)))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+#: The file of ranks; a parameter of the deployment.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), bpe.read_ranks(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
@@ -28,6 +41,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_toxicity": op2_toxicity,
+    "op3_bpe": op3_bpe,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_secrets": op8_secrets,
     "op9_exact_dedup": op9_exact_dedup,
