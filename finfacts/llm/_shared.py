@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have."""
     taken, name = {c.lower() for c in df.columns}, f"__{stem}"

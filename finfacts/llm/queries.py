@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, neardup, pii, secrets, toxicity
+from . import bpe, exact_dedup, mixing, neardup, pii, secrets, toxicity
 from ._shared import documents
 
 
@@ -23,8 +24,26 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def token_digests(docs: DataFrame) -> DataFrame:
+    return bpe.digests(docs, bpe.read_ranks(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(documents(spark, sf_dir), bpe.read_ranks(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
+    return token_digests(documents(spark, sf_dir))
+
+
+#: The mixture wanted: shares of tokens by domain, that is by what the labels say of quality and toxicity.
+TARGETS = {"good": 0.90, "good_toxic": 0.01, "poor": 0.08, "poor_toxic": 0.01}
+
+
+def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled table of domains."""
+    domain = F.concat(F.when(F.col("quality") == 1, "good").otherwise("poor"), F.when(F.col("toxic") == 1, "_toxic").otherwise(""))
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality is not null and toxic is not null").select("doc_id", domain.alias("domain"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(documents(spark, sf_dir), domains(spark, sf_dir), TARGETS)
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +54,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(documents(spark, sf_dir))
 
@@ -43,9 +68,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
+    "op4_mixing": op4_mixing,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_secrets": op8_secrets,
     "op9_exact_dedup": op9_exact_dedup,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
