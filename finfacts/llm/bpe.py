@@ -28,44 +28,13 @@ class RankQueue:
     def __init__(self, ranks: int) -> None:
         self.buckets: dict[int, list[int]] = {}
         self.low = [0] * ((ranks >> 6) + 1)  # words of 64 ranks
-        self.mid = [0] * ((ranks >> 12) + 1)  # words of 64 low words
-        self.top = 0  # a bit for each mid word
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        a = rank >> 6
-        if not self.low[a]:
-            b = rank >> 12
-            self.mid[b] |= 1 << (a & 63)
-            self.top |= 1 << b
-        self.low[a] |= 1 << (rank & 63)
-
-    def pop(self) -> tuple[int, int]:
-        b = (self.top & -self.top).bit_length() - 1
-        word = self.mid[b]
-        a = b << 6 | (word & -word).bit_length() - 1
-        word = self.low[a]
-        rank = a << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
-        del self.buckets[rank]
-        self.low[a] = word = word & (word - 1)
-        if not word:
-            self.mid[b] = word = self.mid[b] & (self.mid[b] - 1)
-            if not word:
-                self.top &= self.top - 1
-        return rank, bucket[0]
+        self.mid = [0] * ((ranks >> 12) + 1)  # words of 64 low words; the third level is one number, a bit for each of these
 
 
 class Encoder(dict):
     """Encodes by ranks (bytes -> rank). As a dict it keeps the ids, as text, by pre-token, and is emptied when grown."""
 
-    MOST_KEPT, LONGEST_KEPT = 700_000, 40
+    MOST_KEPT, LONGEST_KEPT = 1_000_000, 40
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         # White space as in Unicode's property, which the four separators U+001C to U+001F haven't.
@@ -75,36 +44,60 @@ class Encoder(dict):
         self.queue = RankQueue(max(ranks.values(), default=0))
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
+        """The ids of one pre-token. The queue's push and pop are written out here: calls would cost as much as the work."""
         ranks, n = self.ranks, len(piece)
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
-        queue = self.queue
-        push, pop, rank_of = queue.push, queue.pop, ranks.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # the next symbol's start, the one's before
-        filed = [rank_of(piece[i : i + 2], -1) for i in range(n - 1)]  # the rank by which a symbol's pair with its successor waits
-        filed.append(-1)
-        for i, rank in enumerate(filed):
-            if rank >= 0:
-                push(rank, i)
-        while queue.top:
-            rank, i = pop()
-            if filed[i] != rank:
-                continue
+        queue, rank_of = self.queue, ranks.get
+        buckets, low, mid, top = queue.buckets, queue.low, queue.mid, 0
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]  # the next symbol's start, the one's before
+        filed = [-1] * n  # the rank by which a symbol's pair with its successor waits
+        new = [(i, rank_of(piece[i : i + 2], -1)) for i in range(n - 1)]
+        while True:
+            for i, rank in new:
+                filed[i] = rank
+                if rank >= 0:
+                    if rank in buckets:
+                        heappush(buckets[rank], i)
+                    else:
+                        buckets[rank] = [i]
+                        a = rank >> 6
+                        if not low[a]:
+                            mid[a >> 6] |= 1 << (a & 63)
+                            top |= 1 << (a >> 6)
+                        low[a] |= 1 << (rank & 63)
+            while top:
+                b = (top & -top).bit_length() - 1
+                word = mid[b]
+                a = b << 6 | (word & -word).bit_length() - 1
+                word = low[a]
+                rank = a << 6 | (word & -word).bit_length() - 1
+                bucket = buckets[rank]
+                if len(bucket) > 1:
+                    i = heappop(bucket)
+                else:
+                    i = bucket[0]
+                    del buckets[rank]
+                    low[a] = word = word & (word - 1)
+                    if not word:
+                        mid[b] = word = mid[b] & (mid[b] - 1)
+                        if not word:
+                            top &= top - 1
+                if filed[i] == rank:
+                    break
+            else:
+                break
             j = after[i]
             k = after[i] = after[j]
             filed[j] = filed[i] = -1
+            h = before[i]
+            new = []
             if k < n:
                 before[k] = i
-                filed[i] = rank = rank_of(piece[i : after[k]], -1)
-                if rank >= 0:
-                    push(rank, i)
-            h = before[i]
+                new.append((i, rank_of(piece[i : after[k]], -1)))
             if h >= 0:
-                filed[h] = rank = rank_of(piece[h:k], -1)
-                if rank >= 0:
-                    push(rank, h)
+                new.append((h, rank_of(piece[h:k], -1)))
         ids, i = [], 0
         while i < n:
             k = after[i]
@@ -143,15 +136,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
+def _encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
+    """This worker's encoder. Python workers find this function by name, so what it keeps serves all their tasks."""
+    key = (len(ranks), max(ranks, key=ranks.get, default=b""), pattern)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(ranks, pattern)
+    return _ENCODERS[key]
+
+
 def _with_encoder(docs: DataFrame, ranks: dict[bytes, int], pattern: str, of_text, schema: str, id_column: str, text_column: str) -> DataFrame:
     """Apply of_text(encoder, text) -> tuple to each text; a worker builds the encoder once."""
     held = docs.sparkSession.sparkContext.broadcast((ranks, pattern))  # bounded by the vocabulary
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = (len(held.value[0]), max(held.value[0], key=held.value[0].get), held.value[1])
-        if key not in _ENCODERS:
-            _ENCODERS[key] = Encoder(*held.value)
-        encoder = _ENCODERS[key]
+        encoder = _encoder(*held.value)
         names = [x.split()[0] for x in schema.split(", ")]
         for pdf in batches:
             rows = [of_text(encoder, t or "") for t in pdf["text"]]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, neardup, pii, secrets, toxicity
+from . import bpe, brown_lm, exact_dedup, media, mixing, neardup, pii, secrets, toxicity, warc
 from ._shared import documents
 
 
@@ -46,14 +46,26 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(documents(spark, sf_dir), domains(spark, sf_dir), TARGETS)
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.documents_as_media(documents(spark, sf_dir))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(documents(spark, sf_dir))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,9 +81,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
+    "op5_media": op5_media,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_brown_lm": op7_brown_lm,
     "op8_secrets": op8_secrets,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_warc": op10_warc,
     "pipeline": pipeline,
 }
 
