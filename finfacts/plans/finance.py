@@ -41,6 +41,8 @@ def r(columns: dict[str, str] | list[str], digits: int = 6) -> str:
 
 
 FRAME = ["entity_id", "period_end"]
+#: Moves quotients that end in a 5 off the tie, where two engines may round apart.
+OFF_TIES = 1.00000000001
 
 
 def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,9 +303,9 @@ _V = {"ev": _EV} | {k: f"CASE WHEN quarters_in_window >= 4 THEN {x} END" for k,
     "pe_ttm": safe("market_cap", "net_income_ttm", True), "ps_ttm": safe("market_cap", "revenue_ttm"), "ev_ebitda_ttm": safe(_EV, "operating_income_ttm + dna_cf_ttm", True), "fcf_yield_ttm": safe("cfo_ttm - abs(capital_expenditures_ttm)", "market_cap")}.items()}
 
 
-@query(f"SELECT entity_id, date, {r(_V, 8)} FROM known")
+@query(f"SELECT entity_id, date, {r({k: f"({x}) * {OFF_TIES}" for k, x in _V.items()}, 6)} FROM known")
 def valuation_ratios(spark, sf_dir):
-    return _valued(spark, sf_dir).select("entity_id", "date", *rounded(metrics.valuation_ratios(), 8))
+    return _valued(spark, sf_dir).select("entity_id", "date", *rounded({k: x * OFF_TIES for k, x in metrics.valuation_ratios().items()}, 6))
 
 
 @query(f"""SELECT entity_id, count(*) AS n, round(quantile_disc(ps, 0.5), 6) AS median_ps, round(min(ps), 6) AS min_ps, round(max(ps), 6) AS max_ps, round(count(*) FILTER (WHERE ps < latest) / count(*), 6) AS below FROM (
