@@ -212,8 +212,8 @@ def transition(stored: DataFrame, fingerprints: list[str], action: str, now: Col
     if (action == "suppress") != (until is not None):
         raise ValueError("suppress, and only that, needs an end")
     hit = F.col("fingerprint").isin(fingerprints) & (F.col("status") == before)
-    out = stored.withColumns({"status": F.when(hit, after).otherwise(F.col("status")), "closed_reason": F.when(hit, action).otherwise(F.col("closed_reason")), "history": F.when(hit, F.concat("history", F.array(F.lit(action)))).otherwise(F.col("history"))})
-    return out.withColumn("suppressed_until", F.when(hit, until).otherwise(F.col("suppressed_until"))) if until is not None else out
+    new = {"status": F.lit(after), "closed_reason": F.lit(action), "history": F.concat("history", F.array(F.lit(action)))} | ({} if until is None else {"suppressed_until": until})
+    return stored.withColumns({c: F.when(hit, x).otherwise(F.col(c)) for c, x in new.items()})
 
 
 @dataclass

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,8 +11,15 @@ from pyspark.sql import types as T
 MONEY = T.DecimalType(28, 4)
 
 
+_TYPES = {"BIGINT": T.LongType(), "INT": T.IntegerType(), "STRING": T.StringType(), "DATE": T.DateType(), "TIMESTAMP": T.TimestampType(), "DOUBLE": T.DoubleType(), "BOOLEAN": T.BooleanType(), "ARRAY<STRING>": T.ArrayType(T.StringType())}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """A schema of `name TYPE` pairs; needs no session, unlike fromDDL."""
+    out = T.StructType()
+    for name, kind in re.findall(r"(\w+) ([A-Z]+(?:\([0-9,]+\)|<[A-Z]+>)?)", spec):
+        out = out.add(name, T.DecimalType(*map(int, re.findall("[0-9]+", kind))) if kind.startswith("DECIMAL") else _TYPES[kind])
+    return out
 
 
 FACTS = _struct(
