@@ -157,8 +157,9 @@ def _with_encoder(docs: DataFrame, ranks: dict[bytes, int], pattern: str, of_tex
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
-    kind = docs.select(F.col(id_column)).dtypes[0][1]
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, {schema}")
+    kind = docs.select(F.col(id_column)).dtypes[0][1]  # ids go as strings: pandas would turn integers with nulls into floats
+    told = docs.select(F.col(id_column).cast("string").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInPandas(run, f"doc_id string, {schema}")
+    return told.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
