@@ -20,13 +20,32 @@ class Tie:
     skip_missing: bool = True
 
 
-IS_TIES = [Tie("gross_profit", "gross_profit", {"revenue": 1, "cogs": -1}), Tie("pretax", "ebt_incl_unusual", {"operating_income": 1, "interest_expense": -1}), Tie("net_income", "net_income", {"ebt_incl_unusual": 1, "tax": -1})]
-BS_TIES = [Tie("debt_cover", "total_equity", {"long_term_debt": 1, "current_portion_lt_debt": 1, "short_term_investments": 1}, False), Tie("working_capital", "inventory", {"accounts_receivable": 1, "current_portion_lt_debt": 1}, False)]
-CF_TIES = [Tie("cfo", "cfo", {"net_income": 1, "dna_cf": 1, "sbc": 1, "acquisitions": 1}, False)]
+# The identities of the vendor's statements. A balance sheet's and a cash flow's missing parts are 0.
+_plus = lambda *parts: dict.fromkeys(parts, 1)
+IS_TIES = [
+    Tie("gross_profit", "gross_profit", {"revenue": 1, "cogs": -1}), Tie("operating_income", "operating_income", {"gross_profit": 1, "total_opex": -1}),
+    Tie("continuing_ops_after_tax", "continuing_ops_after_tax", {"ebt_incl_unusual": 1, "tax": -1}), Tie("net_income", "net_income", _plus("continuing_ops_after_tax", "discontinued_ops")),
+    Tie("net_income_attributable_to_parent", "net_income_attributable_to_parent", {"net_income": 1, "minority_interest": -1}),
+]
+BS_TIES = [
+    Tie("total_current_assets", "total_current_assets", _plus("cash_and_equivalents", "short_term_investments", "accounts_receivable", "other_receivables", "inventory", "prepaid_expenses", "other_current_assets"), False),
+    Tie("total_assets", "total_assets", _plus("total_current_assets", "net_ppe", "long_term_investments", "goodwill", "other_intangibles", "deferred_tax_assets_noncurrent", "other_noncurrent_assets"), False),
+    Tie("total_current_liabilities", "total_current_liabilities", _plus("accounts_payable", "accrued_expenses", "current_portion_lt_debt", "current_portion_leases_operating", "deferred_revenue_current", "other_current_liabilities"), False),
+    Tie("total_liabilities", "total_liabilities", _plus("total_current_liabilities", "long_term_debt", "long_term_leases_operating", "deferred_revenue_noncurrent", "deferred_tax_liability_noncurrent", "other_noncurrent_liabilities"), False),
+    Tie("total_liabilities_and_equity", "total_liabilities_and_equity", _plus("total_liabilities", "total_equity"), False),
+    Tie("balance", "total_assets", _plus("total_liabilities_and_equity"), False),
+]
+CF_TIES = [
+    Tie("cfo", "cfo", _plus("net_income_start", "dna_cf", "sbc", "deferred_income_tax", "other_noncash", "change_accounts_receivable", "change_inventory", "change_accounts_payable", "change_other_working_capital"), False),
+    Tie("cfi", "cfi", _plus("capital_expenditures", "acquisitions", "purchases_of_investments", "sales_of_investments", "other_investing"), False),
+    Tie("cff", "cff", _plus("short_term_debt_issuance", "long_term_debt_issuance", "stock_issuance", "stock_repurchase", "common_dividends_paid", "preferred_dividends_paid", "other_financing"), False),
+    Tie("net_change_in_cash", "net_change_in_cash", _plus("cfo", "cfi", "cff", "fx_effect_on_cash"), False),
+    Tie("cash_roll_forward", "net_change_in_cash", {"cash_end_of_period": 1, "cash_begin_of_period": -1}, False),
+]
 
 
 def broken_ties(wide: DataFrame, ties: list[Tie], keys: list[str], absolute: float = 1e6, relative: float = 0.001) -> DataFrame:
-    """A row for each tie that misses by more than max(absolute, relative of the total)."""
+    """A row for each tie that misses by more than max(absolute, relative of the larger side)."""
     def told(t: Tie) -> Column:
         zero = F.lit(0).cast("decimal(38,4)")
         total, computed = F.col(t.total).cast("decimal(38,4)"), zero
@@ -37,7 +56,7 @@ def broken_ties(wide: DataFrame, ties: list[Tie], keys: list[str], absolute: flo
 
     rows = wide.select(*keys, F.explode(F.array(*[told(t) for t in ties])).alias("x")).select(*keys, "x.*").where("expected IS NOT NULL AND computed IS NOT NULL")
     delta = F.abs(F.col("expected") - F.col("computed"))
-    rows = rows.withColumn("delta", delta).where(F.col("delta") > tolerance(F.col("expected"), absolute, relative))
+    rows = rows.withColumn("delta", delta).where(F.col("delta") > tolerance(F.greatest(F.abs("expected"), F.abs("computed")), absolute, relative))
     return rows.withColumn("severity", drift_severity(F.col("delta") / F.greatest(F.abs("expected"), F.lit(1e-9))))
 
 
