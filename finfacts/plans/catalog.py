@@ -1,7 +1,7 @@
 """All queries of the library, by name, and their SQL."""
 
-from . import documents, finance, quality, retrieval
+from . import documents, extras, finance, quality, retrieval
 
 QUERIES = dict(finance.QUERIES)  # the other modules register with it too
 ORACLES = dict(finance.ORACLES)
-assert documents and quality and retrieval
+assert documents and extras and quality and retrieval
