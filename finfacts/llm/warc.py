@@ -89,7 +89,7 @@ def candidates(data: bytes) -> list[tuple]:
         split = data.find(b"\r\n\r\n", body, end)
         http, payload = (data[body : split + 2], data[split + 4 : end]) if split >= 0 else (b"", data[body:end])
         kind, page = _field(head, b"WARC-Type"), _field(head, b"WARC-Record-ID")
-        number = lambda x: int(d[1]) if (d := re.fullmatch(r"<urn:page:(-?\d+)>", x)) else None
+        number = lambda x: d[1] if (d := re.fullmatch(r"<urn:page:(-?\d+)>", x)) else None
         if kind == "response":
             size, digest = len(payload), base32_sha1(payload)
         else:
@@ -104,7 +104,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, content in zip(pdf["path"], pdf["content"]):
             data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
             out = pd.DataFrame(candidates(data), columns=["at", "next", "page_id", "record_type", "refers_to", "payload_bytes", "payload_digest"])
-            yield out.assign(file=path).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield out.assign(file=path)
 
 
 def reachable(at: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -128,9 +128,10 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
 def read(spark, path: str) -> DataFrame:
     """page_id, record_type, refers_to, payload_bytes, payload_digest of every record under path."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    fields = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string"
+    fields = "page_id string, record_type string, refers_to string, payload_bytes long, payload_digest string"  # ids as strings: pandas would turn integers with nulls into floats
     told = files.mapInPandas(_scan, f"at long, next long, {fields}, file string")
-    return told.groupBy("file").applyInPandas(_chain, fields)
+    kept = told.groupBy("file").applyInPandas(_chain, fields)
+    return kept.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
