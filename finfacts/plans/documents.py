@@ -48,7 +48,7 @@ def turns(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", "role", F.lag("role").over(w).alias("before"), F.length("text").cast("long").alias("n"))
 
 
-@query("""SELECT conv_id, sum(CASE WHEN role = before THEN 0 ELSE 1 END) AS runs FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) GROUP BY 1""")
+@query("""SELECT conv_id, CAST(sum(CASE WHEN role = before THEN 0 ELSE 1 END) AS BIGINT) AS runs FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) GROUP BY 1""")
 def merged_turns(spark, sf_dir):
     return text.merged_turns(_turns(spark, sf_dir), "conv_id", "turn", "role", "text").groupBy("conv_id").agg(F.count("*").alias("runs"))
 
@@ -74,7 +74,7 @@ def evidence_score(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", score.alias("score")).where("score >= 12").orderBy(F.desc("score"), "doc_id").limit(40)
 
 
-@query("SELECT lang, count(*) AS n, quantile_disc(n_chars, 0.05) AS p05, quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars, 0.95) AS p95, count(*) FILTER (WHERE n_chars < 500) AS tiny FROM documents GROUP BY 1")
+@query("SELECT lang, count(*) AS n, CAST(quantile_disc(n_chars, 0.05) AS DOUBLE) AS p05, CAST(quantile_disc(n_chars, 0.5) AS DOUBLE) AS p50, CAST(quantile_disc(n_chars, 0.95) AS DOUBLE) AS p95, count(*) FILTER (WHERE n_chars < 500) AS tiny FROM documents GROUP BY 1")
 def length_percentiles(spark, sf_dir):
     return text.windowed_health(_docs(spark, sf_dir), "lang", "n_chars")
 

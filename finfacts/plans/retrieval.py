@@ -38,8 +38,8 @@ def _estimates(spark, sf_dir):
 
 
 _RANKED = f"(SELECT entity_id, v AS value, row_number() OVER (PARTITION BY entity_id ORDER BY period_end DESC) AS n FROM (SELECT *, {_GM} AS v FROM mf) WHERE v IS NOT NULL)"
-_screen("screen_latest", f"SELECT entity_id, value, 1 AS coverage FROM {_RANKED} WHERE n = 1", "gross_margin", "latest")
-_screen("screen_fiscal_quarter", f"SELECT entity_id, {_GM} AS value, 1 AS coverage FROM mf WHERE fiscal_year = 1997 AND fiscal_quarter = 2", "gross_margin", "1997-Q2", limit=10)
+_screen("screen_latest", f"SELECT entity_id, value, CAST(1 AS BIGINT) AS coverage FROM {_RANKED} WHERE n = 1", "gross_margin", "latest")
+_screen("screen_fiscal_quarter", f"SELECT entity_id, {_GM} AS value, CAST(1 AS BIGINT) AS coverage FROM mf WHERE fiscal_year = 1997 AND fiscal_quarter = 2", "gross_margin", "1997-Q2", limit=10)
 _screen("screen_window_avg", f"SELECT entity_id, avg(value) AS value, count(*) AS coverage FROM {_RANKED} WHERE n <= 8 GROUP BY 1 HAVING count(*) >= 4", "gross_margin", "last_8q_avg")
 _THIRDS = f"SELECT entity_id, avg(value) FILTER (WHERE n <= 3) AS late, avg(value) FILTER (WHERE n > 6) AS early, count(*) AS coverage FROM {_RANKED} WHERE n <= 9 GROUP BY 1 HAVING count(*) >= 8"
 _screen("screen_delta", f"SELECT entity_id, late - early AS value, coverage FROM ({_THIRDS})", "gross_margin", "last_9q", "delta")
