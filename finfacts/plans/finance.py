@@ -205,8 +205,8 @@ _metric("two_point_avg", ["avg_total_assets", "avg_total_equity"], digits=4)
 _metric("prior_year_lag", ["revenue_ttm_prior_year", "total_equity_prior_year", "shares_diluted_weighted_avg_prior_year"], digits=4)
 _metric("rd_capitalized", ["rd_amortization_q", "rd_asset_q", "rd_coverage"], digits=6)
 _metric("tax_rate_ttm", ["tax_rate_ttm"])
-_metric("adjusted_nopat", ["adjusted_oi_ttm", "adjusted_nopat_ttm", "rd_coverage_quarters"], digits=4)
-_metric("invested_capital", ["reported_ic_q", "adjusted_ic_q"], digits=4)
+_metric("adjusted_nopat", ["adjusted_oi_ttm", "adjusted_nopat_ttm", "rd_coverage_quarters"], digits=6)
+_metric("invested_capital", ["reported_ic_q", "adjusted_ic_q"], digits=6)
 _metric("roic_roiic", ["roic", "roiic", "adjusted_ic_q", "ic_prior_year"])
 
 

@@ -14,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else float(f"{v:.9g}")
+        return "nan" if math.isnan(v) else float(f"{v:.8g}")
     if isinstance(v, decimal.Decimal):
         return float(v)
     if isinstance(v, datetime.datetime):
