@@ -86,7 +86,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i, text in zip(pdf["id"], pdf["text"]):
             items = shingles(text, words)
             rows.append((i, len(items), hashlib.blake2b(items.tobytes(), digest_size=16).digest(), signature(items).tobytes() if len(items) else b""))
-        yield pd.DataFrame(rows, columns=["id", "n", "key", "sig"]).astype({"id": "Int64"})
+        yield pd.DataFrame(rows, columns=["id", "n", "key", "sig"])
 
 
 def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,9 +243,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """One row per document: doc_id, n_shingles, component_id, kept."""
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    seen = scratch.table(texts.mapInPandas(_features, "id long, n long, key binary, sig binary"), "features")
+    named = texts.withColumn("id", F.col("id").cast("string"))  # pandas would turn integers with nulls into floats
+    seen = named.mapInPandas(_features, "id string, n long, key binary, sig binary").withColumn("id", F.col("id").cast("long"))
+    seen = scratch.table(seen, "features")
     full = seen.where("n > 0 and id is not null")
-    heads = full.groupBy("key").agg(F.min("id").alias("id"))
+    heads = scratch.table(full.groupBy("key").agg(F.min("id").alias("id")), "heads")
     nodes = scratch.table(full.join(heads, ["key", "id"], "left_semi").dropDuplicates(["id", "key"]).select("id", "n", "sig"), "nodes")
     edges = _candidates(nodes.select("id", "sig"), scratch)
     classes = scratch.table(components(edges, scratch).join(nodes.select("id", "n"), "id"), "classes")
@@ -253,9 +255,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     label = label.groupBy("id").agg(F.min("label").alias("label"))
     lowest = label.groupBy("label").agg(F.min("id").alias("lowest"))
     label = scratch.table(label.join(lowest, "label").select("id", F.col("lowest").alias("component_id")), "labels")
-    of_key = scratch.table(heads.join(label, "id").select("key", "component_id"), "of_key")
-    out = seen.join(heads.withColumnRenamed("id", "head"), "key", "left").join(of_key, "key", "left")
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component_id", "head")).otherwise(F.col("id"))
+    # Tables on both sides of the joins on hot keys: Spark can then split a hot key's rows.
+    of_key = scratch.table(heads.join(label, "id", "left").select("key", F.coalesce("component_id", "id").alias("component_id")), "of_key")
+    out = seen.join(of_key, "key", "left")
+    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
     return scratch.finish(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
