@@ -35,10 +35,10 @@ class Scratch:
         self.names.append(f"{self.root}/{len(self.names)}-{name}")
         return self.names[-1]
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         """Write df and return the table's reader."""
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *but: str) -> None:

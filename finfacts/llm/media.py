@@ -138,7 +138,8 @@ def sequences(pages: DataFrame, id_column: str, html_column: str) -> DataFrame:
             items = [[dict(zip(("position", "kind", "text", "digest", "caption"), x)) for x in sequence(h)] for h in pdf["html"]]
             yield pd.DataFrame({"id": pdf["id"], "items": items})
 
-    return pages.select(F.col(id_column).alias("id"), F.col(html_column).alias("html")).mapInPandas(run, f"id {kind}, items array<struct<position:int,kind:string,text:string,digest:string,caption:string>>")
+    told = pages.select(F.col(id_column).cast("string").alias("id"), F.col(html_column).alias("html")).mapInPandas(run, "id string, items array<struct<position:int,kind:string,text:string,digest:string,caption:string>>")
+    return told.withColumn("id", F.col("id").cast(kind))  # pandas would turn integers with nulls into floats
 
 
 def _stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,13 +183,17 @@ def _references(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def store(docs: DataFrame, scratch: Scratch, text_column: str = "text") -> DataFrame:
     """Write the payload table (digest, media) and return its reader."""
-    return scratch.table(docs.select(F.col(text_column).cast("string").alias("text")).mapInPandas(_stored, "digest string, media binary"), "media")
+    return scratch.table(docs.select(F.col(text_column).cast("string").alias("text")).mapInPandas(_stored, "digest string, media binary"), "media", "zstd")
 
 
-def resolve(references: DataFrame, media: DataFrame) -> DataFrame:
-    """References joined by digest with what is read back of their payloads; only payloads that still have their digest count."""
+def measured(media: DataFrame) -> DataFrame:
+    """By digest what is read back of the stored payloads; only payloads that still have their digest count."""
     fields = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, digest string"
-    read = media.mapInPandas(_measured, fields).where("payload_sha256 = digest").dropDuplicates(["digest"])
+    return media.mapInPandas(_measured, fields).where("payload_sha256 = digest").dropDuplicates(["digest"])
+
+
+def resolve(references: DataFrame, read: DataFrame) -> DataFrame:
+    """References joined by digest with measured()'s rows."""
     return references.join(read, "digest", "left")
 
 
@@ -196,8 +201,8 @@ def documents_as_media(docs: DataFrame, id_column: str = "doc_id", text_column:
     """One row per document: its page's media reference, resolved."""
     scratch = Scratch(docs.sparkSession)
     kind = dict(docs.select(F.col(id_column).alias("id")).dtypes)["id"]
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    references = texts.mapInPandas(_references, f"id {kind}, n_bytes long, position int, digest string, caption string")
-    told = resolve(references, store(docs, scratch, text_column))
+    texts = docs.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).cast("string").alias("text"))
+    references = texts.mapInPandas(_references, "id string, n_bytes long, position int, digest string, caption string")
+    told = resolve(references, scratch.table(measured(store(docs, scratch, text_column)), "measured"))  # a table: Spark can split a hot digest's references
     columns = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"]
-    return scratch.finish(told.select(F.col("id").alias("doc_id"), *columns))
+    return scratch.finish(told.select(F.col("id").cast(kind).alias("doc_id"), *columns))
