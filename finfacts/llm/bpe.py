@@ -32,7 +32,7 @@ class RankQueue:
 
 
 class Encoder(dict):
-    """Encodes by ranks (bytes -> rank). As a dict it keeps the ids, as text, by pre-token, and is emptied when grown."""
+    """Encodes by ranks (bytes -> rank). As a dict it keeps (number of ids, ids as text, bytes they are decoded to) by pre-token; emptied when grown."""
 
     MOST_KEPT, LONGEST_KEPT = 1_000_000, 40
 
@@ -40,7 +40,6 @@ class Encoder(dict):
         # White space as in Unicode's property, which the four separators U+001C to U+001F haven't.
         self.ranks, self.split = ranks, regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.bytes_of_text = {str(i): b for b, i in ranks.items()}
         self.queue = RankQueue(max(ranks.values(), default=0))
 
     def merge(self, piece: bytes) -> list[int]:
@@ -105,8 +104,9 @@ class Encoder(dict):
             i = k
         return ids
 
-    def __missing__(self, piece: str) -> str:
-        out = ",".join(map(str, self.merge(piece.encode("utf-8", "surrogatepass"))))
+    def __missing__(self, piece: str) -> tuple[int, str, bytes]:
+        ids = self.merge(piece.encode("utf-8", "surrogatepass"))
+        out = (len(ids), ",".join(map(str, ids)), self.decode(ids))
         if len(piece) <= self.LONGEST_KEPT:
             if len(self) >= self.MOST_KEPT:
                 self.clear()
@@ -121,10 +121,8 @@ class Encoder(dict):
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids as text, SHA-256 of the bytes that the ids are decoded to."""
-        ids = ",".join(map(self.__getitem__, self.split(text)))
-        each = ids.split(",") if ids else []
-        back = b"".join(map(self.bytes_of_text.__getitem__, each))
-        return len(each), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
+        sizes, ids, back = zip(*map(self.__getitem__, self.split(text))) if text else ((), (), ())
+        return sum(sizes), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(back)).hexdigest()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
