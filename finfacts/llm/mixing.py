@@ -2,10 +2,11 @@
 
 A naive Bayes classifier, trained on a labelled table, gives every document posteriors over the domains from binned
 measures of its text. The document rates are the least-squares solution that brings the expected domain totals, sum of rate *
-tokens * posterior, to the targets, with rates bounded below. It is found by projected gradient steps: a step moves a rate by the
-posterior-weighted residual and projects it on the bound; the residuals are whitened by the second moments of the
-posteriors, so that a few steps suffice. The only things gathered are sums over all documents: class counts by bin, and
-domain totals for each step. Built-in functions only.
+tokens * posterior, to the targets, with rates bounded below; of rates that do so equally well, those nearest to 1. At the solution a rate
+is 1 plus a weighted sum of the posteriors, projected on the bound, so the unknowns are one weight per domain. They are found by
+active-set Newton steps on the domain totals and second moments of the documents above the bound, until the gradient is zero but for
+rounding; a fit that doesn't get there raises an error. Targets out of reach of the bound leave a residual, which is returned
+and logged. The only things gathered are sums over all documents: class counts by bin, and totals for each step. Built-in functions only.
 
 Defined results: a null or empty text has no tokens, it gets a rate but adds to no total; labels with a null id or domain are left out, a
 document labelled twice counts twice; without labelled rows there is one domain "all"; a domain without expected tokens can't be raised,
@@ -14,6 +15,7 @@ the rest of the fit is unaffected; an empty table gives no rows; no column but t
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from ._shared import Scratch, free_name, let, text_of
 
 BINS = 16
+TIGHT = 1e-8  #: the gradient, in shares of all tokens, that counts as zero
 
 
 def measures(text: Column) -> dict[str, Column]:
@@ -48,9 +51,9 @@ class Model:
     domains: list[str]
     priors: list[float] = field(default_factory=list)
     tables: dict[str, list[list[float]]] = field(default_factory=dict)  # measure -> bin -> log-likelihood by domain
-    steps: list[list[float]] = field(default_factory=list)  # what each projected step takes from a rate, by posterior
+    weights: list[float] = field(default_factory=list)  # what a rate gains, by posterior
     lower: float = 0.0
-    residuals: list[float] = field(default_factory=list)
+    residuals: list[float] = field(default_factory=list)  # expected less wanted tokens by domain, as shares of all tokens
 
     def posteriors(self, bins: dict[str, Column]) -> Column:
         def rows(table: list[list[float]]) -> Column:
@@ -62,21 +65,24 @@ class Model:
         powers = let(logs, lambda a: let(F.array_max(a), lambda most: F.transform(a, lambda x: F.exp(x - most))))
         return let(powers, lambda a: let(F.aggregate(a, F.lit(0.0), lambda x, y: x + y), lambda total: F.transform(a, lambda x: x / total)))
 
+    def linear(self, p: Column, weights: list[float]) -> Column:
+        """The rate before it is projected on the bound."""
+        w = F.from_json(F.lit(str(weights)), "array<double>")
+        return F.lit(1.0) + sum((w[d] * p[d] for d in range(1, len(self.domains))), w[0] * p[0])
+
     def rate(self, p: Column) -> Column:
-        """The rate after all steps, from 1 at first."""
-        if not self.steps:
+        if not self.weights:
             return F.lit(max(1.0, self.lower))
-        steps = F.from_json(F.lit(str(self.steps)), "array<array<double>>")
-        dot = lambda g: sum((g[d] * p[d] for d in range(1, len(self.domains))), g[0] * p[0])
-        return F.aggregate(steps, F.lit(max(1.0, self.lower)), lambda r, g: F.greatest(F.lit(self.lower), r - dot(g)))
+        return F.greatest(F.lit(self.lower), self.linear(p, self.weights))
 
 
-def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], scratch: Scratch, id_column: str = "doc_id", text_column: str = "text", budget: float = 1.0, lower: float = 0.0, rounds: int = 25, close: float = 1e-4, ridge: float = 0.05) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], scratch: Scratch, id_column: str = "doc_id", text_column: str = "text", budget: float = 1.0, lower: float = 0.0, rounds: int = 100, close: float = 1e-4, ridge: float = 1e-6) -> tuple[Model, DataFrame]:
     """The model, and the table of (id, tokens, posteriors) it was fitted to.
 
     labels: doc_id, domain. targets: the wanted share of tokens by domain (others: 0). budget: expected tokens as a multiple of all tokens.
-    ridge: what the whitening adds to the second moments; it keeps domains that posteriors hardly tell apart from asking for extreme rates.
-    lower: least rate. rounds, close: most steps; the residual, as a share of all tokens, at which they end.
+    ridge: the price of a rate's squared distance from 1 against that of a squared residual; it makes the solution the only one.
+    lower: least rate. rounds: steps after which a fit that hasn't converged is an error. close: the residual, as a share of all tokens,
+    above which it is logged.
     """
     text = F.col("__text")
     measured = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("__text"))
@@ -96,20 +102,47 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], scratch:
     table = scratch.table(bins.select("id", "tokens", model.posteriors({n: F.col(n) for n in names}).alias("p")), "posteriors")
     d = len(domains)
     p, w = [F.col("p")[i] for i in range(d)], F.col("tokens").cast("double")
-    total = table.agg(F.sum(w).alias("s"), *[F.sum(w * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(d) for j in range(i, d)]).first()
-    if not total["s"]:
+    total = table.agg(F.sum(w).alias("s")).first()["s"]
+    if not total:
         return model, table
-    moments = np.array([[total[f"m{min(i, j)}_{max(i, j)}"] / total["s"] for j in range(d)] for i in range(d)])
-    whiten = np.linalg.inv(moments + ridge * np.eye(d))
     wanted = np.array([targets.get(x, 0.0) for x in domains]) * budget
+    slim = table.select(w.alias("w"), *[p[i].alias(f"p{i}") for i in range(d)])
+    cols = [F.col(f"p{i}") for i in range(d)]
+    u = lambda x: model.linear(cols, x.tolist())
+    # the dual: its gradient by a domain's weight is ridge * weight + expected - wanted
+    energy = lambda u: F.sum(F.col("w") * F.when(u > lower, u * u / 2).otherwise(u * lower - lower * lower / 2))
+    dual = lambda x, e: ridge / 2 * x @ x - wanted @ x + e / total
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The dual's value, the expected shares and the second moments of the documents above the bound."""
+        live = F.when(F.col("u") > lower, F.col("w")).otherwise(0.0)
+        sums = slim.withColumn("u", u(x)).withColumn("r", F.greatest(F.lit(lower), "u") * F.col("w")).withColumn("live", live)
+        row = sums.agg(energy(F.col("u")), *[F.sum(F.col("r") * c) for c in cols], *[F.sum(F.col("live") * cols[i] * cols[j]) for i in range(d) for j in range(i, d)]).first()
+        moments = np.zeros((d, d))
+        moments[np.triu_indices(d)] = row[1 + d :]
+        moments = (moments + np.triu(moments, 1).T) / total
+        return dual(x, row[0]), np.array(row[1 : 1 + d], float) / total, moments
+
+    x = np.zeros(d)
+    value, share, moments = at(x)
     for _ in range(rounds):
-        rate = model.rate(F.col("p"))
-        sums = table.select(rate.alias("r"), w.alias("w"), *[p[i].alias(f"p{i}") for i in range(d)]).agg(*[F.sum(F.col("r") * F.col("w") * F.col(f"p{i}")) for i in range(d)]).first()
-        residual = np.array([float(x) for x in sums]) / total["s"] - wanted
-        model.residuals = residual.tolist()
-        if np.abs(residual).max() < close:
+        gradient = ridge * x + share - wanted
+        size = np.abs(gradient).max()
+        if size < TIGHT:
             break
-        model.steps.append((whiten @ residual).tolist())
+        step = -np.linalg.solve(moments + ridge * np.eye(d), gradient)
+        new = at(x + step)
+        if new[0] > value + 1e-4 * (gradient @ step) and np.abs(ridge * (x + step) + new[1] - wanted).max() > size / 2:
+            shorter = 0.5 ** np.arange(1, 25)  # too long: the best of its fractions, all in one pass
+            energies = slim.agg(*[energy(u(x + t * step)) for t in shorter]).first()
+            step = shorter[int(np.argmin([dual(x + t * step, e) for t, e in zip(shorter, energies)]))] * step
+            new = at(x + step)
+        x, (value, share, moments) = x + step, new
+    else:
+        raise RuntimeError(f"the rates have not converged in {rounds} steps: gradient {size}, residual {(share - wanted).tolist()}")
+    model.weights, model.residuals = x.tolist(), (share - wanted).tolist()
+    if np.abs(share - wanted).max() > close:
+        logging.getLogger(__name__).warning("targets out of reach: residuals %s", dict(zip(domains, model.residuals)))
     return model, table
 
 

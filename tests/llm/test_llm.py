@@ -237,6 +237,17 @@ def test_mixing_is_least_squares(spark):
     assert copies.columns == d.columns and copies.select("doc_id").distinct().count() == 120
 
 
+@pytest.mark.parametrize("kw", [{}, {"lower": 1.0, "budget": 1.25}])
+def test_mixing_has_converged_with_the_production_targets(spark, sf, kw):
+    out = mixing.rates(_shared.documents(spark, sf), queries.domains(spark, sf), queries.TARGETS, **kw).toPandas()
+    p = out[[f"p_{x}" for x in queries.TARGETS]].to_numpy()
+    w, r = out["n_tokens"].to_numpy(float), out["rate"].to_numpy()
+    residual = (r * w) @ p / w.sum() - np.array(list(queries.TARGETS.values())) * kw.get("budget", 1.0)
+    assert np.allclose(r, np.maximum(kw.get("lower", 0.0), 1 - p @ residual / 1e-6), rtol=1e-3, atol=0.05)  # zero gradient in each rate, or at the bound
+    with pytest.raises(RuntimeError):
+        mixing.rates(_shared.documents(spark, sf), queries.domains(spark, sf), queries.TARGETS, rounds=1, **kw)
+
+
 # op5
 
 
