@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -245,3 +246,18 @@ def test_keyed_merges(spark):
     old, new = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string"), spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "k int, v string")
     assert {tuple(r) for r in facts.insert_ignore(old, new, ["k"]).collect()} == {(1, "a"), (None, "b"), (2, "y")}
     assert facts.upsert_counts(old.where("k = 1"), new.where("k IS NOT NULL"), ["k"]).first().asDict() == {"inserted": 1, "updated": 1}
+
+
+def test_best_match_of_any_size_is_brute_force(spark):
+    rng = np.random.default_rng(5)
+    known = rng.integers(-3, 4, (70, 4)).astype(float)
+    known[40:] = known[:30]  # equal vectors: the smallest id
+    asked = np.vstack([rng.integers(-3, 4, (60, 4)), np.zeros((1, 4))]).astype(float)
+    table = lambda m, ids: spark.createDataFrame([(i, f"l{i}", v.tolist()) for i, v in zip(ids, m)], "i long, l string, v array<double>")
+    numbers = [*range(60), 7]  # an id that occurs twice is asked twice
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+    cosine = (unit(asked) @ unit(known).T).round(12)
+    want = sorted((i, int(c.argmax()), f"l{c.argmax()}", round(float(c.max()), 6)) for i, c in zip(numbers, cosine) if c.max() >= 0.6)
+    for block in (10_000, 70, 69, 9):  # the last two by blocks
+        out = vectors.best_match(table(asked, numbers), table(known, range(70)), "i", "v", "l", 0.6, block=block).collect()
+        assert sorted((r["id"], r["match"], r["label"], round(r["cosine"], 6)) for r in out) == want
