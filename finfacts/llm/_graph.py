@@ -49,4 +49,6 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 30, one_task: int
         if tuple(after) == state:
             break
         state = tuple(after)
+    else:
+        raise RuntimeError(f"components have not converged in {most} rounds")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -239,7 +239,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     often = close.groupBy("term").agg(F.sum("n").alias("n")).collect()  # most_terms rows at most
     support = {r["term"]: r["hits"] for r in found if not r["stem"]}
     model.rigid = frozenset(r["term"] for r in often if r["n"] > 1 + 0.05 * support[r["term"]])
-    model.unless = frozenset(r["word"] for r in close.where(~F.col("term").isin(list(model.rigid))).select("word").distinct().orderBy("word").limit(10_000).collect())
+    model.unless = frozenset(r["word"] for r in close.where(~F.col("term").isin(list(model.rigid))).select("word").distinct().collect())  # bounded by the sample: 1 + 5 % of each term's hits
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = model.weights()

@@ -328,6 +328,12 @@ def test_components(spark):
     assert out == {x: c for x, c in label.items() if any(x in e and e[0] != e[1] for e in edges)}
 
 
+def test_components_that_do_not_converge_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        _graph.components(chain, _shared.Scratch(spark), most=1, one_task=0)
+
+
 def test_exact_dedup_is_brute_force(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice(["a", "b\t", "\n", "ab", ""]) for _ in range(rng.randrange(6))), "s") for i in range(300)]
