@@ -1,27 +1,32 @@
 """Exact dedup by an extendible-hash index on shared files.
 
-The owner tasks group the normalised texts themselves, so bytes are compared, with a map-side combine: of a hot group
-each map task sends one row. The index has one entry per distinct text: key (64-bit hash), SHA-256, the row that stays
-and the group's size; entries of one key form a chain. A directory over the key's leading bits doubles while buckets are
-overfull and its buckets are the ranges of the index files in the shared folder. Every document is then looked up by key and digest.
-Built-in functions only.
+A text's key is a 64-bit hash of its normalised form. The directory starts with one bucket of depth 0 and doubles while a bucket holds
+more keys than its capacity, so its depth follows the counts; a bucket is a range of keys. All rows of a bucket go to its owner
+task, which compares the texts themselves, byte by byte, and chains the different texts of one key. Its result, the
+index, is a file of (bucket, key, chain) in the shared folder; an entry of a chain has the text's SHA-256, the row that stays and the
+group's size. Every document then asks its bucket and walks its key's chain. Built-in functions only.
+
+A key that holds over 1/4096 of the rows is merged map-side before it goes to its owner; there are fewer than 4096 of them.
 
 Defined results: a null text counts as empty, all texts of white space only are equal; a null id stays only where no
-other row has the text; rows that repeat the id and text of the row that stays count in group_size and are all marked
-kept, and keep_rows() returns one of them; an empty table gives no rows; other columns are not read.
+other row has the text; ids may be of any type that has an order; rows that repeat the id and text of the row that stays count in
+group_size and are all marked kept, and keep_rows() returns one of them; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import SPACES, Scratch, free_name, text_of
 
-#: 2 ** 64 and 2 ** 63 - 1, for packing (length, id) in one decimal: the hash aggregate takes no structs.
-SHIFT, TOP = "18446744073709551616", "9223372036854775807"
+#: Keys that hold more than this part of all rows are hot.
+HOT = 4096
+#: The directory's largest depth. Mixed keys need more only beyond CAPACITY << DEEPEST texts, from where on buckets hold more.
+DEEPEST = 17
+CAPACITY = 4096
 
 
 def normalised(text: Column) -> Column:
@@ -31,63 +36,102 @@ def normalised(text: Column) -> Column:
     return text
 
 
-def directory(counts: dict[int, int], bits: int, capacity: int) -> list[int]:
-    """The bucket's number for each value of the leading bits.
-
-    Starts with one bucket of depth 0; an overfull bucket splits by its next bit, and where its depth is the
-    directory's, the directory doubles first. Buckets at the last bit stay overfull: their entries chain.
-    """
-    depth, buckets = 0, [(0, 0)]  # (first bits, local depth)
-    full = lambda p, d: sum(n for k, n in counts.items() if k >> (bits - d) == p) > capacity
-    done: list[tuple[int, int]] = []
-    while buckets:
-        p, d = buckets.pop()
-        if d < bits and full(p, d):
-            depth = max(depth, d + 1)
-            buckets += [(2 * p, d + 1), (2 * p + 1, d + 1)]
-        else:
-            done.append((p, d))
-    out = []
-    for number, (p, d) in enumerate(sorted(done, key=lambda x: x[0] << (bits - x[1]))):
-        out += [number] * (1 << (bits - d))
-    return out
-
-
-def build_index(docs: DataFrame, scratch: Scratch, id_column: str, text_column: str, capacity: int = 100_000, bits: int = 10) -> DataFrame:
-    """The index: bucket, key, chain, sha256, keep_id, size. capacity: entries of a bucket; bits: the directory's largest depth."""
+class Directory:
+    """Buckets by the leading bits of a key. Slot k holds the number of the bucket of the keys that begin with k."""
+
+    def __init__(self) -> None:
+        self.depth = 0
+        self.slots = [0]
+        self.prefix, self.local = [0], [0]  # by bucket: its first bits and how many they are
+
+    def split(self, bucket: int) -> tuple[int, int]:
+        """Split a bucket by its next bit; where that is beyond the directory's depth, the directory doubles first."""
+        if self.local[bucket] == self.depth:
+            self.slots = [b for b in self.slots for _ in (0, 1)]
+            self.depth += 1
+        self.prefix[bucket] *= 2
+        self.local[bucket] += 1
+        self.prefix.append(self.prefix[bucket] + 1)
+        self.local.append(self.local[bucket])
+        new, width = len(self.local) - 1, 1 << (self.depth - self.local[bucket])
+        at = self.prefix[new] * width
+        self.slots[at : at + width] = [new] * width
+        return bucket, new
+
+    def grow(self, counts: dict[int, int], bits: int, capacity: int) -> None:
+        """Split until no bucket holds more than capacity, by counts of keys by their first `bits` bits."""
+        sums = [dict(counts)]
+        for _ in range(bits):
+            up: dict[int, int] = {}
+            for k, n in sums[-1].items():
+                up[k >> 1] = up.get(k >> 1, 0) + n
+            sums.append(up)
+        todo = list(range(len(self.local)))
+        while todo:
+            b = todo.pop()
+            if self.local[b] < bits and sums[bits - self.local[b]].get(self.prefix[b], 0) > capacity:
+                todo += self.split(b)
+
+    def bucket(self, key: Column) -> Column:
+        if not self.depth:
+            return F.lit(0)
+        return F.get(F.split(F.lit(",".join(map(str, self.slots))), ","), F.shiftrightunsigned(key, 64 - self.depth).cast("int")).cast("int")
+
+
+def directory_of(keys: DataFrame, capacity: int, deepest: int = DEEPEST) -> Directory:
+    """The directory of a table of distinct keys. What is collected are counts by leading bits, 2 ** deepest at most."""
+    total = keys.count()
+    capacity = max(capacity, total >> (deepest - 1))
+    found, bits = Directory(), min(deepest, max(0, (4 * total // capacity).bit_length()))
+    while True:
+        lead = F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)
+        counts = {r["b"]: r["n"] for r in keys.groupBy(lead.alias("b")).agg(F.count("*").alias("n")).collect()}
+        found.grow(counts, bits, capacity)
+        if bits == deepest or max(counts.values(), default=0) <= capacity:
+            return found
+        bits = min(deepest, bits + 3)
+
+
+def build_index(docs: DataFrame, scratch: Scratch, id_column: str, text_column: str, capacity: int = CAPACITY, key_of: Callable[[Column], Column] = F.xxhash64) -> tuple[Directory, DataFrame]:
+    """The directory and the index: bucket, key, chain (array of sha256, keep_id, size). capacity: keys that a bucket holds before it splits."""
     text = text_of(text_column)
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.length(text).alias("n"), normalised(text).alias("norm"))
-    packed = F.col("n").cast("decimal(11,0)") * F.expr(f"cast({SHIFT} as decimal(20,0))") + (F.expr(f"cast({TOP} as decimal(19,0))") - F.col("id").cast("decimal(19,0)"))
-    groups = rows.groupBy(F.xxhash64("norm").alias("key"), "norm").agg(F.max(packed.cast("decimal(38,0)")).alias("best"), F.count("*").alias("size"))
-    keep = F.expr(f"cast(cast({TOP} as decimal(19,0)) - (best - cast(best div cast({SHIFT} as decimal(20,0)) as decimal(11,0)) * cast({SHIFT} as decimal(20,0))) as bigint)")
-    groups = scratch.table(groups.select("key", F.sha2("norm", 256).alias("sha256"), keep.alias("keep_id"), "size"), "groups")
-    leading = F.shiftrightunsigned("key", 64 - bits).cast("int")
-    counts = Counter({r["b"]: r["n"] for r in groups.groupBy(leading.alias("b")).agg(F.countDistinct("key").alias("n")).collect()})  # 2 ** bits rows at most
-    numbers = F.split(F.lit(",".join(map(str, directory(counts, bits, capacity)))), ",")
-    chain = F.row_number().over(Window.partitionBy("key").orderBy("sha256"))
-    index = groups.withColumn("chain", chain).withColumn("bucket", numbers[leading].cast("int"))
-    return scratch.table(index.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key", "chain"), "index")
-
-
-def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **index: int) -> DataFrame:
+    rows = docs.select(F.col(id_column).alias("id"), F.length(text).alias("n"), normalised(text).alias("norm")).withColumn("key", key_of(F.col("norm")))
+    keys = scratch.table(rows.groupBy("key").agg(F.count("*").alias("rows")), "keys")
+    held = directory_of(keys, capacity)
+    best = lambda n, i: F.min(F.struct((-n).alias("n"), i.isNull().alias("no"), i.alias("id")))
+    share = (keys.agg(F.sum("rows")).first()[0] or 0) / HOT
+    hot = F.broadcast(keys.where(F.col("rows") > F.lit(share)).select("key"))  # fewer than HOT keys, by their definition
+    few = rows.select("id", "n", "norm", "key", F.lit(1).cast("long").alias("size"))
+    merged = few.join(hot, "key", "left_semi").groupBy("key", "norm").agg(best(F.col("n"), F.col("id")).alias("b"), F.sum("size").alias("size"))
+    owned = few.join(hot, "key", "left_anti").unionByName(merged.select("b.id", (-F.col("b.n")).alias("n"), "norm", "key", "size"))
+    owned = owned.withColumn("bucket", held.bucket(F.col("key"))).repartition("bucket")
+    entries = owned.groupBy("bucket", "key", "norm").agg(best(F.col("n"), F.col("id")).alias("b"), F.sum("size").alias("size"))
+    entry = F.struct(F.sha2("norm", 256).alias("sha256"), F.col("b.id").alias("keep_id"), F.col("size").alias("size"))
+    chains = entries.select("bucket", "key", entry.alias("entry")).groupBy("bucket", "key").agg(F.sort_array(F.collect_list("entry")).alias("chain"))
+    return held, scratch.table(chains.sortWithinPartitions("bucket", "key"), "index")
+
+
+def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **index) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     scratch = Scratch(docs.sparkSession)
-    entries = build_index(docs, scratch, id_column, text_column, **index)
-    norm = F.col("norm")
-    asked = docs.select(F.col(id_column).alias("doc_id"), normalised(text_of(text_column)).alias("norm")).select("doc_id", F.xxhash64(norm).alias("key"), F.sha2(norm, 256).alias("text_sha256"))
-    found = asked.join(entries.select("key", F.col("sha256").alias("text_sha256"), "keep_id", F.col("size").alias("group_size")), ["key", "text_sha256"])
-    return scratch.finish(found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
+    held, entries = build_index(docs, scratch, id_column, text_column, **index)
+    norm = normalised(text_of(text_column))
+    asked = docs.select(F.col(id_column).alias("doc_id"), index.get("key_of", F.xxhash64)(norm).alias("key"), F.sha2(norm, 256).alias("text_sha256"))
+    asked = asked.withColumn("bucket", held.bucket(F.col("key")))
+    walked = F.get(F.filter("chain", lambda e: e["sha256"] == F.col("text_sha256")), F.lit(0))
+    found = asked.join(entries, ["bucket", "key"]).select("doc_id", "text_sha256", walked.alias("entry"))
+    columns = ["doc_id", F.col("entry.keep_id").alias("keep_id"), F.col("entry.size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("entry.keep_id")).alias("kept"), "text_sha256"]
+    return scratch.finish(found.select(*columns))
 
 
-def keep_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **index: int) -> DataFrame:
-    """The rows that stay, with all columns of docs."""
+def keep_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **index) -> DataFrame:
+    """The rows that stay, with all columns of docs. Rows meet the index by their id too, so a hot key's rows stay spread."""
     scratch = Scratch(docs.sparkSession)
-    entries = build_index(docs, scratch, id_column, text_column, **index)
-    key, sha, keep = (free_name(docs, x) for x in ("key", "sha", "keep"))
+    held, entries = build_index(docs, scratch, id_column, text_column, **index)
+    bucket, key, sha, tag, once = names = [free_name(docs, x) for x in ("bucket", "key", "sha", "tag", "once")]
     norm = normalised(text_of(text_column))
-    asked = docs.withColumns({key: F.xxhash64(norm), sha: F.sha2(norm, 256)})
-    kept = entries.select(F.col("key").alias(key), F.col("sha256").alias(sha), F.col("keep_id").alias(keep))
-    same = (asked[key] == kept[key]) & (asked[sha] == kept[sha]) & asked[id_column].cast("long").eqNullSafe(kept[keep])
-    once = F.row_number().over(Window.partitionBy(key, sha, id_column).orderBy(F.lit(0)))
-    stay = asked.join(kept, same, "left_semi").withColumn(keep, once).where(F.col(keep) == 1)
-    return stay.select(*docs.columns)
+    tag_of = lambda c: F.concat(F.when(c.isNull(), "-").otherwise("+"), F.coalesce(c.cast("string"), F.lit("")))
+    asked = docs.withColumns({key: index.get("key_of", F.xxhash64)(norm), sha: F.sha2(norm, 256), tag: tag_of(F.col(id_column))}).withColumn(bucket, held.bucket(F.col(key)))
+    stay = entries.select("bucket", "key", F.inline("chain")).select(F.col("bucket").alias(bucket), F.col("key").alias(key), F.col("sha256").alias(sha), tag_of(F.col("keep_id")).alias(tag))
+    first = F.row_number().over(Window.partitionBy(*names[:4]).orderBy(F.desc(F.length(text_of(text_column)))))
+    return asked.join(stay, names[:4], "left_semi").withColumn(once, first).where(F.col(once) == 1).select(*docs.columns)
