@@ -1,12 +1,13 @@
 """Mixing sources to target weights by soft membership.
 
-A naive Bayes classifier, trained on a labelled table, gives every document posteriors over the domains from binned
-measures of its text. The document rates are the least-squares solution that brings the expected domain totals, sum of rate *
+A classifier, trained on a labelled table, gives every document posteriors over the domains. Telling words, those that are far more
+frequent in documents of one domain than in the others, add up to a score by domain; binned measures of the text give log-likelihoods
+by domain; a softmax regression, fitted to its optimum on the labelled sample, turns both into posteriors. The document rates are the least-squares solution that brings the expected domain totals, sum of rate *
 tokens * posterior, to the targets, with rates bounded below; of rates that do so equally well, those nearest to 1. At the solution a rate
 is 1 plus a weighted sum of the posteriors, projected on the bound, so the unknowns are one weight per domain. They are found by
-active-set Newton steps on the domain totals and second moments of the documents above the bound, until the gradient is zero but for
+active-set Newton steps on the domain totals and second moments of the documents above the bound, until the projected gradient is zero but for
 rounding; a fit that doesn't get there raises an error. Targets out of reach of the bound leave a residual, which is returned
-and logged. The only things gathered are sums over all documents: class counts by bin, and totals for each step. Built-in functions only.
+and logged. The only things gathered are sums over documents: class counts by word and bin, and totals for each step. Built-in functions only.
 
 Defined results: a null or empty text has no tokens, it gets a rate but adds to no total; labels with a null id or domain are left out, a
 document labelled twice counts twice; without labelled rows there is one domain "all"; a domain without expected tokens can't be raised,
@@ -15,16 +16,20 @@ the rest of the fit is unaffected; an empty table gives no rows; no column but t
 
 from __future__ import annotations
 
+import json
 import logging
 from dataclasses import dataclass, field
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import Scratch, free_name, let, text_of
 
 BINS = 16
+SLOTS = 1 << 14  #: places of the table that telling words are looked up in
+WORD_ENDS = r"[\x20\x09-\x0D.,;:!?\"'()\[\]]++"
 TIGHT = 1e-8  #: the gradient, in shares of all tokens, that counts as zero
 
 
@@ -33,35 +38,70 @@ def measures(text: Column) -> dict[str, Column]:
     n = F.length(text).cast("double")
     share = lambda part, of: F.when(of > 0, part / of).otherwise(0.0)
     binned = lambda x, scale: F.least(F.floor(x * scale), F.lit(BINS - 1)).cast("int")
-    gone = lambda pattern: n - F.length(F.regexp_replace(text, pattern, ""))
     lines = F.split(text, "\n")
     spaces = n - F.length(F.replace(text, F.lit(" "), F.lit("")))
     return {
         "length": binned(F.log2(n + 1), 1.0),
         "word": binned(share(n - spaces, spaces + 1), 1.0),
-        "marks": binned(share(gone(r"[^\p{L}\s]++"), n), 64.0),
-        "capitals": binned(share(gone(r"\p{Lu}++"), n), 160.0),
-        "digits": binned(share(gone("[0-9]++"), n), 320.0),
+        "marks": binned(share(n - F.length(F.regexp_replace(text, r"[^\p{L}\s]++", "")), n), 64.0),
         "repeats": binned(1.0 - share(F.size(F.array_distinct(lines)).cast("double"), F.size(lines).cast("double")), BINS),
     }
 
 
+def words_of(text: Column) -> Column:
+    """The words of a text, lower-case and without marks."""
+    return F.split(F.lower(text), WORD_ENDS)
+
+
+def _literal(x: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(x)), kind)
+
+
+def slot_of(word: str) -> int:
+    """Where a word stands in the table: Spark's xxhash64 mod SLOTS."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42) % SLOTS
+
+
 @dataclass
 class Model:
     domains: list[str]
-    priors: list[float] = field(default_factory=list)
     tables: dict[str, list[list[float]]] = field(default_factory=dict)  # measure -> bin -> log-likelihood by domain
+    words: dict[str, list[float]] = field(default_factory=dict)  # telling word -> log-odds by domain, 0 where it doesn't tell
+    logits: list[list[float]] = field(default_factory=list)  # by domain: factors of the features, then the constant
     weights: list[float] = field(default_factory=list)  # what a rate gains, by posterior
     lower: float = 0.0
     residuals: list[float] = field(default_factory=list)  # expected less wanted tokens by domain, as shares of all tokens
 
-    def posteriors(self, bins: dict[str, Column]) -> Column:
-        def rows(table: list[list[float]]) -> Column:
-            return F.from_json(F.lit(str(table)), "array<array<double>>")
+    def features(self, text: Column) -> Column:
+        """By domain the log-likelihood of the measures, then by domain the score of the telling words."""
+
+        def likelihoods(bins: Column) -> Column:
+            logs = _literal([0.0] * len(self.domains), "array<double>")
+            for name, table in self.tables.items():
+                logs = F.zip_with(logs, F.get(_literal(table, "array<array<double>>"), bins[name]), lambda a, b: a + b)
+            return logs
+
+        values = [[0.0] * SLOTS for _ in self.domains]
+        for word, by_domain in self.words.items():
+            for d, x in enumerate(by_domain):
+                values[d][slot_of(word)] = x
+        told = F.array_intersect(words_of(text), _literal(list(self.words), "array<string>"))
+        hits = F.transform(told, lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int"))
 
-        logs = F.from_json(F.lit(str(self.priors)), "array<double>")
-        for name, table in self.tables.items():
-            logs = F.zip_with(logs, F.get(rows(table), bins[name]), lambda a, b: a + b)
+        def score(v: list[float], h: Column) -> Column:
+            return F.log1p(F.aggregate(h, F.lit(0.0), lambda a, i: a + F.get(_literal(v, "array<double>"), i)))
+
+        scores = let(hits, lambda h: F.array(*[score(v, h) for v in values])) if self.words else _literal([0.0] * len(self.domains), "array<double>")
+        return F.concat(let(F.struct(*[c.alias(k) for k, c in measures(text).items()]), likelihoods), scores)
+
+    def posteriors(self, text: Column) -> Column:
+        if len(self.domains) == 1:
+            return F.array(F.lit(1.0))
+
+        def dot(x: Column, row: list[float]) -> Column:
+            return F.aggregate(F.zip_with(x, _literal(row[:-1], "array<double>"), lambda a, b: a * b), F.lit(row[-1]), lambda a, b: a + b)
+
+        logs = let(self.features(text), lambda x: F.array(*[dot(x, row) for row in self.logits]))
         powers = let(logs, lambda a: let(F.array_max(a), lambda most: F.transform(a, lambda x: F.exp(x - most))))
         return let(powers, lambda a: let(F.aggregate(a, F.lit(0.0), lambda x, y: x + y), lambda total: F.transform(a, lambda x: x / total)))
 
@@ -76,7 +116,87 @@ class Model:
         return F.greatest(F.lit(self.lower), self.linear(p, self.weights))
 
 
-def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], scratch: Scratch, id_column: str = "doc_id", text_column: str = "text", budget: float = 1.0, lower: float = 0.0, rounds: int = 100, close: float = 1e-4, ridge: float = 1e-6) -> tuple[Model, DataFrame]:
+def softmax_regression(x: np.ndarray, y: np.ndarray, classes: int, penalty: float = 1.0) -> np.ndarray:
+    """Factors by class (the constant last) at the optimum of the penalised likelihood, by damped Newton steps."""
+    mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    z = np.column_stack([(x - mean) / spread, np.ones(len(x))])
+    m, hit = z.shape[1], np.eye(classes)[y]
+    w, price = np.zeros((classes, m)), np.full(m, penalty)
+    price[-1] = 1e-2
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray]:
+        logits = z @ w.T
+        logits -= logits.max(axis=1, keepdims=True)
+        sums = np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        return float(((logits - sums) * hit).sum() - (price * w * w).sum() / 2), np.exp(logits - sums)
+
+    value, p = at(w)
+    for _ in range(200):
+        gradient = (hit - p).T @ z - price * w
+        if np.abs(gradient).max() < 1e-6 * len(x):
+            break
+        hessian = np.zeros((classes * m, classes * m))
+        for i in range(classes):
+            for j in range(i, classes):
+                hessian[i * m : (i + 1) * m, j * m : (j + 1) * m] = (z * (p[:, i] * ((i == j) - p[:, j]))[:, None]).T @ z
+        hessian = np.triu(hessian) + np.triu(hessian, 1).T + np.diag(np.tile(price, classes))
+        step, t = np.linalg.solve(hessian, gradient.ravel()).reshape(w.shape), 1.0
+        while t > 1e-6 and at(w + t * step)[0] < value:
+            t /= 2
+        w = w + t * step
+        value, p = at(w)
+    w[:, -1] -= (w[:, :-1] * mean / spread).sum(axis=1)
+    w[:, :-1] /= spread
+    return w
+
+
+def learn(docs: DataFrame, labels: DataFrame, domains: list[str], scratch: Scratch, most_labelled: int = 20_000, most_words: int = 1_000, least_gain: float = 30.0, least_odds: float = 0.7) -> Model:
+    """The classifier. docs: id, text; labels: doc_id, domain; domains: those to know beside the labelled ones.
+
+    most_labelled: labelled rows learnt from, those with the smallest hash of their id. most_words: telling words, the best by
+    gain (the likelihood-ratio statistic of a word's presence and a domain); least_gain, least_odds: what a word needs to tell.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("domain").isNotNull()).select(F.col("doc_id").alias("known"), F.col("domain").cast("string").alias("domain"))
+    known = known.orderBy(F.xxhash64("known"), "known", "domain").limit(most_labelled)
+    text = text_of("text")
+    sample = docs.join(F.broadcast(known), docs["id"] == known["known"]).limit(most_labelled)  # most_labelled rows bound the broadcast side
+    sample = scratch.table(sample.select("domain", "text", *[c.alias(k) for k, c in measures(text).items()]), "sample")
+    names = [c for c in sample.columns if c not in ("domain", "text")]
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("m"), F.col(n).alias("bin")) for n in names])).alias("x")
+    counts = sample.select("domain", pairs).groupBy("domain", "x.m", "x.bin").agg(F.count("*").alias("n")).collect()  # domains * measures * BINS rows at most
+    domains = sorted({r["domain"] for r in counts} | {d for d in domains if counts}) or ["all"]
+    model, of, d = Model(domains), np.zeros((len(names), BINS, len(domains))), len(domains)
+    for r in counts:
+        of[names.index(r["m"]), r["bin"], domains.index(r["domain"])] += r["n"]
+    if d == 1:
+        return model
+    sizes = of[0].sum(axis=0)
+    total = float(sizes.sum())
+    model.tables = {n: np.log((of[i] + 0.5) / (sizes + 0.5 * BINS)).tolist() for i, n in enumerate(names)}
+    seen = sample.select("domain", F.explode(F.array_distinct(words_of(text))).alias("word")).where("word != ''")
+    seen = seen.groupBy("word").agg(*[F.sum((F.col("domain") == x).cast("long")).alias(f"n{i}") for i, x in enumerate(domains)])
+    n = sum(F.col(f"n{i}") for i in range(d))
+    term = lambda x, expected: F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
+    odds, gains = [], []
+    for i, z in enumerate(map(float, sizes)):
+        a, rest = F.col(f"n{i}"), n - F.col(f"n{i}")
+        gain = 2 * (term(a, n * z / total) + term(rest, n * (total - z) / total) + term(z - a, (total - n) * z / total) + term(total - z - rest, (total - n) * (total - z) / total))
+        by = F.log((a + 0.5) / (z + 1)) - F.log((rest + 0.5) / (total - z + 1))
+        tells = (gain >= least_gain) & (by >= least_odds)
+        odds.append(F.when(tells, by).otherwise(0.0).alias(f"w{i}"))
+        gains.append(F.when(tells, gain).otherwise(0.0))
+    best = seen.select("word", F.greatest(*gains).alias("gain"), *odds).where("gain > 0").orderBy(F.desc("gain"), "word").limit(most_words).collect()
+    taken: set[int] = set()
+    for r in best:
+        if slot_of(r["word"]) not in taken:  # of words with one place in the table the more telling one
+            taken.add(slot_of(r["word"]))
+            model.words[r["word"]] = [r[f"w{i}"] for i in range(d)]
+    rows = sample.select("domain", model.features(text).alias("x")).collect()  # most_labelled rows at most
+    model.logits = softmax_regression(np.array([r["x"] for r in rows]), np.array([domains.index(r["domain"]) for r in rows]), d).tolist()
+    return model
+
+
+def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], scratch: Scratch, id_column: str = "doc_id", text_column: str = "text", budget: float = 1.0, lower: float = 0.0, rounds: int = 100, close: float = 1e-4, ridge: float = 1e-6, **learn_args) -> tuple[Model, DataFrame]:
     """The model, and the table of (id, tokens, posteriors) it was fitted to.
 
     labels: doc_id, domain. targets: the wanted share of tokens by domain (others: 0). budget: expected tokens as a multiple of all tokens.
@@ -84,22 +204,12 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], scratch:
     lower: least rate. rounds: steps after which a fit that hasn't converged is an error. close: the residual, as a share of all tokens,
     above which it is logged.
     """
-    text = F.col("__text")
-    measured = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("__text"))
-    bins = scratch.table(measured.select("id", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")).cast("long").alias("tokens"), *[c.alias(k) for k, c in measures(text).items()]), "measures")
-    names = [c for c in bins.columns if c not in ("id", "tokens")]
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("domain").isNotNull()).select(F.col("doc_id").alias("id"), F.col("domain").cast("string").alias("domain"))
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("m"), F.col(n).alias("bin")) for n in names])).alias("x")
-    counts = bins.join(known, "id").select("domain", pairs).groupBy("domain", "x.m", "x.bin").agg(F.count("*").alias("n")).collect()  # domains * measures * BINS rows at most
-    domains = sorted({r["domain"] for r in counts} | {d for d in targets if counts}) or ["all"]
-    model = Model(domains, lower=lower)
-    of = np.zeros((len(names), BINS, len(domains)))
-    for r in counts:
-        of[names.index(r["m"]), r["bin"], domains.index(r["domain"])] += r["n"]
-    sizes = of[0].sum(axis=0) if counts else np.zeros(len(domains))
-    model.priors = np.log((sizes + 0.5) / (sizes.sum() + 0.5 * len(domains))).tolist()
-    model.tables = {n: np.log((of[i] + 0.5) / (sizes + 0.5 * BINS)).tolist() for i, n in enumerate(names)}
-    table = scratch.table(bins.select("id", "tokens", model.posteriors({n: F.col(n) for n in names}).alias("p")), "posteriors")
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    model = learn(texts, labels, list(targets), scratch, **learn_args)
+    model.lower, domains = lower, model.domains
+    pieces = F.split(text_of("text"), r"[\x20\x09-\x0D]++")
+    tokens = (F.size(pieces) - (F.get(pieces, F.lit(0)) == "").cast("int") - ((F.size(pieces) > 1) & (F.element_at(pieces, -1) == "")).cast("int")).cast("long")
+    table = scratch.table(texts.select("id", tokens.alias("tokens"), model.posteriors(text_of("text")).alias("p")), "posteriors")
     d = len(domains)
     p, w = [F.col("p")[i] for i in range(d)], F.col("tokens").cast("double")
     total = table.agg(F.sum(w).alias("s")).first()["s"]
@@ -160,7 +270,7 @@ def mix_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_c
     model, _ = fit(docs, labels, targets, scratch, id_column, text_column, **fit_args)
     scratch.drop()
     times = free_name(docs, "times")
-    rate = let(model.posteriors(measures(text_of(text_column))), model.rate)
+    rate = let(model.posteriors(text_of(text_column)), model.rate)
     lot = F.pmod(F.xxhash64(F.col(id_column).cast("string"), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     copies = let(rate, lambda r: (F.floor(r) + (lot < r - F.floor(r)).cast("long")).cast("int"))
     return docs.withColumn(times, F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
