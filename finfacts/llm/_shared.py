@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used where the session names no shared folder (single-machine tests).
+#: Used where the session names no shared folder, on a single machine only (tests, bench).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 #: The white space that every contract of this package means: \x20 and \x09-\x0D.
@@ -16,23 +16,37 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one only if executors are threads of the driver."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or LOCAL_CHECKPOINTS).rstrip("/")
 
 
 class Scratch:
     """Intermediate tables in the shared folder, dropped when the operator has its result.
 
-    A written table cuts the lineage: a lost executor costs the running tasks, not the stages behind them.
+    A written table cuts the lineage: a lost executor costs the running tasks, not the stages behind them. What a returned
+    DataFrame still reads is deleted when the application ends.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/finfacts-{uuid.uuid4().hex}"
         self.names: list[str] = []
+        self.count = 0
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def path(self, name: str) -> str:
-        self.names.append(f"{self.root}/{len(self.names)}-{name}")
+        if not self.count:
+            fs, root = self._fs(self.root)
+            fs.mkdirs(root)
+            fs.deleteOnExit(root)
+        self.names.append(f"{self.root}/{self.count}-{name}")
+        self.count += 1
         return self.names[-1]
 
     def table(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
@@ -42,10 +56,9 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *but: str) -> None:
-        jvm = self.spark._jvm
         for path in [n for n in self.names if n not in but]:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            fs, p = self._fs(path)
+            fs.delete(p, True)
             self.names.remove(path)
 
     def finish(self, df: DataFrame, name: str = "result") -> DataFrame:
