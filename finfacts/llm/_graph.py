@@ -27,28 +27,23 @@ def _union(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame([(x, find(x)) for x in root], columns=["id", "component"], dtype="int64")
 
 
-def components(edges: DataFrame, scratch: Scratch, most: int = 30, one_task: int = 20_000) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, one_task: int = 20_000) -> DataFrame:
     """(id, component) of every end of edges (a, b); component: the smallest id reachable.
 
-    No node's edges meet in one task: minima are taken map-side. A list of at most one_task edges, which are counted, is cheaper in one
-    task than in rounds of joins; the result is the same.
+    Rounds go on until the edges stay as they are. No node's edges meet in one task: minima are taken map-side, and a hub's edges meet
+    its minimum in a join of two tables, which Spark splits. A list of at most one_task edges, which are counted, is cheaper in
+    one task than in rounds of joins; the result is the same.
     """
     now = scratch.table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     if now.count() <= one_task:
         return scratch.table(now.coalesce(1).mapInPandas(_union, "id long, component long"), "components")
-    state = None
-    for k in range(most):
+    state = before = None
+    while state is None or state != before:
         both = now.union(now.select("b", "a").toDF("a", "b"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        large = scratch.table(large, f"large{k}")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = scratch.table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
+        large = scratch.table(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct(), "large")
+        low = scratch.table(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a != b").distinct()
-        now = scratch.table(small, f"small{k}")
-        after = now.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
-        if tuple(after) == state:
-            break
-        state = tuple(after)
-    else:
-        raise RuntimeError(f"components have not converged in {most} rounds")
+        now = scratch.table(small, "small")
+        before, state = state, tuple(now.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)), F.coalesce(F.sum(F.xxhash64("b", "a").cast("decimal(38,0)")), F.lit(0))).first())
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -1,20 +1,23 @@
 """Near duplicates by an LSH forest, confirmed on the full shingle sets.
 
-Documents with equal shingle sets are one node. A forest has several trees; a tree orders the nodes by their MinHash
-values from its own starting place on. Nodes that share the first `depth` values of a tree's order are a region.
-Neighbours by longest common prefix: a region's nodes are compared (by their signatures) with the region's first
-node; those alike are linked as candidates, the others go on to the regions of the next depth, so regions that hold unlike
-nodes get deeper. After the last depth the rest of a region is linked unseen. Connected candidates form classes.
+Documents with equal shingle sets are one node. Each tree of the forest has its own order of the MinHash values; Spark sorts all nodes of
+all trees by (tree, signature), split where it likes, so a hot run of equal signatures spreads over tasks. A pass over the
+sorted partitions takes each node's longest common prefix with its neighbour; what sits on both sides of a partition's border is met in a
+second, small pass. Nodes that share the first `depth` values are a region, a run of the order. A node is a candidate
+with its neighbour and with the first node of its region if their signatures are alike; where the first node is unlike, the region of the
+next depth asks again, so regions that hold unlike nodes get deeper. Neighbours that share all of the deepest prefix are linked
+unseen. Connected candidates form classes.
 
 Classes are confirmed exactly: a class is dealt out in blocks of bounded size, and a block intersects all its full sets by
 a product of 0/1 matrices. Where a class has several blocks, a leader of each local cluster is compared with the other
 leaders, and then every document outside the class's largest cluster with all of the class, block by block. No link
 between two documents of a class is lost, and no pair within a group is emitted.
 
-A pair of similarity 0.85 shares 5 values in one of 28 trees but for a chance of 8e-8.
+A pair of similarity 0.85 shares 5 values in one of 28 trees but for a chance of 8e-8, one of 0.80 but for 2e-5.
 
-Defined results: a null or blank text has no shingles, n_shingles 0, and is its own component; rows that repeat a doc_id are one
-document; a null doc_id is linked with nothing and has a null component; an empty table gives no rows; other columns are not read.
+Defined results: a null or blank text has no shingles, n_shingles 0, and is its own component; ids are whole numbers or their texts (others
+fail when they are read); rows that repeat a doc_id are one document; a null doc_id is linked with nothing and has a null
+component; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
@@ -33,7 +37,7 @@ from ._shared import Scratch, free_name
 
 TREES, DEPTH, DEEPEST = 28, 5, 8
 VALUES = TREES * DEPTH
-ALIKE = 0.7  #: share of equal MinHash values; 5 standard deviations below 0.85
+SLACK = 0.15  #: how far below the wanted similarity the share of equal MinHash values of a candidate may be: 4 to 5 standard deviations
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 2_000_000
 
 _rng = np.random.default_rng(20_240_229)
@@ -89,11 +93,62 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["id", "n", "key", "sig"])
 
 
-def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _orders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each node's place in each tree's order: 16 bits of the tree's first DEEPEST values in two numbers."""
+    at = (np.arange(TREES)[:, None] * DEPTH + np.arange(DEEPEST)) % VALUES
     for pdf in batches:
-        if len(pdf):
-            x, y = (np.frombuffer(b"".join(pdf[c]), "<u4").reshape(-1, VALUES) for c in ("sig", "hub_sig"))
-            yield pdf[["id", "hub"]].assign(ok=(x == y).mean(axis=1) >= ALIKE)
+        for i in range(0, len(pdf), 1024):
+            part = pdf.iloc[i : i + 1024]
+            values = np.frombuffer(b"".join(part["sig"]), "<u4").reshape(-1, VALUES)[:, at].astype(np.uint64) & np.uint64(0xFFFF)
+            lanes = values.reshape(-1, 2, 4)
+            packed = ((lanes[..., 0] << np.uint64(48)) | (lanes[..., 1] << np.uint64(32)) | (lanes[..., 2] << np.uint64(16)) | lanes[..., 3]).view(np.int64)
+            yield pd.DataFrame({"tree": np.tile(np.arange(TREES), len(part)), "p0": packed[:, 0], "p1": packed[:, 1], "id": np.repeat(part["id"].to_numpy(np.int64), TREES)})
+
+
+def common_prefix(tree: np.ndarray, p0: np.ndarray, p1: np.ndarray) -> np.ndarray:
+    """Of each row but the first how many leading values it shares with the row before."""
+    lead = lambda x: sum((x >> np.uint64(k)) == 0 for k in (48, 32, 16)) + (x == 0)
+    a, b = (lead(x[1:].view(np.uint64) ^ x[:-1].view(np.uint64)) for x in (p0, p1))
+    return np.where(tree[1:] == tree[:-1], np.where(a == 4, a + b, a), 0)
+
+
+DEPTHS = range(DEPTH, DEEPEST)
+
+
+def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of a sorted partition the nodes that share DEPTH values with the node before: that node, how many, the regions' first nodes. side: the partition's ends."""
+    task = TaskContext.get()
+    part, last, heads = task.partitionId() if task else 0, None, None
+    columns = ["part", "side", "tree", "p0", "p1", "id", "prev", "lcp", *[f"head{d}" for d in DEPTHS]]
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        started = last is not None
+        if started:
+            pdf = pd.concat([last, pdf], ignore_index=True)
+        n, ids = len(pdf), pdf["id"].to_numpy()
+        lcp = np.append(0, common_prefix(pdf["tree"].to_numpy(), pdf["p0"].to_numpy(), pdf["p1"].to_numpy()))
+        first = {}
+        for d in DEPTHS:
+            place = np.maximum.accumulate(np.where(lcp < d, np.arange(n), 0))
+            first[f"head{d}"] = np.where((place == 0) & started, heads[d] if started else ids[0], ids[place])
+        out = pdf.assign(part=part, side=0, prev=np.append(-1, ids[:-1]), lcp=lcp, **first)
+        if not started:
+            yield out.iloc[:1].assign(side=1)[columns]
+        yield out[(lcp >= DEPTH) & (np.arange(n) > 0)][columns]
+        last, heads, end = pdf.iloc[-1:], {d: int(first[f"head{d}"][-1]) for d in DEPTHS}, out.iloc[-1:]
+    if last is not None:
+        yield end.assign(side=2)[columns]
+
+
+def _alike(least: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x, y = (np.frombuffer(b"".join(pdf[c]), "<u4").reshape(-1, VALUES) for c in ("sig", "other_sig"))
+                yield pdf[(x == y).mean(axis=1) >= least][["id", "other"]]
+
+    return run
 
 
 def _links(sets: list[np.ndarray], percent: int, rows: int | None = None) -> np.ndarray:
@@ -170,35 +225,32 @@ def _across(percent: int):
     return run
 
 
-def _candidates(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+def _candidates(nodes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Candidate edges (a, b) of the forest. nodes: id, sig."""
-    spark = nodes.sparkSession
-    twice = F.concat("sig", "sig")
-    key = lambda t, depth: F.xxhash64(F.lit(t), F.substring(twice, 4 * DEPTH * t + 1, 4 * depth))
-    rows = nodes.select("id", F.posexplode(F.array(*[key(t, DEPTH) for t in range(TREES)])).alias("tree", "region"))
-    edges = None
-    for depth in range(DEPTH, DEEPEST + 1):
-        hubs = rows.groupBy("region").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-        asked = scratch.table(rows.join(hubs, "region").where("id != hub"), f"asked{depth}")
-        pairs = asked.select("id", "hub").distinct()
-        if depth == DEEPEST:
-            found, rows = pairs.select(F.col("id").alias("a"), F.col("hub").alias("b")), None
-        else:
-            sigs = pairs.join(nodes, "id").join(nodes.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-            told = scratch.table(sigs.select("id", "hub", "sig", "hub_sig").mapInPandas(_alike, "id long, hub long, ok boolean"), f"told{depth}")
-            found = told.where("ok").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-            unlike = asked.join(told.where("not ok"), ["id", "hub"]).select("id", "tree")
-            deeper = F.element_at(F.array(*[key(t, depth + 1) for t in range(TREES)]), F.col("tree") + 1)
-            rows = scratch.table(unlike.join(nodes, "id").select("id", "tree", deeper.alias("region")), f"rows{depth + 1}")
-        edges = found if edges is None else edges.union(found)
-        if rows is not None and rows.isEmpty():
-            break
-    return edges
+    order = ["tree", "p0", "p1", "id"]
+    places = nodes.mapInPandas(_orders, "tree int, p0 long, p1 long, id long")
+    heads = [f"head{d}" for d in DEPTHS]
+    fields = "part int, side int, tree int, p0 long, p1 long, id long, prev long, lcp int, " + ", ".join(f"{h} long" for h in heads)
+    met = scratch.table(places.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_neighbours, fields), "neighbours")
+    # The ends of partitions, two rows each, in their order: a first row's neighbour is the last row of the partition before.
+    ends = met.where("side > 0").select("tree", "p0", "p1", "id", "side", *[F.lag(c).over(Window.orderBy("part", "side")).alias(f"b_{c}") for c in ("tree", "p0", "p1", "id", *heads)])
+    lane = lambda k: (F.shiftrightunsigned(F.col(f"p{k // 4}").bitwiseXOR(F.col(f"b_p{k // 4}")), 48 - 16 * (k % 4)) == 0)
+    shared = F.lit(0)
+    for k in reversed(range(DEEPEST)):
+        shared = F.when(lane(k), 1 + shared).otherwise(0)
+    border = ends.where("side = 1 and tree = b_tree").select("id", F.col("b_id").alias("prev"), shared.alias("lcp"), *[F.col(f"b_{h}").alias(h) for h in heads])
+    asked = met.where("side = 0").select("id", "prev", "lcp", *heads).unionByName(border.where(F.col("lcp") >= DEPTH))
+    others = F.array("prev", *[F.when(F.col("lcp") >= d, F.col(f"head{d}")) for d in DEPTHS])
+    pairs = scratch.table(asked.select("id", F.explode(F.array_compact(others)).alias("other")).where("id != other").distinct(), "pairs")
+    sigs = scratch.table(pairs.join(nodes, "id"), "sigs").join(nodes.select(F.col("id").alias("other"), F.col("sig").alias("other_sig")), "other")
+    alike = sigs.select("id", "other", "sig", "other_sig").mapInPandas(_alike(percent / 100 - SLACK), "id long, other long")
+    return alike.toDF("a", "b").union(asked.where(F.col("lcp") == DEEPEST).select("id", "prev"))
 
 
 def _confirmed(docs: DataFrame, classes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(id, label) of every document in a class. docs: id, text; classes: id, n, component."""
-    sizes = classes.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    # Tables on both sides of the joins on components, so that Spark can split a large class's rows.
+    sizes = scratch.table(classes.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")), "sizes")
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")
     dealt = classes.join(sizes.select("component", blocks.alias("blocks")), "component").select("id", "component", "blocks", F.pmod(F.xxhash64("id"), "blocks").alias("block"))
     schema = "id long, component long, blocks long, cluster long, leader boolean, items binary"
@@ -249,13 +301,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     full = seen.where("n > 0 and id is not null")
     heads = scratch.table(full.groupBy("key").agg(F.min("id").alias("id")), "heads")
     nodes = scratch.table(full.join(heads, ["key", "id"], "left_semi").dropDuplicates(["id", "key"]).select("id", "n", "sig"), "nodes")
-    edges = _candidates(nodes.select("id", "sig"), scratch)
+    edges = _candidates(nodes.select("id", "sig"), scratch, percent)
     classes = scratch.table(components(edges, scratch).join(nodes.select("id", "n"), "id"), "classes")
     label = _confirmed(texts, classes, scratch, percent)
-    label = label.groupBy("id").agg(F.min("label").alias("label"))
-    lowest = label.groupBy("label").agg(F.min("id").alias("lowest"))
+    label = scratch.table(label.groupBy("id").agg(F.min("label").alias("label")), "label")
+    lowest = scratch.table(label.groupBy("label").agg(F.min("id").alias("lowest")), "lowest")
     label = scratch.table(label.join(lowest, "label").select("id", F.col("lowest").alias("component_id")), "labels")
-    # Tables on both sides of the joins on hot keys: Spark can then split a hot key's rows.
     of_key = scratch.table(heads.join(label, "id", "left").select("key", F.coalesce("component_id", "id").alias("component_id")), "of_key")
     out = seen.join(of_key, "key", "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
