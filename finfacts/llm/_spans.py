@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: A text's last word; a match can only start where a word does, so the search is linear.
+LAST_WORD = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$"
 SPAN = "array<struct<s:int,e:int,v:string,left:string>>"
 
 
 def spans(text: Column, pattern: str, gate: Column | None = None) -> Column:
     """Leftmost non-overlapping matches as structs (s, e, v, left): code points, end exclusive.
 
-    The pieces between the matches and the matches themselves give the offsets by a running sum. left is the
-    end of the piece before the match. gate: a cheap test that a text with a match passes.
+    The pieces between the matches and the matches themselves give the offsets by a running sum. left is the last
+    word before the match, which may be the end of the match before. gate: a cheap test that a text with a match passes.
     """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(pieces.alias("p"), found.alias("m"))
@@ -20,11 +22,13 @@ def spans(text: Column, pattern: str, gate: Column | None = None) -> Column:
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["p"])
         e = s + F.length(x["m"])
-        span = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("v"), F.right(x["p"], F.lit(48)).alias("left"))
-        return F.struct(F.coalesce(e, s).alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], span)).alias("out"))
+        blank = x["p"].rlike(r"^[\x20\x09-\x0D]*+$")
+        left = F.regexp_extract(F.when(blank, acc["last"]).otherwise(x["p"]), LAST_WORD, 1)
+        span = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("v"), left.alias("left"))
+        return F.struct(F.coalesce(e, s).alias("at"), F.coalesce(x["m"], F.lit("")).alias("last"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], span)).alias("out"))
 
     none = F.from_json(F.lit("[]"), SPAN)
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), none.alias("out"))
     all_ = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
     return all_ if gate is None else F.when(gate, all_).otherwise(none)
 

@@ -1,6 +1,6 @@
 """Personal data: base patterns, and unseen identifiers by bootstrapped contextual extraction.
 
-The base spans of a text are the seed entities. The word to the left of a seed is its lexical pattern. Candidates are
+The base spans of a text are the seed entities. The whole word to the left of a seed is its lexical pattern, whatever it is. Candidates are
 words with a digit or an @ that no base span covers; a candidate belongs to a kind if its shape fits it. Patterns and
 instances (seeds and candidates by their surface) form a bipartite graph per kind. Spark scores it in rounds: a
 pattern by the mean score of its instances, shrunk towards 0, an instance by the mean score of its patterns; seeds stay at 1.
@@ -68,7 +68,6 @@ def detect(
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     text = F.col("__t")
-    pattern_of = lambda left: F.lower(F.regexp_extract(left, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
     base = base_spans(text)
     inside = lambda x: F.exists(F.flatten(F.array(*[F.col(k) for k in KINDS])), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
     trimmed = lambda x: F.regexp_replace(x["v"], r"[.,;:!?'\")\]}>*#$%&|]+$", "")
@@ -76,12 +75,13 @@ def detect(
         docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("__t"))
         .select("id", "__t", *[v.alias(k) for k, v in base.items()])
         .withColumn("c", F.filter(spans(text, CANDIDATE, text.rlike("[0-9@]")), lambda x: ~inside(x)))
-        .withColumn("c", F.transform("c", lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.length(trimmed(x))).alias("e"), trimmed(x).alias("v"), pattern_of(x["left"]).alias("p"))))
+        .withColumn("c", F.transform("c", lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.length(trimmed(x))).alias("e"), trimmed(x).alias("v"), F.lower(x["left"]).alias("p"))))
         .withColumn("c", F.filter(F.transform("c", lambda x: F.struct(candidate_kind(x["v"]).alias("k"), x["s"], x["e"], x["v"], x["p"])), lambda x: x["k"].isNotNull() & (x["p"] != "")))
         .select(
             "id",
-            F.xxhash64("id", "__t").alias("row"),
-            *[F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.xxhash64(x["v"]).alias("i"), pattern_of(x["left"]).alias("p"))).alias(k) for k in KINDS],
+            F.col("id").cast("string").alias("key"),
+            F.sha2("__t", 256).alias("row"),
+            *[F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.sha2(x["v"], 256).alias("i"), F.lower(x["left"]).alias("p"))).alias(k) for k in KINDS],
             "c",
         )
     )
@@ -90,25 +90,26 @@ def detect(
     # The graph's edges: distinct (kind, pattern, instance), summed map-side before they are dealt out.
     node = lambda k: F.transform(k, lambda x: F.struct(F.lit(k).alias("k"), x["p"].alias("p"), x["i"].alias("i"), F.lit(1.0).alias("seed")))
     seeds = F.flatten(F.array(*[node(k) for k in KINDS]))
-    others = F.transform("c", lambda x: F.struct(x["k"].alias("k"), x["p"].alias("p"), F.xxhash64(x["v"]).alias("i"), F.lit(0.0).alias("seed")))
+    others = F.transform("c", lambda x: F.struct(x["k"].alias("k"), x["p"].alias("p"), F.sha2(x["v"], 256).alias("i"), F.lit(0.0).alias("seed")))
     edges = found.select(F.inline(F.concat(seeds, others))).where("p != ''").groupBy("k", "p", "i").agg(F.max("seed").alias("seed"))
     edges = scratch.table(edges, "edges")
     scored = edges.withColumn("score", F.col("seed"))
     for r in range(rounds):
         patterns = scored.groupBy("k", "p").agg((F.sum("score") / (F.count("*") + F.lit(shrink))).alias("ps"), F.sum("seed").alias("seeds"))
         patterns = scratch.table(patterns, f"patterns{r}")
-        instances = edges.where("seed = 0").join(patterns, ["k", "p"]).groupBy("k", "i").agg(F.avg("ps").alias("is"))
+        instances = scratch.table(edges.where("seed = 0").join(patterns, ["k", "p"]).groupBy("k", "i").agg(F.avg("ps").alias("is")), f"instances{r}")
         scored = edges.join(instances, ["k", "i"], "left").select("k", "p", "i", "seed", F.when(F.col("seed") > 0, 1.0).otherwise(F.coalesce("is", F.lit(0.0))).alias("score"))
         if r < rounds - 1:
             scored = scratch.table(scored, f"scored{r}")
     good = patterns.where((F.col("ps") >= min_score) & (F.col("seeds") >= min_seeds)).select("k", "p", "ps")
     new = (
-        found.select("row", F.inline("c"))
+        found.select(F.coalesce("key", F.lit("")).alias("key"), "row", F.inline("c"))
         .join(good, ["k", "p"])
-        .groupBy("row")
+        .groupBy("key", "row")
         .agg(F.array_sort(F.collect_set(F.struct("s", "e", "k", F.col("ps").alias("score")))).alias("found"))
     )
-    return scratch.finish(found.drop("c").join(new, "row", "left").drop("row").withColumn("found", F.coalesce("found", F.array().cast("array<struct<s:int,e:int,k:string,score:double>>"))))
+    told = found.drop("c").withColumn("key", F.coalesce("key", F.lit(""))).join(new, ["key", "row"], "left").drop("key", "row")
+    return scratch.finish(told.withColumn("found", F.coalesce("found", F.array().cast("array<struct<s:int,e:int,k:string,score:double>>"))))
 
 
 def digest(found: DataFrame) -> DataFrame:
