@@ -1,6 +1,6 @@
 """Secret scans: base patterns and high-entropy tokens, told apart by corpus-wide ownership frequency.
 
-Every candidate value is hashed; the hashes are counted by distinct repositories and distinct owners over the whole
+Every candidate value is hashed (SHA-256); the hashes are counted by distinct repositories and distinct owners over the whole
 corpus. A value that several owners hold is a copied example; one that a single owner holds in few repositories looks
 live. Live-looking tokens outside the base spans are added as kind `key`. Built-in functions only.
 
@@ -37,21 +37,22 @@ def scan(
 ) -> DataFrame:
     """One row per document: id, found: array of (s, k, e, base, owners, repos, verdict) by place.
 
-    repo, owner: who holds a document (by default its source and language, and its source).
+    repo, owner: who holds a document (by default its source and language, and its source, each empty where docs hasn't the column).
     verdict: live (at most live_owners owners and live_repos repositories), example (copied_owners owners or more), else unsure.
     """
     scratch = Scratch(docs.sparkSession)
-    repo = F.concat_ws("/", "source", "lang") if repo is None else repo
-    owner = F.col("source") if owner is None else owner
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
+    repo = F.concat(named("source"), F.lit("\0"), named("lang")) if repo is None else repo
+    owner = named("source") if owner is None else owner
     text = F.col("__t")
     value = lambda k, v: F.regexp_extract(v, ASSIGN, 1) if k == "assign" else v
-    tagged = lambda k, rank: F.transform(F.col(k), lambda x: F.struct(x["s"].alias("s"), F.lit(rank).alias("rank"), x["e"].alias("e"), F.xxhash64(value(k, x["v"])).alias("h")))
+    tagged = lambda k, rank: F.transform(F.col(k), lambda x: F.struct(x["s"].alias("s"), F.lit(rank).alias("rank"), x["e"].alias("e"), F.sha2(value(k, x["v"]), 256).alias("h")))
     apart = lambda x: ~F.exists(F.flatten(F.array(*[F.col(k) for k in KINDS])), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
     found = (
         docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("__t"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"))
         .select("id", "repo", "owner", "__t", *[v.alias(k) for k, v in base_spans(text).items()])
         .withColumn("key", F.filter(spans(text, TOKEN, text.rlike("[A-Za-z0-9+/_=-]{20}")), apart))
-        .select("id", "repo", "owner", F.xxhash64("id", "repo", "owner", "__t").alias("row"), F.array_sort(F.concat(*[tagged(k, i) for i, k in enumerate((*KINDS, "key"))])).alias("found"))
+        .select("id", "repo", "owner", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key"), F.sha2("__t", 256).alias("row"), F.array_sort(F.concat(*[tagged(k, i) for i, k in enumerate((*KINDS, "key"))])).alias("found"))
     )
     found = scratch.table(found, "found")
     # One row for each value and holder; copies within a holder are merged map-side, so a hot value stays spread.
@@ -61,13 +62,13 @@ def scan(
     verdict = F.when(F.col("owners") >= copied_owners, "example").when((F.col("owners") <= live_owners) & (F.col("repos") <= live_repos), "live").otherwise("unsure")
     told = (
         found.where(F.size("found") > 0)
-        .select("row", F.inline("found"))
+        .select("key", "row", F.inline("found"))
         .join(owned, "h")
-        .groupBy("row")
+        .groupBy("key", "row")
         .agg(F.array_sort(F.collect_set(F.struct("s", "rank", "e", (F.col("rank") < len(KINDS)).alias("base"), "owners", "repos", verdict.alias("verdict")))).alias("found"))
     )
     none = F.array().cast("array<struct<s:int,rank:int,e:int,base:boolean,owners:bigint,repos:bigint,verdict:string>>")
-    return scratch.finish(found.select("id", "row").join(told, "row", "left").select("id", F.coalesce("found", none).alias("found")))
+    return scratch.finish(found.select("id", "key", "row").join(told, ["key", "row"], "left").select("id", F.coalesce("found", none).alias("found")))
 
 
 def digest(found: DataFrame) -> DataFrame:
