@@ -131,20 +131,28 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
-    """This worker's encoder. Python workers find this function by name, so what it keeps serves all their tasks."""
-    key = (len(ranks), max(ranks, key=ranks.get, default=b""), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(ranks, pattern)
-    return _ENCODERS[key]
+def digest_of(ranks: dict[bytes, int], pattern: str) -> str:
+    """Names a vocabulary: SHA-256 of all its entries and the pattern."""
+    told = hashlib.sha256(pattern.encode())
+    for token, rank in sorted(ranks.items()):
+        told.update(b"%d %d " % (len(token), rank) + token)
+    return told.hexdigest()
+
+
+def _encoder(ranks: dict[bytes, int], pattern: str, name: str) -> Encoder:
+    """This worker's encoder. Python workers find this function by its module, so what it keeps serves all their tasks."""
+    if name not in _ENCODERS:
+        _ENCODERS.clear()  # one vocabulary at a time bounds a worker's memory
+        _ENCODERS[name] = Encoder(ranks, pattern)
+    return _ENCODERS[name]
 
 
 def _with_encoder(docs: DataFrame, ranks: dict[bytes, int], pattern: str, of_text, schema: str, id_column: str, text_column: str) -> DataFrame:
     """Apply of_text(encoder, text) -> tuple to each text; a worker builds the encoder once."""
-    held = docs.sparkSession.sparkContext.broadcast((ranks, pattern))  # bounded by the vocabulary
+    held = docs.sparkSession.sparkContext.broadcast((ranks, pattern, digest_of(ranks, pattern)))  # bounded by the vocabulary
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(*held.value)
