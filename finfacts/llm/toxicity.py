@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fold
+from ._shared import Scratch, fold
 
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|«»“”„‘’…-_=+~^`/\\"
 QUOTES = re.compile("[\"«»“”„]")
@@ -120,7 +120,7 @@ class _Weights(dict):
         if len(self) > 300_000:
             self.clear()
         word = token.strip(EDGE)
-        w = self[token] = self.lexicon(word)[0] if len(word) > 3 else 0.0
+        w = self[token] = self.lexicon(word)[0] if word else 0.0
         return w
 
 
@@ -173,7 +173,7 @@ def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = [w.strip(EDGE) for w in (text or "").lower().split()]
             own: set[tuple[str, bool, bool]] = set()
             for last, w in zip(["", *words], words):
-                if 3 < len(w) <= 40:
+                if w:
                     terms = [(w, False), *((w[:n], True) for n in STEMS if len(w) > n)]
                     own |= {(*t, bool(toxic)) for t in terms}
                     if toxic:
@@ -205,11 +205,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", most_labelled: int = 20_000, most_terms: int = 2_000, least_gain: float = 30.0, least_weight: float = 2.5) -> Model:
-    """Fit the model. docs, labels are joined by id; the labels' column is toxic."""
+    """Fit the model. docs, labels are joined by id; the labels' column is toxic.
+
+    most_labelled: labelled rows learnt from, where ids repeat too. most_terms: the lexicon's size. least_gain, least_weight: what a term needs.
+    """
+    scratch = Scratch(docs.sparkSession)
     ids = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id"), 5) != 0)).select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("__id"), "__id", "toxic").limit(most_labelled)
     texts = docs.select(F.col(id_column).alias("__doc"), F.col(text_column).cast("string").alias("text"))
-    sample = texts.join(F.broadcast(ids), F.col("__doc") == F.col("__id")).select("text", "toxic")  # most_labelled rows bound the broadcast side
+    sample = texts.join(F.broadcast(ids), F.col("__doc") == F.col("__id")).select("text", "toxic").limit(most_labelled)  # most_labelled rows bound the broadcast side
+    sample = scratch.table(sample.repartition(32), "sample")  # the texts are read once
     counts = {bool(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = counts.get(True, 0), counts.get(False, 0)
     if not toxic or not clean:
@@ -231,7 +236,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = model.weights().lexicon
         for pdf in batches:
-            rows = [(w, lexicon(w)[1]) for t in pdf.loc[pdf["toxic"] == 0, "text"] for w in {w.strip(EDGE) for w in set((t or "").lower().split())} if len(w) > 3]
+            rows = [(w, lexicon(w)[1]) for t in pdf.loc[pdf["toxic"] == 0, "text"] for w in {w.strip(EDGE) for w in set((t or "").lower().split())}]
             yield pd.DataFrame([x for x in rows if x[1]], columns=["word", "term"], dtype="object")
 
     # What clean documents have near a word tells whether it takes an edit at all, or which words are none of its misspellings.
