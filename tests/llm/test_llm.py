@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -130,6 +131,21 @@ def test_context_finds_unseen_identifiers(spark):
     assert found[100] == "email:15:31" and found[101] == ""
 
 
+def test_contexts_are_whole_words(spark):
+    long = "x" * 60
+    rows = [(i, f"write mailbox: user{i}@host.org now", "a") for i in range(40)] + [(100 + i, f"contact2 user{i}@h.org", "a") for i in range(40)] + [(200 + i, f"{long}a user{i}@k.org", "a") for i in range(40)]
+    rows += [(1000, "mailbox:" + " " * 60 + "someone@intranet3", "a"), (1001, "contact2 someone@lan", "a"), (1002, f"{long}a someone@lan", "a"), (1003, f"{long}b someone@lan", "a")]
+    found = {r["doc_id"]: r["spans"] for r in RUNS["pii"](spark, frame(spark, rows)).collect()}
+    assert found[1000] == "email:68:85" and found[1001] == "email:9:20" and found[1002] == "email:62:73" and found[1003] == ""
+
+
+def test_holders_are_told_apart(spark):
+    key = "aB3dE6gH9jK2mN5pQ8sT"
+    d = frame(spark, [(1, key, None), (2, key, "x")]).withColumn("lang", F.when(F.col("doc_id") == 1, "x"))
+    assert {r["found"][0]["repos"] for r in secrets.scan(d).collect()} == {2}
+    assert secrets.digest(secrets.scan(d.drop("source", "lang"))).count() == 2
+
+
 def test_ownership_tells_examples_from_live_keys(spark):
     shared, own = "aB3dE6gH9jK2mN5pQ8sT", "zY8xW5vU2tS9rQ6pO3nM"
     rows = [(i, f"key {shared} end", f"owner{i}") for i in range(5)] + [(9, f"key {own} end", "owner1")]
@@ -167,6 +183,22 @@ def test_quotation_counts_less():
     assert quoted < plain < aimed and toxicity.features('He said: "go on, idiot, go." Then', weights)[3] == 1
 
 
+def test_repeated_ids_stay_within_the_bound(spark):
+    rows = [(i % 7, "you idiot" if i % 7 < 3 else "fine day", "a") for i in range(400)]
+    marks = labels(spark, [(i % 7, 1, int(i % 7 < 3)) for i in range(70)])
+    model = toxicity.learn(frame(spark, rows), marks, most_labelled=50)
+    assert 0 < model.prior < 1
+    kept = {r["doc_id"] for r in toxicity.keep_rows(frame(spark, rows), marks).collect()}
+    assert {3, 4, 5, 6} <= kept
+
+
+def test_short_and_long_words_are_learnt(spark):
+    word = "toxicword" * 6
+    rows = [(i, (f"pig {word} word{i}" if i % 2 else "calm words here") + f" text{i % 5}", "a") for i in range(200)]
+    model = toxicity.learn(frame(spark, rows), labels(spark, [(i, 1, i % 2) for i in range(200)]), least_gain=5.0, least_weight=1.0)
+    assert "pig" in model.words and word in model.words
+
+
 def test_held_out_accuracy(spark, sf):
     sf = sf.replace("0.001", "0.01")
     told = queries.op2_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
@@ -211,6 +243,13 @@ def test_bpe_long_pretokens(coder):
     assert not encoder.queue.buckets and not any(encoder.queue.low) and not any(encoder.queue.mid)
 
 
+def test_vocabularies_of_one_size_are_told_apart(spark):
+    d = frame(spark, [(1, "abc", "a")])
+    one, two = ({b"a": 0, b"b": 1, b"c": 2, x: 3, b"abcd": 4} for x in (b"ab", b"bc"))
+    told = [bpe.encode(d, ranks, ".+").first()["ids"] for ranks in (one, two, one)]
+    assert told == [[3, 2], [0, 3], [3, 2]]
+
+
 def test_bpe_columns(spark, coder):
     d = frame(spark, [(1, "Hello wörld", "a"), (2, None, "a")])
     encoded = bpe.encode(d, coder[0].ranks, queries.public_tokenizers.PATTERN)
@@ -248,6 +287,38 @@ def test_mixing_has_converged_with_the_production_targets(spark, sf, kw):
         mixing.rates(_shared.documents(spark, sf), queries.domains(spark, sf), queries.TARGETS, rounds=1, **kw)
 
 
+def test_mixing_is_as_near_as_an_independent_solver(spark, sf):
+    out = mixing.rates(_shared.documents(spark, sf), queries.domains(spark, sf), queries.TARGETS).toPandas()
+    w, r = out["n_tokens"].to_numpy(float), out["rate"].to_numpy()
+    a = (out[[f"p_{x}" for x in queries.TARGETS]].to_numpy() * w[:, None] / w.sum()).T
+    t, x = np.array(list(queries.TARGETS.values())), np.ones(len(w))
+    step, y, k = 1 / np.linalg.norm(a @ a.T, 2), x.copy(), 1.0
+    for _ in range(20_000):  # accelerated projected gradient
+        new = np.maximum(0, y - step * (a.T @ (a @ y - t)))
+        k2 = (1 + math.sqrt(1 + 4 * k * k)) / 2
+        y, x, k = new + (k - 1) / k2 * (new - x), new, k2
+    assert abs(np.linalg.norm(a @ r - t) - np.linalg.norm(a @ x - t)) < 1e-4
+
+
+def test_domains_are_told_apart_on_held_out_documents(spark, sf):
+    sf = sf.replace("0.001", "0.01")
+    marks, docs = queries.domains(spark, sf), _shared.documents(spark, sf)
+    fold = _shared.fold(F.col("doc_id"), 5)
+    model = mixing.learn(docs.select(F.col("doc_id").alias("id"), "text"), marks.where(fold != 0), [], _shared.Scratch(spark))
+    told = docs.join(marks.where(fold == 0), "doc_id").select("domain", model.posteriors(_shared.text_of("text")).alias("p")).collect()
+    assert sum(model.domains[int(np.argmax(r["p"]))] == r["domain"] for r in told) / len(told) > 0.85
+
+
+def test_softmax_regression_is_at_its_optimum():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(300, 4)) * [1, 5, 0.1, 2] + [0, 3, 0, -2], rng.integers(0, 3, 300)
+    w = mixing.softmax_regression(x, y, 3)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    loss = lambda v: -float((lambda s: (s - np.log(np.exp(s).sum(axis=1, keepdims=True)))[np.arange(300), y].sum())(z @ v[:, :-1].T + v[:, -1])) + ((v[:, :-1] ** 2).sum() + 1e-2 * (v[:, -1] ** 2).sum()) / 2
+    v = np.column_stack([w[:, :-1] * x.std(axis=0), w[:, -1] + (w[:, :-1] * x.mean(axis=0)).sum(axis=1)])
+    assert all(loss(v) <= loss(v + d) for d in rng.normal(size=(50, *v.shape)) * 1e-2)
+
+
 # op5
 
 
@@ -262,6 +333,44 @@ def test_html_sequences_keep_their_order():
     assert media.sequence(None) == []
 
 
+def test_captions_stay_with_their_media():
+    seen = lambda page: [tuple(x for x in i[2:] if x is not None) for i in media.sequence(page)]
+    assert seen('<figure><figcaption>before</figcaption><img src="a" alt="x"></figure>') == [("a", "before")]
+    assert seen('<figure><img src="a"><figure><img src="b"><figcaption>inner</figcaption></figure><figcaption>outer</figcaption></figure>') == [("a", "outer"), ("b", "inner")]
+    assert seen('<figure><img src="a"><figcaption>open</figure><p>text</p>') == [("a", "open"), ("text",)]
+    assert seen('<figure><img src="a"><figcaption>open<p>text</p>') == [("a", "open"), ("text",)]
+    assert seen('<figcaption>alone</figcaption><img alt="no src"><img src="a" alt="alt">') == [("alone",), ("a", "alt")]
+    assert seen("text<script>never closed") == [("text",)]
+
+
+def test_pages_are_interleaved(spark, sf):
+    """Every page of the table, with two media put in, one of them without a payload."""
+    payload = media.payload_of("some sound")[0]
+    digest = hashlib.sha256(payload).hexdigest()
+    figure = f'<figure><img src="media:sha256:{digest}"><figcaption>said</figcaption></figure>tail<img src="media:sha256:none" alt="gone">'
+    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumn("html", F.regexp_replace("html", "</article>", figure + "</article>"))
+    read = media.measured(spark.createDataFrame([(digest, bytearray(media.to_wav(payload)))], "digest string, media binary"))
+    out = {r["id"]: r["items"] for r in media.interleave(pages, read).collect()}
+    for r in pages.collect():
+        items = [x for x in out[r["page_id"]]]
+        assert [tuple(x)[:5] for x in items] == media.sequence(r["html"])
+        (one, gone) = (x for x in items if x["kind"] == "media")
+        assert (one["caption"], one["payload_bytes"], one["feature"]) == ("said", 64, media.feature_of(payload)) and (gone["caption"], gone["feature"]) == ("gone", None)
+    assert media.interleave(pages.limit(0), read).count() == 0
+
+
+def test_media_columns_are_brute_force(spark, sf):
+    texts = {r["doc_id"]: r["text"] or "" for r in _shared.documents(spark, sf).collect()}
+    for r in queries.op5_media(spark, sf).collect():
+        data = texts[r["doc_id"]].encode()
+        padded = data + bytes(-len(data) % 64 if data else 64)
+        stored = media.to_wav(padded)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(padded[-64:]), len(stored), hashlib.sha256(stored).hexdigest())
+        mean = sum(padded) / len(padded)
+        assert r["feature"].startswith(f"mean={mean:.6f};") and r["aligned"] and [x["kind"] for x in r["items"]].count("media") == 1
+
+
 def test_unknown_references_stay(spark):
     refs = spark.createDataFrame([("d", 0, "missing")], "id string, position int, digest string")
     stored = spark.createDataFrame([("other", bytearray(media.to_wav(bytes(64))))], "digest string, media binary")
@@ -277,14 +386,14 @@ def words(x):
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
 
 
-def near_groups(texts):
+def near_groups(texts, percent=85):
     sets, of = {i: words(t or "") for i, t in texts.items()}, {}
     for i in sorted(sets):
         todo, seen = [i], {i}
         while todo:
             a = todo.pop()
             for b in sets:
-                if b not in seen and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                if b not in seen and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                     seen.add(b)
                     todo.append(b)
         of[i] = min(seen)
@@ -328,10 +437,36 @@ def test_components(spark):
     assert out == {x: c for x, c in label.items() if any(x in e and e[0] != e[1] for e in edges)}
 
 
-def test_components_that_do_not_converge_are_an_error(spark):
-    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
-    with pytest.raises(RuntimeError):
-        _graph.components(chain, _shared.Scratch(spark), most=1, one_task=0)
+def test_long_chains_are_one_component(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(600)], "a long, b long")
+    assert {r["component"] for r in _graph.components(chain, _shared.Scratch(spark), one_task=0).collect()} == {0}
+
+
+def test_near_duplicates_at_another_similarity(spark):
+    texts = family(30, 5, edits=7) + family(10, 6, length=60, edits=3)
+    sets, of = near_groups(dict(enumerate(texts)), 80)
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, [(i, t, "a") for i, t in enumerate(texts)]), percent=80).collect()} == of
+    assert {r["doc_id"] for r in neardup.keep_rows(frame(spark, [(i, t, "a") for i, t in enumerate(texts)]), percent=80).collect()} == {i for i, g in of.items() if i == g}
+
+
+def test_near_duplicates_have_full_recall_on_the_table(spark, sf):
+    """All pairs of the real documents, compared exactly."""
+    texts = {r["doc_id"]: r["text"] for r in _shared.documents(spark, sf).collect()}
+    assert {r["doc_id"]: r["component_id"] for r in queries.op6_near_duplicates(spark, sf).collect()} == near_groups(texts)[1]
+
+
+def test_neighbours_share_the_longest_prefix():
+    rng = np.random.default_rng(8)
+    sigs = rng.integers(0, 3, (50, neardup.VALUES)).astype("<u4")
+    places = pd.concat(neardup._orders(iter([pd.DataFrame({"id": np.arange(50), "sig": [x.tobytes() for x in sigs]})]))).sort_values(["tree", "p0", "p1", "id"], ignore_index=True)
+    lcp = neardup.common_prefix(places["tree"].to_numpy(), places["p0"].to_numpy(), places["p1"].to_numpy())
+    for i, (x, y) in enumerate(zip(places.itertuples(), places.iloc[1:].itertuples())):
+        at = (x.tree * neardup.DEPTH + np.arange(neardup.DEEPEST)) % neardup.VALUES
+        same = sigs[x.id][at] == sigs[y.id][at]
+        assert lcp[i] == (0 if x.tree != y.tree else neardup.DEEPEST if same.all() else same.argmin())
+    whole = pd.concat(neardup._neighbours(iter([places])))
+    cut = pd.concat(neardup._neighbours(iter([places.iloc[:333], places.iloc[333:700], places.iloc[700:]])))
+    pd.testing.assert_frame_equal(whole.reset_index(drop=True), cut.reset_index(drop=True), check_dtype=False)
 
 
 def test_exact_dedup_is_brute_force(spark):
@@ -340,16 +475,40 @@ def test_exact_dedup_is_brute_force(spark):
     groups = collections.defaultdict(list)
     for i, t, _ in rows:
         groups[re.sub("[ \t-\r]", "", t)].append((-len(t), i))
-    for kw in ({}, {"capacity": 1, "bits": 3}):
+    one_letter = lambda n: F.xxhash64(F.substring(n, 1, 1))  # noqa: E731  # texts with one first letter collide
+    for kw in ({}, {"capacity": 1}, {"capacity": 2, "key_of": one_letter}):
         for r in exact_dedup.deduplicate(frame(spark, rows), **kw).collect():
             n = re.sub("[ \t-\r]", "", rows[r["doc_id"]][1])
             assert (r["keep_id"], r["group_size"], r["text_sha256"]) == (min(groups[n])[1], len(groups[n]), hashlib.sha256(n.encode()).hexdigest())
 
 
 def test_directory_doubles():
-    out = exact_dedup.directory({0: 5, 1: 5, 7: 3}, 3, 6)
-    assert len(out) == 8 and out[0] != out[1] and out[4] == out[7]
-    assert exact_dedup.directory({}, 3, 6) == [0] * 8 and exact_dedup.directory({0: 99}, 2, 6)[0] == 0
+    d = exact_dedup.Directory()
+    d.grow({0: 5, 1: 5, 7: 3}, 3, 6)
+    assert (d.depth, len(d.slots)) == (3, 8) and d.slots[0] != d.slots[1] and d.slots[4] == d.slots[7] != d.slots[2]  # the first half split twice more
+    for b, (prefix, local) in enumerate(zip(d.prefix, d.local)):
+        assert [k for k, x in enumerate(d.slots) if x == b] == [k for k in range(8) if k >> (3 - local) == prefix]
+    one = exact_dedup.Directory()
+    one.grow({0: 6}, 3, 6)
+    assert (one.depth, one.slots) == (0, [0])
+    one.grow({0: 99}, 2, 6)  # one key range only: it splits as deep as the counts tell
+    assert one.depth == 2
+
+
+def test_buckets_split_and_collisions_chain(spark):
+    rows = [(i, f"{'abcdefgh'[i % 8]}{i % 40}", "s") for i in range(200)]
+    d = frame(spark, rows)
+    held, index = exact_dedup.build_index(d, _shared.Scratch(spark), "doc_id", "text", capacity=2, key_of=lambda n: F.xxhash64(F.substring(n, 1, 1)))
+    told = index.collect()
+    assert held.depth >= 2 and len({r["bucket"] for r in told}) > 2 and {r["bucket"] for r in told} <= set(held.slots)
+    assert sorted(len(r["chain"]) for r in told) == [5] * 8 and sum(e["size"] for r in told for e in r["chain"]) == 200
+
+
+def test_ids_may_be_texts(spark):
+    rows = [(f"d{i}", "same text" if i % 2 else f"text {i}", "s") for i in range(6)]
+    d = frame(spark, rows, SCHEMA.replace("doc_id long", "doc_id string"))
+    assert {r["doc_id"]: r["keep_id"] for r in exact_dedup.deduplicate(d).collect()}["d5"] == "d1" and exact_dedup.keep_rows(d).count() == 4
+    assert sorted(r["doc_id"] for r in brown_lm.score(d).collect()) == [x[0] for x in rows]
 
 
 # op7
@@ -379,8 +538,69 @@ def test_exchange_never_lowers_the_likelihood():
         return phi(t) - phi(t.sum(axis=0)) - phi(t.sum(axis=1))
 
     before = np.concatenate([np.arange(16) % 4, 4 + np.arange(4)])
-    values = [likelihood(before, 8)] + [likelihood(brown_lm.exchange(pairs, 16, 4, sweeps=s), 8) for s in (1, 2, 8)]
-    assert values == sorted(values) and values[-1] > values[0]
+    of = brown_lm.exchange(pairs, 16, 4)
+    assert likelihood(of, 8) > likelihood(before, 8)
+    for w in range(16):  # at the end no move of one item is better
+        for c in range(4):
+            moved = of.copy()
+            moved[w] = c
+            assert likelihood(moved, 8) <= likelihood(of, 8) + 1e-6
+
+
+def test_lm_score_is_brute_force(spark):
+    """Classes of all words by the likelihood itself, transitions and emissions by counting."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(30)] + ["été", "x9", "longerword"]
+    texts = {i: " ".join(rng.choice(vocabulary[: 4 + i % 29]) for _ in range(rng.randrange(0, 40))) for i in range(80)}
+    seeds, classes, add = 6, 3, 0.5
+    out = {r["doc_id"]: r for r in brown_lm.score(frame(spark, [(i, t, "a") for i, t in texts.items()]), seeds=seeds, classes=classes, add=add).collect()}
+    tokens = {i: t.split() for i, t in texts.items()}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = collections.Counter(w for t in train for w in t)
+    top = sorted(counts, key=lambda w: (-counts[w], w.encode()))[:seeds]
+    number = lambda w: top.index(w) if w in top else seeds
+    pairs = np.zeros((seeds + 2, seeds + 2))
+    for t in train:
+        for a, b in zip([seeds + 1, *map(number, t)], [*map(number, t), seeds + 1]):
+            pairs[a, b] += 1
+    of = brown_lm.exchange(pairs, seeds, classes)
+    member = np.zeros((seeds + 2, classes + 2))
+    member[np.arange(seeds + 2), of] = 1
+    table = member.T @ pairs @ member
+    phi = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    label = {w: int(of[i]) for i, w in enumerate(top)}
+    for w in counts:
+        if w not in top:
+            values = []
+            for c in range(classes):
+                t2 = table.copy()
+                for t in train:
+                    around = [classes + 1, *(int(of[number(x)]) for x in t), classes + 1]
+                    for i, x in enumerate(t):
+                        if x == w:
+                            t2[around[i], c] += 1
+                            t2[c, around[i + 2]] += 1
+                values.append(phi(t2) - phi(table) - (phi(t2[c].sum()) - phi(table[c].sum())) - (phi(t2[:, c].sum()) - phi(table[:, c].sum())))
+            label[w] = int(np.argmax(np.round(values, 9)))
+    once = np.zeros((brown_lm.FORMS, classes))
+    for w, n in counts.items():
+        once[brown_lm.form(w.encode()), label[w]] += n == 1
+    unseen = lambda w: int(once[f].argmax() if once[f := brown_lm.form(w.encode())].sum() else once.sum(axis=0).argmax())
+    of_word = lambda w: label[w] if w in label else unseen(w)
+    moves = np.full((classes + 1, classes + 1), add)
+    for t in train:
+        for a, b in zip([classes, *map(of_word, t)], [*map(of_word, t), classes]):
+            moves[a, b] += 1
+    moves = np.log10(moves / moves.sum(axis=1, keepdims=True))
+    sizes, kinds = np.zeros(classes), np.zeros(classes)
+    for w, n in counts.items():
+        sizes[label[w]] += n
+        kinds[label[w]] += 1
+    for i, t in tokens.items():
+        c = [classes, *map(of_word, t), classes]
+        want = sum(moves[a, b] for a, b in zip(c, c[1:])) + sum(math.log10((counts[w] + add) / (sizes[of_word(w)] + add * (kinds[of_word(w)] + 1))) for w in t)
+        assert out[i]["score"] == pytest.approx(want)
+        assert out[i]["perplexity"] == pytest.approx(10 ** (-want / (len(t) + 1)))
 
 
 # op10
@@ -397,6 +617,36 @@ def test_magic_in_payloads_starts_no_record(spark):
     assert out[2]["payload_digest"] == base64.b32encode(hashlib.sha1(fake.encode()).digest()).decode()
 
 
+def test_archives_are_brute_force(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    pages = pages.unionByName(pages.where("page_id % 3 = 0").withColumn("page_id", F.col("page_id") + 100_000)).unionByName(spark.createDataFrame([(-1, "u", "z" * 70_000), (-2, "u", "y" * 1_100_000), (-3, "u", "z" * 70_000)], pages.schema))
+    groups = collections.defaultdict(list)
+    for r in pages.collect():
+        groups[r["html"]].append(r["page_id"])
+    out = {r["page_id"]: tuple(r)[1:] for r in warc.round_trip(pages).collect()}
+    for html, ids in groups.items():
+        data = html.encode()
+        for i in ids:
+            head = max(ids)
+            assert out[i] == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if i == head else "revisit", None if i == head else head)
+    assert len(out) == sum(map(len, groups.values()))
+
+
+def test_scans_are_linear():
+    took = []
+    for n in (4_000, 16_000):
+        data = (warc.record("1", "u", None, b"WARC/1.1\r\n" * n) + warc.END).encode()
+        began = time.perf_counter()
+        assert len(warc.candidates(data)) == 1
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.2
+
+
+def test_a_payload_that_was_changed_is_no_record():
+    data = (warc.record("1", "u", None, b"payload") + warc.END).encode()
+    assert len(warc.candidates(data)) == 1 and warc.candidates(data.replace(b"payload\r", b"paXload\r")) == []
+
+
 def test_pointer_jumping_is_walking():
     data = b"".join((warc.record(str(i), "u", None, b"z" * i + (warc.record("7", "u", None, b"").encode() + b"\r\n\r\n") * (i % 3)) + warc.END).encode() for i in range(50))
     rows = pd.DataFrame(warc.candidates(gzip.decompress(gzip.compress(data)))).iloc[:, :2].to_numpy()
@@ -412,6 +662,21 @@ def test_pointer_jumping_is_walking():
 # The pipeline
 
 
+@pytest.mark.parametrize("which", ["edges", "none"])
+def test_stages_on_edges(spark, which, tmp_path):
+    import corpus_pipeline as c
+
+    labels(spark, [(5, 1, 0), (None, 1, 1), (6, None, None)]).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = empty_or(spark, which)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in c.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "bpe":
+            assert out.columns == docs.columns
+        assert out.count() >= (5 if which == "edges" else 0) and (which == "edges" or out.count() == 0)
+    assert (c.run(spark, str(tmp_path)).count() > 0) == (which == "edges")
+
+
 def test_pipeline_stage_by_stage(spark, sf):
     import corpus_pipeline as c
 
@@ -430,7 +695,7 @@ def test_pipeline_stage_by_stage(spark, sf):
                 best[key] = min(best.get(key, (0, i)), (-len(t), i))
             assert set(b) == {i for _, i in best.values()}
         elif name == "near_dedup":
-            assert set(b) == {i for i, g in near_groups(a)[1].items() if i == g}
+            assert set(b) == {i for i, g in near_groups(a, 80)[1].items() if i == g}
         elif name == "mixing":
             assert set(b) == set(a) and max(b.values()) > 1
         elif name == "bpe":
