@@ -22,8 +22,17 @@ def current(facts: DataFrame, as_of: Column | None = None) -> DataFrame:
 
 
 def priority() -> Column:
-    """Sorts the best version last: class rank, newest publication (unknown ones first), largest id."""
-    return F.struct((-source_rank(F.col("extraction_version"), SOURCE_RANKS)).alias("r"), F.col("published_at").alias("p"), F.col("id").alias("i"))
+    """Sorts the best version last: class rank, newest publication (unknown ones first), largest id.
+
+    Packed in one decimal of 38 digits (1, 17 and 20 of them), which a hash aggregate can keep in its buffer; a struct it can't. Publications
+    are counted in microseconds from the year 1 on.
+    """
+    digits = lambda c, n: c.cast(f"decimal({n},0)")
+    at = F.coalesce(digits(F.unix_micros(F.col("published_at").cast("timestamp")), 18) + F.expr("62135596800000000BD"), F.lit(0).cast("decimal(18,0)"))
+    rank = digits(F.lit(9) - source_rank(F.col("extraction_version"), SOURCE_RANKS), 1)
+    number = digits(F.col("id"), 20) + F.expr("9223372036854775808BD")
+    head = digits(rank * F.expr("100000000000000000BD") + at, 18)
+    return digits(head * F.expr("100000000000000000000BD") + number, 38)
 
 
 def pick_source(facts: DataFrame, keys: Sequence[str] = IDENTITY) -> DataFrame:
@@ -95,9 +104,20 @@ def unpivot(wide: DataFrame, ids: Sequence[str], fields: dict[str, Sequence[str]
     return wide.select(*ids, F.explode(pairs).alias("x")).select(*ids, "x.*").where("value IS NOT NULL")
 
 
+#: Letters with marks and the plain ones that compatibility decomposition leaves of them.
+MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
+PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
+
+
+def slug_of(label: Column) -> Column:
+    """Lower-case letters and digits joined by underscores; letters lose their marks first."""
+    plain = F.translate(F.lower(label), MARKED, PLAIN)
+    return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
 def explode_segments(rows: DataFrame, data: str, ids: Sequence[str]) -> DataFrame:
     """A label -> value map to dimensioned rows with slug keys."""
-    slug = F.regexp_replace(F.regexp_replace(F.lower("label"), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    slug = slug_of(F.col("label"))
     return rows.select(*ids, F.explode(data).alias("label", "value")).withColumn("dimension_key", slug)
 
 

@@ -96,6 +96,19 @@ def yoy_metrics() -> dict[str, Column]:
     }
 
 
+FY_FLOWS = ("revenue", "cogs", "gross_profit", "operating_income", "net_income", "rd", "sbc", "cfo", "capital_expenditures", "dna_cf", "interest_expense", "cash_paid_for_interest", "acquisitions", "tax", "ebt_incl_unusual")
+FY_STOCKS = ("total_assets", "total_equity", *CASH, *DEBT, "accounts_receivable", "inventory", "accounts_payable")
+
+
+def fiscal_year(wide: DataFrame) -> DataFrame:
+    """The annual rows of a wide frame: levels, margins, and stocks at the year's end."""
+    rows = wide.where("period_type = 'annual'")
+    margins = {f"{k}_fy": ratio(v, "revenue") for k, v in {"gross_margin": "gross_profit", "operating_margin": "operating_income", "net_margin": "net_income", "sbc_pct_revenue": "sbc"}.items()}
+    return rows.select(
+        "entity_id", "fiscal_year", "fiscal_period_label", "period_end", *[F.col(c).alias(f"{c}_fy") for c in FY_FLOWS], *[v.alias(k) for k, v in margins.items()], *[F.col(c).alias(f"{c}_fy_end") for c in FY_STOCKS], dbl(zero_sum(DEBT, CASH)).alias("net_debt_fy_end"),
+    )
+
+
 def calendar_year(wide: DataFrame) -> DataFrame:
     """Flows summed, stocks as of the year's last quarter (null if that quarter has none)."""
     flows = ("revenue", "gross_profit", "operating_income", "net_income", "cfo", "capital_expenditures", "sbc")

@@ -218,8 +218,12 @@ def transition(stored: DataFrame, fingerprints: list[str], action: str, now: Col
 
 @dataclass
 class Sweep:
-    """Runs checks apart from each other: one that fails is reported, the others count."""
+    """Runs checks apart from each other: one that fails, in its plan or when it runs, is reported, the others count.
 
+    keep: writes a check's findings and returns their reader, so that each check runs for itself; without it only plans are checked.
+    """
+
+    keep: Callable[[str, DataFrame], DataFrame] | None = None
     failed: dict[str, str] = field(default_factory=dict)
     ran: list[str] = field(default_factory=list)
 
@@ -229,6 +233,7 @@ class Sweep:
             try:
                 df = check()
                 df.schema  # noqa: B018  a check with a wrong plan fails here
+                df = self.keep(name, df) if self.keep else df
             except Exception as e:  # noqa: BLE001  any failure is the check's own
                 self.failed[name] = str(e)[:500]
                 continue
@@ -247,18 +252,68 @@ def inbox(findings: DataFrame, flags: DataFrame, now: Column) -> DataFrame:
 
 
 def coverage_matrix(verticals: dict[str, DataFrame]) -> DataFrame:
-    """Rows, periods and their range per entity and vertical, in one aggregation. Each frame: entity_id, period_end."""
+    """Rows, periods and their range per entity and vertical. Each frame: entity_id, period_end.
+
+    Rows are counted by period first, map-side, so that one small shuffle more does the distinct count of all verticals.
+    """
     rows = reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("vertical"), "entity_id", "period_end") for k, df in verticals.items()])
-    return rows.groupBy("entity_id", "vertical").agg(F.count("*").alias("n_rows"), F.countDistinct("period_end").alias("periods"), F.min("period_end").alias("earliest"), F.max("period_end").alias("latest"))
+    periods = rows.groupBy("entity_id", "vertical", "period_end").agg(F.count("*").alias("n"))
+    return periods.groupBy("entity_id", "vertical").agg(F.sum("n").alias("n_rows"), F.count("period_end").alias("periods"), F.min("period_end").alias("earliest"), F.max("period_end").alias("latest"))
+
+
+def fiscal_key(key: Column) -> tuple[Column, Column]:
+    """Year and quarter of FY2024, FY2024-Q1 or FY2024 Q1; null where there is none."""
+    number = lambda group: F.nullif(F.regexp_extract(key, r"^FY(\d{4})(?:[- ]Q([1-4]))?$", group), F.lit("")).cast("int")
+    return number(1), number(2)
 
 
 def resolving_runs(resolved: DataFrame, runs: DataFrame, minutes: int = 60) -> DataFrame:
-    """Succeeded runs that ended within the minutes before a finding was resolved, of its ticker or of all.
+    """Succeeded runs that ended within the minutes before a finding was resolved, of its ticker or of all, with a label of what they did.
 
-    The range join is an equi-join on hour buckets: a resolution looks at the buckets that its window touches.
+    Where the finding's fiscal_period_key and the run's counts both name a fiscal year or quarter, these must agree. The range join is an
+    equi-join on buckets of the window's length: a resolution looks at the two that its window touches.
     """
     bucket = lambda c: F.floor(F.unix_timestamp(c) / (60 * minutes))
-    left = resolved.withColumn("b", F.explode(F.array(bucket("resolved_at"), bucket("resolved_at") - 1)))
-    right = runs.where("status = 'succeeded' AND kind <> 'reconciliation'").withColumn("b", bucket("ended_at"))
+    year, quarter = fiscal_key(F.col("fiscal_period_key"))
+    left = resolved.withColumns({"f_year": year, "f_quarter": quarter}).withColumn("b", F.explode(F.array(bucket("resolved_at"), bucket("resolved_at") - 1)))
+    right = runs.where("status = 'succeeded' AND kind <> 'reconciliation'").withColumns({"b": bucket("ended_at"), "r_year": F.get_json_object("counts", "$.fiscal_year").cast("int"), "r_quarter": F.get_json_object("counts", "$.fiscal_quarter").cast("int")})
     within = (F.col("ended_at") <= F.col("resolved_at")) & (F.col("ended_at") >= F.col("resolved_at") - F.expr(f"INTERVAL {minutes} MINUTE"))
-    return left.join(right, "b").where(within & (F.col("ticker_scope").isNull() | F.array_contains("ticker_scope", F.col("ticker")))).drop("b")
+    agrees = lambda a, b: F.col(a).isNull() | F.col(b).isNull() | (F.col(a) == F.col(b))
+    ticker = F.col("ticker_scope").isNull() | F.array_contains("ticker_scope", F.col("ticker"))
+    period = F.when(F.col("r_year").isNotNull(), F.concat(F.lit("FY"), F.col("r_year").cast("string"), F.when(F.col("r_quarter").isNotNull(), F.concat(F.lit("-Q"), F.col("r_quarter").cast("string"))).otherwise("")))
+    label = F.concat_ws(" ", "kind", "vendor", period)
+    return left.join(right, "b").where(within & ticker & agrees("f_year", "r_year") & agrees("f_quarter", "r_quarter")).withColumn("action_label", label).drop("b", "f_year", "f_quarter", "r_year", "r_quarter")
+
+
+def close_by_reingest(flags: DataFrame, entity: Column, first_year: Column, last_year: Column | None, run_id: int, now: Column) -> DataFrame:
+    """flags with the open ones of an entity's re-ingested fiscal years closed."""
+    hit = F.col("resolved_at").isNull() & entity & F.col("fiscal_year").isNotNull() & (F.col("fiscal_year") >= first_year)
+    if last_year is not None:
+        hit = hit & (F.col("fiscal_year") <= last_year)
+    hit = F.coalesce(hit, F.lit(False))
+    new = {"resolved_at": now, "resolution": F.lit("superseded_by_reingest"), "resolution_note": F.lit(f"closed by ingest run {run_id}")}
+    return flags.withColumns({c: F.when(hit, x).otherwise(F.col(c)) for c, x in new.items()})
+
+
+def open_flags(flags: DataFrame, entity: int | None = None, kind: str | None = None) -> DataFrame:
+    """Flags to review: severe ones first, then the oldest."""
+    rows = flags.where("resolved_at IS NULL")
+    rows = rows if entity is None else rows.where(F.col("entity_id") == entity)
+    rows = rows if kind is None else rows.where(F.col("flag_type") == kind)
+    rank = F.when(F.col("severity") == "investigate", 0).when(F.col("severity") == "warning", 1).otherwise(2)
+    return rows.orderBy(rank, "flagged_at", "id")
+
+
+def review_flag(flags: DataFrame, ids: list[int], resolution: str, note: str, now: Column) -> DataFrame:
+    """flags with the open ones of these ids resolved; resolution is one of approve_suggested, override, accept_as_is, dismiss."""
+    if resolution not in ("approve_suggested", "override", "accept_as_is", "dismiss"):
+        raise ValueError(f"unknown resolution {resolution!r}")
+    hit = F.col("resolved_at").isNull() & F.col("id").isin(ids)
+    new = {"resolved_at": now, "resolution": F.lit(resolution), "resolution_note": F.lit(note)}
+    return flags.withColumns({c: F.when(hit, x).otherwise(F.col(c)) for c, x in new.items()})
+
+
+def estimate_warnings(findings: DataFrame, entity: int | None = None) -> DataFrame:
+    """Open findings of the checks on estimates."""
+    rows = findings.where("status = 'open' AND source_check IN ('forward_estimate_consistency', 'earnings_surprise_sanity')")
+    return rows if entity is None else rows.where(F.col("entity_id") == entity)

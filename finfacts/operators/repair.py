@@ -11,7 +11,7 @@ from ..functions.columns import calendar_period, dbl, tolerance
 def split_factor(ratio: str, entity: str, date: str) -> Column:
     """What a value of a day is multiplied by for later splits: the product of all later ratios."""
     later = Window.partitionBy(entity).orderBy(date).rowsBetween(1, Window.unboundedFollowing)
-    return F.exp(F.coalesce(F.sum(F.log(F.coalesce(F.col(ratio), F.lit(1.0)))).over(later), F.lit(0.0)))
+    return F.coalesce(F.product(F.coalesce(F.col(ratio), F.lit(1.0))).over(later), F.lit(1.0))
 
 
 def likely_split(column: str, entity: str, date: str, up: float = 1.5, down: float = 0.67) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import dbl, drift_severity, tolerance
@@ -67,12 +67,21 @@ def period_arithmetic(facts: DataFrame, annual: DataFrame, concepts: list[str],
     return rows.where(F.col("delta") > tolerance(dbl("annual"), absolute, relative)).drop("n")
 
 
-def cross_statement(wide: DataFrame, keys: list[str], w, absolute: float = 1e6, relative: float = 0.001) -> DataFrame:
-    """Whether the change of cash is what the cash flow explains; the first period of an entity is skipped."""
-    change = dbl("cash_and_equivalents") - dbl(F.lag("cash_and_equivalents").over(w))
-    explained = dbl("cfo") + dbl("capital_expenditures") + dbl("acquisitions")
-    rows = wide.select(*keys, change.alias("change"), explained.alias("explained")).where("change IS NOT NULL AND explained IS NOT NULL")
-    return rows.withColumn("delta", F.abs(F.col("change") - F.col("explained"))).where(F.col("delta") > tolerance(F.col("change"), absolute, relative))
+def cross_statement(wide: DataFrame, keys: list[str], w: WindowSpec, absolute: float = 1e6, relative: float = 0.001) -> DataFrame:
+    """A row for each tie between statements that misses: keys, tie, left, right, delta.
+
+    The cash flow starts from the income statement's net income; its closing cash is the balance sheet's with restricted cash, its opening
+    cash that of the balance sheet before, and its net change the difference of both. A side that is missing, the balance sheet
+    before included, gives no verdict; missing restricted cash is 0. w: an entity's periods of one kind in their order.
+    """
+    cash = F.col("cash_and_equivalents").cast("decimal(38,4)") + F.coalesce(F.col("restricted_cash").cast("decimal(28,4)"), F.lit(0))
+    df = wide.withColumn("__cash", cash).withColumn("__before", F.lag("__cash").over(w))
+    ties = {"net_income": ("net_income_start", "net_income"), "cash_end": ("cash_end_of_period", "__cash"), "cash_begin": ("cash_begin_of_period", "__before")}
+    told = [F.struct(F.lit(k).alias("tie"), dbl(a).alias("left"), dbl(b).alias("right")) for k, (a, b) in ties.items()]
+    told.append(F.struct(F.lit("net_change").alias("tie"), dbl("net_change_in_cash").alias("left"), dbl(F.col("__cash") - F.col("__before")).alias("right")))
+    rows = df.select(*keys, F.explode(F.array(*told)).alias("x")).select(*keys, "x.*").where("left IS NOT NULL AND right IS NOT NULL")
+    rows = rows.withColumn("delta", F.abs(F.col("left") - F.col("right")))
+    return rows.where(F.col("delta") > tolerance(F.greatest(F.abs("left"), F.abs("right")), absolute, relative))
 
 
 #: Days that a quarter, a year and nine months may last.
@@ -159,19 +168,65 @@ def amend(wide: DataFrame, candidates: DataFrame, keys: list[str], ties: list[Ti
     return out.select(*keys, status.alias("status"))
 
 
-def triage() -> Column:
-    """The first rule that holds, on ours, theirs, delta, concept."""
-    a, b, share = dbl("value"), dbl("other"), F.col("delta") / F.greatest(F.abs(dbl("other")), F.lit(1e-9))
+# What the triage of divergences goes by.
+#: Concepts whose tag is plain: a material gap is a real one.
+PLAIN_CONCEPTS = ("revenue", "gross_profit", "operating_income", "net_income", "net_income_attributable_to_parent", "cfo", "cfi", "cff")
+#: Concepts that sources define apart, with the gap up to which that explains them (None: only the tag tells).
+DEFINED_APART = {"total_equity": 0.005, "total_liabilities": 0.05, "ebt_incl_unusual": 0.25, "cash_and_equivalents": 0.05, "total_liabilities_and_equity": 0.005, "total_assets": 0.005}
+PARENT_ONLY_TAG = "StockholdersEquity"
+MATERIAL, MATERIAL_SHARE = 10e6, 0.005
+
+
+def triage(material: float = MATERIAL) -> Column:
+    """The first rule that holds, on concept, tag, derived, delta (signed or not) and other, the filed value.
+
+    A parent-only tag or a gap within what definitions explain is DEFINITIONAL; a fourth quarter derived from the year less nine months is
+    AMBIGUOUS; a plain concept with a material gap in a filed value is CORRUPTION; all else is AMBIGUOUS.
+    """
+    gap = F.abs(dbl("delta"))
+    share = F.when(dbl("other") != 0, gap / F.abs(dbl("other")))
+    within = F.lit(False)
+    for concept, most in DEFINED_APART.items():
+        within = within | ((F.col("concept") == concept) & F.coalesce(share < most, F.lit(False)))
+    plain = F.col("concept").isin(*PLAIN_CONCEPTS)
+    material_gap = (gap >= material) & (share.isNull() | (share >= MATERIAL_SHARE))
     return (
-        F.when(F.col("concept").isin("dna_cf", "sbc"), "DEFINITIONAL")
-        .when((a == 0) | (b == 0), "CORRUPTION")
-        .when(a * b < 0, "CORRUPTION")
-        .when(share > 0.5, "CORRUPTION")
-        .when(share < 0.02, "DEFINITIONAL")
+        F.when((F.col("concept") == "total_equity") & (F.col("tag") == PARENT_ONLY_TAG), "DEFINITIONAL")
+        .when(within, "DEFINITIONAL")
+        .when(F.coalesce(F.col("derived"), F.lit(False)), "AMBIGUOUS")
+        .when(plain & material_gap, "CORRUPTION")
         .otherwise("AMBIGUOUS")
     )
 
 
+def bulk_category() -> Column:
+    """Whether a divergence is left open or set aside in bulk, on concept and derived."""
+    return F.when(F.coalesce(F.col("derived"), F.lit(False)), "audit_derivation_artifact").when(F.col("concept").isin(*DEFINED_APART), "definitional_difference").otherwise("keep_open")
+
+
+def affected_periods(failing: DataFrame, ours: DataFrame, filed: DataFrame, least: float = 1.0) -> DataFrame:
+    """The quarters of failing fiscal years where the filed values differ by a currency unit or more: entity_id, fiscal_year, period_end, concepts.
+
+    failing: entity_id, fiscal_year. ours: entity_id, concept, fiscal_year, period_end, value. filed: entity_id, concept, end, val.
+    """
+    rows = ours.join(failing.select("entity_id", "fiscal_year").distinct(), ["entity_id", "fiscal_year"], "left_semi")
+    met = rows.join(filed.select("entity_id", "concept", F.col("end").alias("period_end"), "val"), ["entity_id", "concept", "period_end"])
+    apart = met.where(F.abs(F.col("value") - F.col("val")) >= F.lit(least))
+    return apart.groupBy("entity_id", "fiscal_year", "period_end").agg(F.sort_array(F.collect_set("concept")).alias("concepts"))
+
+
+#: Concepts that follow from two others where a filing lacks them.
+DERIVED_FROM = {"cogs": ("revenue", "gross_profit"), "total_opex": ("gross_profit", "operating_income")}
+
+
+def derived_candidates(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """candidates (keys, concept, new) with those that follow from two of a period's, where it lacks them."""
+    news = candidates.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("concept", "new"))).alias("m"))
+    one = lambda c, a, b: F.when(F.col("m")[c].isNull() & F.col("m")[a].isNotNull() & F.col("m")[b].isNotNull(), F.struct(F.lit(c).alias("concept"), (F.col("m")[a] - F.col("m")[b]).cast("decimal(28,4)").alias("new")))
+    found = news.select(*keys, F.explode(F.array_compact(F.array(*[one(c, *parts) for c, parts in DERIVED_FROM.items()]))).alias("x")).select(*keys, "x.*")
+    return candidates.select(*keys, "concept", F.col("new").cast("decimal(28,4)").alias("new"), F.lit(False).alias("derived")).unionByName(found.withColumn("derived", F.lit(True)))
+
+
 def corrected_fourth_quarter(facts: DataFrame, annual: DataFrame) -> DataFrame:
     """Fourth quarters as the annual value less the other three."""
     rest = facts.where("fiscal_quarter < 4").groupBy("entity_id", "fiscal_year", "concept").agg(F.sum("value").alias("rest"), F.countDistinct("fiscal_quarter").alias("n")).where("n = 3")

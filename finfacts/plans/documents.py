@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import testkit as kit
-from ..operators import text, vectors, windows
+from ..operators import text, vectors
 from .finance import query
 
 
@@ -58,14 +58,14 @@ def transcript_rebuild(spark, sf_dir):
     return text.rebuilt(_turns(spark, sf_dir), "conv_id", "turn", "text")
 
 
-@query(r"SELECT lang, CAST(sum(len(regexp_extract_all(lower(text), '\b(the)\b'))) AS BIGINT) AS n_the, CAST(sum(len(regexp_extract_all(lower(text), '\b(license)\b'))) AS BIGINT) AS n_license FROM documents WHERE lang = 'en' GROUP BY 1")
+@query(r"SELECT lang, CAST(sum(len(regexp_extract_all(lower(text), '\b(the)\b'))) AS BIGINT) AS n_the, CAST(sum(len(regexp_extract_all(lower(text), '\b(license)\b'))) AS BIGINT) AS n_license FROM documents GROUP BY 1")
 def mention_counts(spark, sf_dir):
-    return text.mention_counts(_docs(spark, sf_dir).where("lang = 'en'"), "lang", "text", ["the", "license"])
+    return text.mention_counts(_docs(spark, sf_dir), "lang", "text", ["the", "license"])
 
 
 @query()
 def token_search(spark, sf_dir):
-    return text.search(text.token_index(_docs(spark, sf_dir).where("lang = 'en'"), "doc_id", "text"), "doc_id", "licensed under apache", 50)
+    return text.search(text.token_index(_docs(spark, sf_dir), "doc_id", "text"), "doc_id", "licensed under apache", 50)
 
 
 @query("SELECT doc_id, CAST(12 * len(regexp_extract_all(text, 'Licen[sc]e')) + 5 * len(regexp_extract_all(text, '[0-9]{4}')) - 7 * len(regexp_extract_all(text, '###')) AS INTEGER) AS score FROM documents WHERE 12 * len(regexp_extract_all(text, 'Licen[sc]e')) + 5 * len(regexp_extract_all(text, '[0-9]{4}')) - 7 * len(regexp_extract_all(text, '###')) >= 12 ORDER BY score DESC, doc_id LIMIT 40")
@@ -113,5 +113,3 @@ def interval_overlap_speaker(spark, sf_dir):
     spks = e.where("event_id % 2 = 1").select(F.col("user_id").alias("key"), F.col("event_type").alias("label"), (F.col("t") - 2500).alias("start"), (F.col("t") + 7500).alias("end"))
     return vectors.dominant_overlap(segs, spks, "key", 5000.0).select("key", "seg_id", "label", "seconds")
 
-
-assert windows

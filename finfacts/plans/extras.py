@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import testkit as kit
 from ..functions import columns as fn
 from ..operators import asof, repair
-from .finance import OFF_TIES, query, rounded, safe
+from .finance import query, safe
 
 
 @query("SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-03-31' AND o_orderstatus IN ('F', 'P') AND (o_orderpriority LIKE '1-%' OR o_orderpriority LIKE '2-%')")
@@ -30,19 +30,19 @@ def json_extract(spark, sf_dir):
     return kit.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(get("$.k").cast("long")).alias("k"), F.count(get("$.absent")).alias("absent"))
 
 
-@query("SELECT user_id FROM (SELECT user_id, array_agg(DISTINCT event_type) AS t FROM events WHERE event_id % 7 = 0 GROUP BY 1) WHERE list_has_any(t, ['click', 'purchase']) AND NOT list_contains(t, 'view')")
+@query("SELECT user_id, d FROM (SELECT user_id, CAST(ts AS DATE) AS d, array_agg(DISTINCT event_type) AS t FROM events GROUP BY 1, 2) WHERE list_has_any(t, ['click', 'purchase']) AND NOT list_contains(t, 'view')")
 def array_predicates(spark, sf_dir):
-    sets = kit.table(spark, sf_dir, "events").where("event_id % 7 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("t"))
-    return sets.where(F.arrays_overlap("t", F.array(F.lit("click"), F.lit("purchase"))) & ~F.array_contains("t", "view")).select("user_id")
+    sets = kit.table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("d")).agg(F.collect_set("event_type").alias("t"))
+    return sets.where(F.arrays_overlap("t", F.array(F.lit("click"), F.lit("purchase"))) & ~F.array_contains("t", "view")).select("user_id", "d")
 
 
-@query(f"""SELECT entity_id, period_end, round({safe('revenue - p', 'abs(p)')} * {OFF_TIES}, 8) AS change, round((CAST(gross_profit AS DOUBLE) / CAST(revenue AS DOUBLE) - CAST(gp AS DOUBLE) / CAST(p AS DOUBLE)) * 10000, 5) AS margin_bps
+@query(f"""SELECT entity_id, period_end, round({safe('revenue - p', 'abs(p)')}, 10) AS change, round((CAST(gross_profit AS DOUBLE) / CAST(revenue AS DOUBLE) - CAST(gp AS DOUBLE) / CAST(p AS DOUBLE)) * 10000, 5) AS margin_bps
     FROM (SELECT *, lag(revenue) OVER (PARTITION BY entity_id ORDER BY period_end) AS p, lag(gross_profit) OVER (PARTITION BY entity_id ORDER BY period_end) AS gp FROM wide) WHERE revenue <> 0 AND p <> 0""")
 def dashboard_deltas(spark, sf_dir):
     w = Window.partitionBy("entity_id").orderBy("period_end")
     df = kit.wide(spark, sf_dir).withColumns({"p": F.lag("revenue").over(w), "gp": F.lag("gross_profit").over(w)}).where("revenue <> 0 AND p <> 0")
-    change = fn.ratio(F.col("revenue") - F.col("p"), F.abs("p")) * OFF_TIES
-    return df.select("entity_id", "period_end", F.round(change, 8).alias("change"), F.round((fn.ratio("gross_profit", "revenue") - fn.ratio("gp", "p")) * 10000, 5).alias("margin_bps"))
+    change = fn.ratio(F.col("revenue") - F.col("p"), F.abs("p"))
+    return df.select("entity_id", "period_end", F.round(change, 10).alias("change"), F.round((fn.ratio("gross_profit", "revenue") - fn.ratio("gp", "p")) * 10000, 5).alias("margin_bps"))
 
 
 @query(f"SELECT entity_id, period_end, round(f * {safe('cfo_ttm + capital_expenditures_ttm', 'revenue_ttm')}, 4) AS implied_fcf FROM (SELECT *, CAST(lead(revenue_ttm, 4) OVER (PARTITION BY entity_id ORDER BY period_end) AS DOUBLE) AS f FROM mf1) WHERE f IS NOT NULL")
@@ -67,10 +67,11 @@ def revenue_per_employee(spark, sf_dir):
     return out.select("entity_id", "period_end", "employees", F.round(fn.ratio("revenue_ttm", "employees"), 6).alias("revenue_per_employee"))
 
 
-@query("SELECT entity_id, date, round(exp(coalesce(sum(ln(CASE WHEN day(date) = 1 THEN 2.0 ELSE 1.0 END)) OVER (PARTITION BY entity_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)), 3) AS factor FROM daily WHERE entity_id <= 5 AND date >= DATE '1998-06-01'")
+@query("SELECT entity_id, date, pow(2.0, coalesce(count(*) FILTER (WHERE month(date) = 1 AND day(date) = 1) OVER (PARTITION BY entity_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS factor FROM daily")
 def split_normalize(spark, sf_dir):
-    days = kit.daily(spark, sf_dir).where("entity_id <= 5 AND date >= DATE '1998-06-01'").withColumn("ratio", F.when(F.dayofmonth("date") == 1, 2.0))
-    return days.select("entity_id", "date", F.round(repair.split_factor("ratio", "entity_id", "date"), 3).alias("factor"))
+    """Every New Year's Day with a price is a 2-for-1 split."""
+    days = kit.daily(spark, sf_dir).withColumn("ratio", F.when((F.month("date") == 1) & (F.dayofmonth("date") == 1), 2.0))
+    return days.select("entity_id", "date", repair.split_factor("ratio", "entity_id", "date").alias("factor"))
 
 
 @query("SELECT entity_id, date, round(CAST(last_value(c IGNORE NULLS) OVER (PARTITION BY entity_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE), 4) AS close FROM (SELECT *, CASE WHEN day(date) % 5 = 0 THEN close END AS c FROM daily)")
@@ -119,5 +120,3 @@ def session_precedents(spark, sf_dir):
 def ordered_set_aggregates(spark, sf_dir):
     return kit.table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.percentile("l_extendedprice", F.lit(0.5)), 6).alias("median"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY l_quantity)").alias("p90"), F.every(F.col("l_quantity") > 0).alias("positive"), F.countDistinct("l_suppkey").alias("suppliers"), F.count_if(F.col("l_discount") > 0.05).alias("discounted"))
 
-
-assert rounded

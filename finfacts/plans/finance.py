@@ -41,8 +41,6 @@ def r(columns: dict[str, str] | list[str], digits: int = 6) -> str:
 
 
 FRAME = ["entity_id", "period_end"]
-#: Moves quotients that end in a 5 off the tie, where two engines may round apart.
-OFF_TIES = 1.00000000001
 
 
 def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,21 +50,21 @@ def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Fact store
 
 
-@query("SELECT id, entity_id, concept, CAST(value AS DOUBLE) AS value, fiscal_period_label, extraction_version FROM facts WHERE superseded_at IS NULL AND concept IN ('revenue', 'net_income')")
+@query("SELECT id, entity_id, concept, CAST(value AS DOUBLE) AS value, fiscal_period_label, extraction_version FROM facts WHERE superseded_at IS NULL")
 def current_facts(spark, sf_dir):
-    df = facts.current(kit.facts(spark, sf_dir)).where(F.col("concept").isin("revenue", "net_income"))
+    df = facts.current(kit.facts(spark, sf_dir))
     return df.select("id", "entity_id", "concept", F.col("value").cast("double"), "fiscal_period_label", "extraction_version")
 
 
-@query("SELECT count(*) AS n, sum(CAST(value AS DECIMAL(28,4)))::DOUBLE AS total FROM facts WHERE concept = 'revenue' AND published_at <= TIMESTAMP '1998-06-30' AND (superseded_at IS NULL OR superseded_at > TIMESTAMP '1998-06-30')")
+@query("SELECT concept, count(*) AS n, sum(CAST(value AS DECIMAL(28,4)))::DOUBLE AS total FROM facts WHERE published_at <= TIMESTAMP '1998-06-30' AND (superseded_at IS NULL OR superseded_at > TIMESTAMP '1998-06-30') GROUP BY 1")
 def facts_as_of(spark, sf_dir):
     at = F.lit("1998-06-30").cast("timestamp")
-    return facts.current(kit.facts(spark, sf_dir).where("concept = 'revenue'"), at).agg(F.count("*").alias("n"), F.sum("value").cast("double").alias("total"))
+    return facts.current(kit.facts(spark, sf_dir), at).groupBy("concept").agg(F.count("*").alias("n"), F.sum("value").cast("double").alias("total"))
 
 
-@query("SELECT id, entity_id, concept, period_end, CAST(value AS DOUBLE) AS value, extraction_version FROM cur WHERE rn = 1 AND concept IN ('revenue', 'total_equity')")
+@query("SELECT id, entity_id, concept, period_end, CAST(value AS DOUBLE) AS value, extraction_version FROM cur WHERE rn = 1")
 def source_priority_pick(spark, sf_dir):
-    df = facts.pick_source(facts.current(kit.facts(spark, sf_dir)).where(F.col("concept").isin("revenue", "total_equity")))
+    df = facts.pick_source(facts.current(kit.facts(spark, sf_dir)))
     return df.select("id", "entity_id", "concept", "period_end", F.col("value").cast("double"), "extraction_version")
 
 
@@ -82,9 +80,9 @@ def pit_pivot(spark, sf_dir):
 
 
 @query("""SELECT id, lead(published_at) OVER w AS superseded_at, lag(id) OVER w AS supersedes_fact_id, CASE WHEN lag(id) OVER w IS NOT NULL THEN 'restatement' END AS supersession_reason
-    FROM facts WHERE concept = 'revenue' WINDOW w AS (PARTITION BY entity_id, concept, period_end, period_type ORDER BY published_at, id)""")
+    FROM facts WINDOW w AS (PARTITION BY entity_id, concept, period_end, period_type ORDER BY published_at, id)""")
 def supersede_scd2(spark, sf_dir):
-    rows = kit.facts(spark, sf_dir).where("concept = 'revenue'").withColumn("supersedes_fact_id", F.lit(None).cast("long"))
+    rows = kit.facts(spark, sf_dir).withColumn("supersedes_fact_id", F.lit(None).cast("long"))
     return facts.supersede(rows, facts.IDENTITY).select("id", "superseded_at", "supersedes_fact_id", "supersession_reason")
 
 
@@ -132,7 +130,7 @@ def segment_explode(spark, sf_dir):
 
 @query("SELECT DISTINCT entity_id, period_end, fiscal_year, fiscal_quarter, 'FY' || fiscal_year || ' Q' || fiscal_quarter AS fiscal_period_label FROM labelled")
 def fiscal_period(spark, sf_dir):
-    return kit.facts(spark, sf_dir).where("concept = 'revenue'").select("entity_id", "period_end", "fiscal_year", "fiscal_quarter", "fiscal_period_label").distinct()
+    return kit.facts(spark, sf_dir).select("entity_id", "period_end", "fiscal_year", "fiscal_quarter", "fiscal_period_label").distinct()
 
 
 @query("SELECT DISTINCT CAST(o_orderdate AS DATE) AS d, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(quarter(o_orderdate) AS INTEGER) AS q, 'CY' || year(o_orderdate) || ' Q' || quarter(o_orderdate) AS label FROM orders")
@@ -156,11 +154,11 @@ def canonical_period_end(spark, sf_dir):
 
 
 @query("""SELECT q.entity_id, q.fiscal_year, q.fiscal_quarter, CASE WHEN q.fiscal_quarter = 4 THEN coalesce(a.e, q.period_end) ELSE q.period_end END AS period_end
-    FROM (SELECT DISTINCT entity_id, fiscal_year, fiscal_quarter, period_end FROM labelled) q LEFT JOIN (SELECT entity_id, fiscal_year, max(period_end) + 3 AS e FROM labelled GROUP BY 1, 2) a USING (entity_id, fiscal_year)""")
+    FROM (SELECT DISTINCT entity_id, fiscal_year, fiscal_quarter, period_end FROM labelled) q LEFT JOIN (SELECT entity_id, fiscal_year, period_end + 3 AS e FROM annual_wide) a USING (entity_id, fiscal_year)""")
 def q4_snap(spark, sf_dir):
-    """A fourth quarter takes the end of its year's annual row."""
-    rows = kit.facts(spark, sf_dir).where("concept = 'revenue'").select("entity_id", "fiscal_year", "fiscal_quarter", "period_end").distinct()
-    annual = rows.groupBy("entity_id", "fiscal_year").agg(F.date_add(F.max("period_end"), 3).alias("annual_end"))
+    """A fourth quarter takes the end of its year's annual row, here three days later."""
+    rows = kit.facts(spark, sf_dir).select("entity_id", "fiscal_year", "fiscal_quarter", "period_end").distinct()
+    annual = kit.annual_facts(spark, sf_dir).groupBy("entity_id", "fiscal_year").agg(F.date_add(F.max("period_end"), 3).alias("annual_end"))
     end = F.when(F.col("fiscal_quarter") == 4, F.coalesce("annual_end", "period_end")).otherwise(F.col("period_end"))
     return rows.join(annual, ["entity_id", "fiscal_year"], "left").select("entity_id", "fiscal_year", "fiscal_quarter", end.alias("period_end"))
 
@@ -263,10 +261,15 @@ def metrics_cy(spark, sf_dir):
     return df.select("entity_id", "calendar_year", "quarters_in_year", "last_period_end", *rounded(_CY, 4), *rounded(["gross_margin_cy", "sbc_pct_revenue_cy"]), *rounded(["total_assets_cy_end", "net_debt_cy_end"], 4))
 
 
-@query(f"SELECT entity_id, fiscal_year, count(*) AS quarters, {r({'revenue_fy': 'sum(revenue)', 'net_income_fy': 'sum(net_income)'}, 4)}, {r({'gross_margin_fy': safe('sum(gross_profit)', 'sum(revenue)')})} FROM wide GROUP BY 1, 2")
+_FY = ["revenue_fy", "gross_profit_fy", "operating_income_fy", "net_income_fy", "rd_fy", "sbc_fy", "cfo_fy", "capital_expenditures_fy"]
+_FYM = {"gross_margin_fy": safe("gross_profit_fy", "revenue_fy"), "operating_margin_fy": safe("operating_income_fy", "revenue_fy"), "net_margin_fy": safe("net_income_fy", "revenue_fy"), "sbc_pct_revenue_fy": safe("sbc_fy", "revenue_fy")}
+_FYE = {"total_assets_fy_end": "total_assets", "inventory_fy_end": "inventory", "net_debt_fy_end": "current_portion_lt_debt + long_term_debt + current_portion_leases_operating + long_term_leases_operating - cash_and_equivalents - short_term_investments"}
+
+
+@query(f"SELECT entity_id, fiscal_year, fiscal_period_label, period_end, {r(_FY, 4)}, {r(_FYM, 9)}, {r(_FYE, 4)} FROM annual_wide")
 def metrics_fy(spark, sf_dir):
-    sums = kit.wide(spark, sf_dir).groupBy("entity_id", "fiscal_year").agg(F.count("*").alias("quarters"), *[F.sum(c).alias(f"{c}_fy") for c in ("revenue", "gross_profit", "net_income")])
-    return sums.select("entity_id", "fiscal_year", "quarters", *rounded(["revenue_fy", "net_income_fy"], 4), *rounded({"gross_margin_fy": fn.ratio("gross_profit_fy", "revenue_fy")}))
+    """The annual rows' view."""
+    return kit.annual(spark, sf_dir).select("entity_id", "fiscal_year", "fiscal_period_label", "period_end", *rounded(_FY, 4), *rounded(list(_FYM), 9), *rounded(list(_FYE), 4))
 
 
 @query("SELECT entity_id, date, round(CAST(close AS DOUBLE), 4) AS close FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, date_trunc('month', date) ORDER BY date) AS n FROM daily) WHERE n = 1")
@@ -303,9 +306,10 @@ _V = {"ev": _EV} | {k: f"CASE WHEN quarters_in_window >= 4 THEN {x} END" for k,
     "pe_ttm": safe("market_cap", "net_income_ttm", True), "ps_ttm": safe("market_cap", "revenue_ttm"), "ev_ebitda_ttm": safe(_EV, "operating_income_ttm + dna_cf_ttm", True), "fcf_yield_ttm": safe("cfo_ttm - abs(capital_expenditures_ttm)", "market_cap")}.items()}
 
 
-@query(f"SELECT entity_id, date, {r({k: f"({x}) * {OFF_TIES}" for k, x in _V.items()}, 6)} FROM known")
+@query(f"SELECT entity_id, date, {', '.join(f'{x} AS {k}' for k, x in _V.items())} FROM known")
 def valuation_ratios(spark, sf_dir):
-    return _valued(spark, sf_dir).select("entity_id", "date", *rounded({k: x * OFF_TIES for k, x in metrics.valuation_ratios().items()}, 6))
+    """Quotients of doubles that are exact images of decimals, the same in any engine: not rounded."""
+    return _valued(spark, sf_dir).select("entity_id", "date", *[x.alias(k) for k, x in metrics.valuation_ratios().items()])
 
 
 @query(f"""SELECT entity_id, count(*) AS n, round(quantile_disc(ps, 0.5), 6) AS median_ps, round(min(ps), 6) AS min_ps, round(max(ps), 6) AS max_ps, round(count(*) FILTER (WHERE ps < latest) / count(*), 6) AS below FROM (

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from .. import testkit as kit
 from ..functions import columns as fn
 from ..operators import facts, quality, verify, windows
-from ..schemas import FLOWS
-from .finance import OFF_TIES, query, r, rounded
+from .finance import query, r, rounded
 
 TODAY = "2024-01-31"
 
@@ -27,11 +26,11 @@ def zero_row_runs(spark, sf_dir):
     return quality.zero_row_runs(runs, "props", ["k", "missing"], _today()).select("event_id")
 
 
-_FLAGS = "SELECT event_id AS id, ts AS flagged_at, CASE WHEN event_id % 2 = 0 THEN ts END AS resolved_at, user_id AS entity_id FROM events WHERE event_id % 5 = 0"
+_FLAGS = "SELECT event_id AS id, ts AS flagged_at, CASE WHEN event_id % 2 = 0 THEN ts END AS resolved_at, user_id AS entity_id FROM events"
 
 
 def _flags(spark, sf_dir):
-    return _events(spark, sf_dir).where("event_id % 5 = 0").select(F.col("event_id").alias("id"), F.col("ts").alias("flagged_at"), F.when(F.col("event_id") % 2 == 0, F.col("ts")).alias("resolved_at"), F.col("user_id").alias("entity_id"))
+    return _events(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("ts").alias("flagged_at"), F.when(F.col("event_id") % 2 == 0, F.col("ts")).alias("resolved_at"), F.col("user_id").alias("entity_id"))
 
 
 @query(f"SELECT id, entity_id FROM flags WHERE resolved_at IS NULL AND flagged_at < TIMESTAMP '{TODAY}' - INTERVAL 14 DAY", flags=_FLAGS)
@@ -105,9 +104,9 @@ def _annual(picked):
 
 
 @query("""SELECT entity_id, fiscal_year, concept, round(gap, 4) AS gap FROM (SELECT entity_id, fiscal_year, concept, abs(CAST(sum(value) AS DOUBLE) - CAST(any_value(annual) AS DOUBLE)) AS gap, abs(CAST(any_value(annual) AS DOUBLE)) AS a FROM picked JOIN annual USING (entity_id, fiscal_year, concept)
-    WHERE concept IN ('revenue', 'net_income') GROUP BY 1, 2, 3 HAVING count(DISTINCT fiscal_quarter) = 4) WHERE gap >= 1000 AND gap >= 0.05 * a""", picked=_PICKED, annual=_ANNUAL)
+    GROUP BY 1, 2, 3 HAVING count(DISTINCT fiscal_quarter) = 4) WHERE gap >= 1000 AND gap >= 0.05 * a""", picked=_PICKED, annual=_ANNUAL)
 def quarterly_sum_to_annual_drift(spark, sf_dir):
-    picked = _picked(spark, sf_dir).where("concept IN ('revenue', 'net_income')")
+    picked = _picked(spark, sf_dir)
     return quality.annual_drift(picked, _annual(picked), ["entity_id", "fiscal_year", "concept"], 1000.0).select("entity_id", "fiscal_year", "concept", *rounded(["gap"], 4))
 
 
@@ -176,9 +175,9 @@ def analyst_estimates_orphan(spark, sf_dir):
     return quality.estimate_orphans(estimates, securities)
 
 
-@query(f"SELECT c_custkey AS security_id, t AS fetched_at FROM customer LEFT JOIN (SELECT user_id, max(ts) AS t FROM events WHERE event_id % 10 = 0 GROUP BY 1) ON user_id = c_custkey WHERE t IS NULL OR t < TIMESTAMP '{TODAY}' - INTERVAL 3 DAY")
+@query(f"SELECT c_custkey AS security_id, t AS fetched_at FROM customer LEFT JOIN (SELECT user_id, max(ts) AS t FROM events GROUP BY 1) ON user_id = c_custkey WHERE t IS NULL OR t < TIMESTAMP '{TODAY}' - INTERVAL 3 DAY")
 def price_target_consensus_freshness(spark, sf_dir):
-    targets = _events(spark, sf_dir).where("event_id % 10 = 0").groupBy(F.col("user_id").alias("security_id")).agg(F.max("ts").alias("fetched_at"))
+    targets = _events(spark, sf_dir).groupBy(F.col("user_id").alias("security_id")).agg(F.max("ts").alias("fetched_at"))
     return quality.target_freshness(kit.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("security_id")), targets, _today()).select("security_id", "fetched_at")
 
 
@@ -208,21 +207,30 @@ def finding_merge(spark, sf_dir):
     return quality.merge_findings(stored, found, _today()).select("fingerprint", "status", "event")
 
 
-@query(f"""SELECT 'finding' AS source, 'F' || n_nationkey AS signal_id, 'warning' AS severity, CAST(n_nationkey AS BIGINT) AS entity_id, NULL::VARCHAR AS fiscal_period_key, round(30.0::DOUBLE * {OFF_TIES}, 6) AS age_days FROM nation WHERE n_nationkey % 2 = 0
-    UNION ALL SELECT 'flag', CAST(id AS VARCHAR), 'info', entity_id, 'FY2024-Q' || (id % 4 + 1), round(epoch(TIMESTAMP '{TODAY}' - flagged_at)::BIGINT / 86400.0 * {OFF_TIES}, 6) FROM (SELECT id, entity_id, date_trunc('second', flagged_at) AS flagged_at, resolved_at FROM flags) WHERE resolved_at IS NULL""", flags=_FLAGS)
+@query(f"""SELECT 'finding' AS source, 'F' || n_nationkey AS signal_id, 'warning' AS severity, CAST(n_nationkey AS BIGINT) AS entity_id, NULL::VARCHAR AS fiscal_period_key, 30.0::DOUBLE AS age_days FROM nation WHERE n_nationkey % 2 = 0
+    UNION ALL SELECT 'flag', CAST(id AS VARCHAR), 'info', entity_id, 'FY2024-Q' || (id % 4 + 1), round(epoch(TIMESTAMP '{TODAY}' - flagged_at)::BIGINT / 86400.0, 9) FROM (SELECT id, entity_id, date_trunc('second', flagged_at) AS flagged_at, resolved_at FROM flags) WHERE resolved_at IS NULL""", flags=_FLAGS)
 def quality_inbox(spark, sf_dir):
     n = F.col("n_nationkey")
     findings = kit.table(spark, sf_dir, "nation").select(F.concat(F.lit("F"), n.cast("string")).alias("fingerprint"), F.lit("warning").alias("severity"), n.cast("long").alias("entity_id"), F.lit("x").alias("summary"), F.when(n % 2 == 0, "open").otherwise("closed").alias("status"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
     flags = _flags(spark, sf_dir).withColumns({"severity": F.lit("info"), "fiscal_year": F.lit(2024), "fiscal_quarter": (F.col("id") % 4 + 1).cast("int"), "reason": F.lit("x")})
-    return quality.inbox(findings, flags, _today()).withColumn("age_days", F.round(F.col("age_days") * OFF_TIES, 6)).drop("summary", "detected_at")
+    return quality.inbox(findings, flags, _today()).withColumn("age_days", F.round("age_days", 9)).drop("summary", "detected_at")
+
+
+_RUNS = """SELECT event_id AS run, ts, event_type AS kind, CASE WHEN event_id % 2 <> 0 THEN user_id % 4 END AS scope, CASE WHEN event_id % 5 = 0 THEN 2020 + user_id % 3 END AS fy, CASE WHEN event_id % 10 = 0 THEN user_id % 4 + 1 END AS fq FROM events WHERE event_type NOT IN ('purchase', 'view')"""
 
 
-@query("""SELECT a.event_id AS finding, b.event_id AS run FROM events a JOIN events b ON b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 60 MINUTE WHERE a.event_id % 50 = 0 AND b.event_id % 3 = 0 AND b.event_id % 7 <> 0 AND (b.event_id % 2 = 0 OR a.user_id % 4 = b.user_id % 4)""")
+@query("""SELECT a.event_id AS finding, r.run, concat_ws(' ', r.kind, 'vendor', 'FY' || r.fy || coalesce('-Q' || r.fq, '')) AS action_label FROM events a JOIN runs r ON r.ts <= a.ts AND r.ts >= a.ts - INTERVAL 60 MINUTE WHERE a.event_type = 'purchase' AND (r.scope IS NULL OR r.scope = a.user_id % 4)
+    AND (a.event_id % 3 = 0 OR r.fy IS NULL OR r.fy = 2020 + a.user_id % 3) AND (a.event_id % 3 <> 1 OR r.fq IS NULL OR r.fq = a.user_id % 4 + 1)""", runs=_RUNS)
 def resolving_runs(spark, sf_dir):
-    e = _events(spark, sf_dir)
-    resolved = e.where("event_id % 50 = 0").select(F.col("event_id").alias("finding"), F.col("ts").alias("resolved_at"), (F.col("user_id") % 4).cast("string").alias("ticker"))
-    runs = e.where("event_id % 3 = 0").select(F.col("event_id").alias("run"), F.col("ts").alias("ended_at"), F.lit("succeeded").alias("status"), F.when(F.col("event_id") % 7 == 0, "reconciliation").otherwise("ingest").alias("kind"), F.when(F.col("event_id") % 2 != 0, F.array((F.col("user_id") % 4).cast("string"))).alias("ticker_scope"))
-    return quality.resolving_runs(resolved, runs).select("finding", "run")
+    """Purchases as resolutions, all other events as runs, views as reconciliations."""
+    e, user = _events(spark, sf_dir), F.col("user_id")
+    year, quarter = (2020 + user % 3).cast("string"), (user % 4 + 1).cast("string")
+    key = F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("FY"), year, F.lit("-Q"), quarter)).when(F.col("event_id") % 3 == 2, F.concat(F.lit("FY"), year))
+    resolved = e.where("event_type = 'purchase'").select(F.col("event_id").alias("finding"), F.col("ts").alias("resolved_at"), (user % 4).cast("string").alias("ticker"), key.alias("fiscal_period_key"))
+    counts = F.to_json(F.struct(F.when(F.col("event_id") % 5 == 0, year).alias("fiscal_year"), F.when(F.col("event_id") % 10 == 0, quarter).alias("fiscal_quarter")))
+    kind = F.when(F.col("event_type") == "view", "reconciliation").otherwise(F.col("event_type"))
+    runs = e.where("event_type <> 'purchase'").select(F.col("event_id").alias("run"), F.col("ts").alias("ended_at"), F.lit("succeeded").alias("status"), kind.alias("kind"), F.lit("vendor").alias("vendor"), F.when(F.col("event_id") % 2 != 0, F.array((user % 4).cast("string"))).alias("ticker_scope"), counts.alias("counts"))
+    return quality.resolving_runs(resolved, runs).select("finding", "run", "action_label")
 
 
 # Verification
@@ -265,45 +273,95 @@ def period_arithmetic(spark, sf_dir):
     return verify.period_arithmetic(picked, _annual(picked), ["revenue", "cogs", "cfo"], 2500.0).select("entity_id", "fiscal_year", "concept", *rounded(["delta"], 4))
 
 
-@query(f"""SELECT entity_id, period_end, {r(['delta'], 4)} FROM (SELECT entity_id, period_end, c, abs(c - (CAST(cfo AS DOUBLE) + CAST(capital_expenditures AS DOUBLE) + CAST(acquisitions AS DOUBLE))) AS delta FROM
-    (SELECT *, CAST(cash_and_equivalents AS DOUBLE) - CAST(lag(cash_and_equivalents) OVER (PARTITION BY entity_id ORDER BY period_end) AS DOUBLE) AS c FROM wide)) WHERE delta > greatest(5000.0, abs(c) * 0.001)""")
+_CASHED = """SELECT entity_id, period_end, net_income, net_income + CASE WHEN entity_id % 4 = 0 THEN 9000 ELSE 0 END AS net_income_start, cash_and_equivalents + coalesce(restricted, 0) AS cash, lag(cash_and_equivalents + coalesce(restricted, 0)) OVER (PARTITION BY entity_id ORDER BY period_end) AS before, restricted
+    FROM (SELECT *, CASE WHEN entity_id % 3 = 0 THEN inventory END AS restricted FROM wide)"""
+_CROSS = " UNION ALL ".join(f"SELECT entity_id, period_end, '{tie}' AS tie, CAST({a} AS DOUBLE) AS l, CAST({b} AS DOUBLE) AS r FROM cashed" for tie, a, b in (("net_income", "net_income_start", "net_income"), ("cash_end", "cash + CASE WHEN entity_id % 5 = 0 THEN 7000 ELSE 0 END", "cash"), ("cash_begin", "before + CASE WHEN entity_id % 6 = 0 THEN 8000 ELSE 0 END", "before"), ("net_change", "cash - before + CASE WHEN month(period_end) = 6 THEN 6000 ELSE 0 END", "cash - before")))
+
+
+@query(f"SELECT entity_id, period_end, tie, round(abs(l - r), 4) AS delta FROM ({_CROSS}) WHERE abs(l - r) > greatest(5000.0, greatest(abs(l), abs(r)) * 0.001)", cashed=_CASHED)
 def cross_statement(spark, sf_dir):
-    return verify.cross_statement(kit.wide(spark, sf_dir), ["entity_id", "period_end"], windows.ordered(), 5000.0).select("entity_id", "period_end", *rounded(["delta"], 4))
+    """Cash flows that start, end, begin or change otherwise than the other statements say, for some entities each."""
+    wide = kit.wide(spark, sf_dir).withColumn("restricted_cash", F.when(F.col("entity_id") % 3 == 0, F.col("inventory")))
+    cash = F.col("cash_and_equivalents") + F.coalesce("restricted_cash", F.lit(0))
+    before, by = F.lag("cash").over(windows.ordered()), lambda hit, x: F.when(hit, x).otherwise(0)
+    e = F.col("entity_id")
+    wide = wide.withColumn("cash", cash).withColumns({"net_income_start": F.col("net_income") + by(e % 4 == 0, 9000), "cash_end_of_period": F.col("cash") + by(e % 5 == 0, 7000), "cash_begin_of_period": before + by(e % 6 == 0, 8000), "net_change_in_cash": F.col("cash") - before + by(F.month("period_end") == 6, 6000)})
+    return verify.cross_statement(wide, ["entity_id", "period_end"], windows.ordered(), 5000.0).select("entity_id", "period_end", "tie", *rounded(["delta"], 4))
 
 
-_OTHER = "SELECT entity_id, period_end, concept, max(value) AS other FROM facts WHERE superseded_at IS NULL AND rank > 1 GROUP BY 1, 2, 3"
-_DIVERGED = "SELECT p.entity_id, p.period_end, p.concept, p.fiscal_year, CAST(p.value AS DOUBLE) AS value, CAST(o.other AS DOUBLE) AS other, abs(CAST(p.value AS DOUBLE) - CAST(o.other AS DOUBLE)) AS delta FROM picked p JOIN other o USING (entity_id, period_end, concept) WHERE abs(CAST(p.value AS DOUBLE) - CAST(o.other AS DOUBLE)) > greatest(1000.0, abs(CAST(o.other AS DOUBLE)) * 0.001)"
+# Filings: the quarters' values as JSON entries, by durations; the fourth quarter only as the year less nine months
+_FILED_TAGS = " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in kit.TAGS.items())
+_ANCHORED = f"""SELECT entity_id, period_end, fiscal_year, concept, CAST(value AS DOUBLE) AS value, CAST(other AS DOUBLE) AS other, abs(CAST(value AS DOUBLE) - CAST(other AS DOUBLE)) AS delta, derived, tag FROM (SELECT *, CASE concept {_FILED_TAGS} END AS tag,
+    CASE WHEN NOT flow THEN CAST(value * k AS DECIMAL(28,4)) WHEN fiscal_quarter < 4 THEN CAST(value * k * CASE WHEN entity_id % 7 = 0 THEN 1.1 ELSE 1 END AS DECIMAL(28,4)) WHEN n = 4 THEN CAST(fy * k AS DECIMAL(28,4)) - CAST(nine * k AS DECIMAL(28,4)) END AS other, flow AND fiscal_quarter = 4 AS derived
+    FROM (SELECT *, concept IN ('revenue', 'net_income', 'cfo', 'ebt_incl_unusual') AS flow, CAST(CASE WHEN entity_id % 5 = 0 THEN 1.02 ELSE 1 END AS DECIMAL(4,2)) AS k, sum(value) OVER y AS fy, sum(value) FILTER (WHERE fiscal_quarter < 4) OVER y AS nine,
+    len(list_distinct(list(fiscal_quarter) OVER y)) AS n FROM picked WHERE concept IN ({', '.join(f"'{c}'" for c in kit.TAGS)}) WINDOW y AS (PARTITION BY entity_id, fiscal_year, concept)))
+    WHERE other IS NOT NULL AND abs(CAST(value AS DOUBLE) - CAST(other AS DOUBLE)) > greatest(1000.0, abs(CAST(other AS DOUBLE)) * 0.001)"""
 
 
-def _diverged(spark, sf_dir):
-    live = facts.current(kit.facts(spark, sf_dir)).where("concept IN ('revenue', 'net_income', 'sbc', 'cfo')")
-    other = live.where("extraction_version NOT LIKE 'human%'").groupBy("entity_id", "period_end", "concept").agg(F.max("value").alias("other"))
-    return verify.reconcile(facts.pick_source(live), other, ["entity_id", "period_end", "concept"], 1000.0)
+def _filed(spark, sf_dir):
+    """entity_id, concept, kind, end, val, derived, tag of the filings: the value filed last, fourth quarters derived."""
+    entries = verify.explode_companyfacts(kit.companyfacts(spark, sf_dir), "body", list(kit.TAGS.values()))
+    concept = F.element_at(F.create_map(*[F.lit(x) for c, t in kit.TAGS.items() for x in (t, c)]), F.col("tag"))
+    told = verify.with_fourth_quarters(verify.latest_filed(entries.withColumn("concept", concept)))
+    tag = F.element_at(F.create_map(*[F.lit(x) for kv in kit.TAGS.items() for x in kv]), F.col("concept"))
+    return told.where("kind IN ('quarter', 'instant')").withColumn("tag", tag)
 
 
-_SOME = "concept IN ('revenue', 'net_income', 'sbc', 'cfo')"
+def _diverged(spark, sf_dir):
+    ours = _picked(spark, sf_dir).where(F.col("concept").isin(list(kit.TAGS))).select("entity_id", "period_end", "fiscal_year", "concept", "value")
+    theirs = _filed(spark, sf_dir).select("entity_id", F.col("end").alias("period_end"), "concept", F.col("val").alias("other"), "derived", "tag")
+    return verify.reconcile(ours, theirs, ["entity_id", "period_end", "concept"], 1000.0)
 
 
-@query(f"SELECT entity_id, period_end, concept, {r(['value', 'other', 'delta'], 4)} FROM diverged WHERE {_SOME}", picked=_PICKED, other=_OTHER, diverged=_DIVERGED)
+@query(f"SELECT entity_id, period_end, concept, derived, {r(['value', 'other', 'delta'], 4)} FROM anchored", picked=_PICKED, anchored=_ANCHORED)
 def anchor_reconcile(spark, sf_dir):
-    return _diverged(spark, sf_dir).select("entity_id", "period_end", "concept", *rounded(["value", "other", "delta"], 4))
+    return _diverged(spark, sf_dir).select("entity_id", "period_end", "concept", "derived", *rounded(["value", "other", "delta"], 4))
 
 
-@query("SELECT entity_id, period_end, concept FROM diverged WHERE concept IN ('revenue', 'cfo') AND fiscal_year >= 1997 AND delta >= 2000 AND delta / greatest(abs(other), 1e-9) < 0.25", picked=_PICKED, other=_OTHER, diverged=_DIVERGED)
+@query("SELECT entity_id, period_end, concept FROM anchored WHERE NOT derived AND concept IN ('revenue', 'cfo') AND fiscal_year >= 1997 AND delta >= 2000 AND delta / greatest(abs(other), 1e-9) < 0.25", picked=_PICKED, anchored=_ANCHORED)
 def promotion_filter(spark, sf_dir):
-    rows = _diverged(spark, sf_dir).withColumn("derived", F.lit(False))
-    return verify.promotable(rows, ["revenue", "cfo"], 1997, 2000.0).select("entity_id", "period_end", "concept")
+    return verify.promotable(_diverged(spark, sf_dir), ["revenue", "cfo"], 1997, 2000.0).select("entity_id", "period_end", "concept")
 
 
-@query(f"""SELECT entity_id, period_end, concept, CASE WHEN concept IN ('dna_cf', 'sbc') THEN 'DEFINITIONAL' WHEN value = 0 OR other = 0 THEN 'CORRUPTION' WHEN value * other < 0 THEN 'CORRUPTION' WHEN s > 0.5 THEN 'CORRUPTION' WHEN s < 0.02 THEN 'DEFINITIONAL' ELSE 'AMBIGUOUS' END AS verdict
-    FROM (SELECT *, delta / greatest(abs(other), 1e-9) AS s FROM diverged WHERE {_SOME})""", picked=_PICKED, other=_OTHER, diverged=_DIVERGED)
+@query("""SELECT entity_id, period_end, concept, CASE WHEN concept = 'total_equity' THEN 'DEFINITIONAL' WHEN concept = 'ebt_incl_unusual' AND s < 0.25 THEN 'DEFINITIONAL' WHEN concept = 'cash_and_equivalents' AND s < 0.05 THEN 'DEFINITIONAL' WHEN concept = 'total_assets' AND s < 0.005 THEN 'DEFINITIONAL'
+    WHEN derived THEN 'AMBIGUOUS' WHEN concept IN ('revenue', 'net_income', 'cfo') AND delta >= 5000 AND (s IS NULL OR s >= 0.005) THEN 'CORRUPTION' ELSE 'AMBIGUOUS' END AS verdict FROM (SELECT *, CASE WHEN other <> 0 THEN delta / abs(other) END AS s FROM anchored)""", picked=_PICKED, anchored=_ANCHORED)
 def triage_classify(spark, sf_dir):
-    return _diverged(spark, sf_dir).select("entity_id", "period_end", "concept", verify.triage().alias("verdict"))
+    """The rules at the scale of these tables, where 5,000 is material."""
+    return _diverged(spark, sf_dir).select("entity_id", "period_end", "concept", verify.triage(5000.0).alias("verdict"))
+
+
+@query("SELECT entity_id, period_end, concept, CASE WHEN derived THEN 'audit_derivation_artifact' WHEN concept IN ('total_equity', 'ebt_incl_unusual', 'cash_and_equivalents', 'total_assets') THEN 'definitional_difference' ELSE 'keep_open' END AS category FROM anchored", picked=_PICKED, anchored=_ANCHORED)
+def bulk_triage(spark, sf_dir):
+    return _diverged(spark, sf_dir).select("entity_id", "period_end", "concept", verify.bulk_category().alias("category"))
 
 
-@query("SELECT entity_id, fiscal_year, concept, round(CAST(any_value(annual) - sum(value) FILTER (WHERE fiscal_quarter < 4) AS DOUBLE), 4) AS q4 FROM picked JOIN annual USING (entity_id, fiscal_year, concept) WHERE concept = 'revenue' GROUP BY 1, 2, 3 HAVING count(DISTINCT fiscal_quarter) FILTER (WHERE fiscal_quarter < 4) = 3", picked=_PICKED, annual=_ANNUAL)
+@query("""SELECT entity_id, fiscal_year, period_end, string_agg(concept, ',' ORDER BY concept) AS concepts FROM (SELECT p.entity_id, p.fiscal_year, p.period_end, p.concept, p.value, a.other FROM picked p JOIN filed a USING (entity_id, period_end, concept)) JOIN failing USING (entity_id, fiscal_year) WHERE abs(value - other) >= 1 GROUP BY 1, 2, 3""",
+       picked=_PICKED, filed=_ANCHORED.split("WHERE other IS NOT NULL")[0].replace("CAST(other AS DOUBLE) AS other", "other", 1).replace("CAST(value AS DOUBLE) AS value", "value", 1) + "WHERE other IS NOT NULL", failing="SELECT DISTINCT entity_id, fiscal_year FROM wide WHERE abs(CAST(gross_profit - revenue + cogs AS DOUBLE)) > greatest(0.5, 0.001 * greatest(abs(CAST(gross_profit AS DOUBLE)), abs(CAST(revenue - cogs AS DOUBLE)))) OR entity_id % 2 = 0")
+def amendment_periods(spark, sf_dir):
+    """Where filings differ in the fiscal years of failing ties; even entities count as failing."""
+    wide = kit.wide(spark, sf_dir)
+    broken = verify.broken_ties(wide, KIT_IS[:1], ["entity_id", "fiscal_year"], 0.5).select("entity_id", "fiscal_year")
+    failing = broken.unionByName(wide.where("entity_id % 2 = 0").select("entity_id", "fiscal_year"))
+    ours = _picked(spark, sf_dir).select("entity_id", "concept", "fiscal_year", "period_end", "value")
+    out = verify.affected_periods(failing, ours, _filed(spark, sf_dir))
+    return out.select("entity_id", "fiscal_year", "period_end", F.array_join("concepts", ",").alias("concepts"))
+
+
+@query("""SELECT entity_id, period_end, concept, round(CAST(new AS DOUBLE), 4) AS new, derived FROM (SELECT entity_id, period_end, 'revenue' AS concept, revenue AS new, false AS derived FROM wide UNION ALL SELECT entity_id, period_end, 'gross_profit', gross_profit, false FROM wide WHERE entity_id % 3 <> 0
+    UNION ALL SELECT entity_id, period_end, 'operating_income', operating_income, false FROM wide WHERE entity_id % 4 <> 0 UNION ALL SELECT entity_id, period_end, 'cogs', cogs, false FROM wide WHERE entity_id % 5 = 0
+    UNION ALL SELECT entity_id, period_end, 'cogs', revenue - gross_profit, true FROM wide WHERE entity_id % 5 <> 0 AND entity_id % 3 <> 0 UNION ALL SELECT entity_id, period_end, 'total_opex', gross_profit - operating_income, true FROM wide WHERE entity_id % 3 <> 0 AND entity_id % 4 <> 0)""")
+def amendment_derived(spark, sf_dir):
+    """Candidates of filings that lack some concepts, with those that follow from others."""
+    wide, e = kit.wide(spark, sf_dir), F.col("entity_id")
+    has = {"revenue": F.lit(True), "gross_profit": e % 3 != 0, "operating_income": e % 4 != 0, "cogs": e % 5 == 0}
+    told = F.explode(F.array_compact(F.array(*[F.when(ok, F.struct(F.lit(c).alias("concept"), F.col(c).alias("new"))) for c, ok in has.items()]))).alias("x")
+    out = verify.derived_candidates(wide.select("entity_id", "period_end", told).select("entity_id", "period_end", "x.*"), ["entity_id", "period_end"])
+    return out.select("entity_id", "period_end", "concept", *rounded(["new"], 4), "derived")
+
+
+@query("SELECT entity_id, fiscal_year, concept, round(CAST(any_value(annual) - sum(value) FILTER (WHERE fiscal_quarter < 4) AS DOUBLE), 4) AS q4 FROM picked JOIN annual USING (entity_id, fiscal_year, concept) GROUP BY 1, 2, 3 HAVING count(DISTINCT fiscal_quarter) FILTER (WHERE fiscal_quarter < 4) = 3", picked=_PICKED, annual=_ANNUAL)
 def q4_correction(spark, sf_dir):
-    picked = _picked(spark, sf_dir).where("concept = 'revenue'")
+    picked = _picked(spark, sf_dir)
     return verify.corrected_fourth_quarter(picked, _annual(picked)).select("entity_id", "fiscal_year", "concept", *rounded(["q4"], 4))
 
 
@@ -316,5 +374,3 @@ def amendment(spark, sf_dir):
     candidates = wide.where("entity_id % 3 = 0").select("entity_id", "period_end", F.lit("gross_profit").alias("concept"), F.col("gross_profit").alias("new"))
     return verify.amend(broken, candidates, ["entity_id", "period_end"], KIT_IS[:1], 0.5)
 
-
-assert FLOWS

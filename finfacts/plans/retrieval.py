@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from .. import testkit as kit
 from ..functions import columns as fn
 from ..operators import text
+from ..schemas import CONCEPTS
 from . import screener
 from .finance import frame, query, r, rounded, safe
-from .grammar import METRICS
+from .grammar import METRICS, find_metric, quarter_concepts
 
 TODAY = "1998-01-01"
 _GM = safe("gross_profit", "revenue")
@@ -21,7 +22,8 @@ def _screened(df, digits: int = 8):
 
 def _screen(name: str, sql: str, metric: str, period: str, agg: str = "level", limit: int = 100, vertical: str = "financials", sort: str = "desc") -> None:
     def run(spark, sf_dir):
-        frames = {"financials": lambda: frame(spark, sf_dir), "estimates": lambda: _estimates(spark, sf_dir)}
+        concepts = quarter_concepts(find_metric(metric), CONCEPTS)
+        frames = {"financials": lambda: kit.wide(spark, sf_dir, concepts) if concepts else frame(spark, sf_dir), "estimates": lambda: _estimates(spark, sf_dir)}
         return _screened(screener.screen({vertical: frames[vertical]()}, metric, period, agg, sort, limit, TODAY))
 
     run.__name__ = name
@@ -38,12 +40,12 @@ def _estimates(spark, sf_dir):
 
 
 _RANKED = f"(SELECT entity_id, v AS value, row_number() OVER (PARTITION BY entity_id ORDER BY period_end DESC) AS n FROM (SELECT *, {_GM} AS v FROM mf) WHERE v IS NOT NULL)"
-_screen("screen_latest", f"SELECT entity_id, value, CAST(1 AS BIGINT) AS coverage FROM {_RANKED} WHERE n = 1", "gross_margin", "latest")
-_screen("screen_fiscal_quarter", f"SELECT entity_id, {_GM} AS value, CAST(1 AS BIGINT) AS coverage FROM mf WHERE fiscal_year = 1997 AND fiscal_quarter = 2", "gross_margin", "1997-Q2", limit=10)
-_screen("screen_window_avg", f"SELECT entity_id, avg(value) AS value, count(*) AS coverage FROM {_RANKED} WHERE n <= 8 GROUP BY 1 HAVING count(*) >= 4", "gross_margin", "last_8q_avg")
+_screen("screen_latest", f"SELECT entity_id, value, CAST(1 AS BIGINT) AS coverage FROM {_RANKED} WHERE n = 1", "gross_margin_q", "latest")
+_screen("screen_fiscal_quarter", f"SELECT entity_id, {_GM} AS value, CAST(1 AS BIGINT) AS coverage FROM mf WHERE fiscal_year = 1997 AND fiscal_quarter = 2", "gross_margin_q", "1997-Q2", limit=10)
+_screen("screen_window_avg", f"SELECT entity_id, avg(value) AS value, count(*) AS coverage FROM {_RANKED} WHERE n <= 8 GROUP BY 1 HAVING count(*) >= 4", "gross_margin_q", "last_8q_avg")
 _THIRDS = f"SELECT entity_id, avg(value) FILTER (WHERE n <= 3) AS late, avg(value) FILTER (WHERE n > 6) AS early, count(*) AS coverage FROM {_RANKED} WHERE n <= 9 GROUP BY 1 HAVING count(*) >= 8"
-_screen("screen_delta", f"SELECT entity_id, late - early AS value, coverage FROM ({_THIRDS})", "gross_margin", "last_9q", "delta")
-_screen("screen_relative_change", f"SELECT entity_id, (late - early) / abs(early) AS value, coverage FROM ({_THIRDS})", "gross_margin", "last_9q", "relative_change")
+_screen("screen_delta", f"SELECT entity_id, late - early AS value, coverage FROM ({_THIRDS})", "gross_margin_q", "last_9q", "delta")
+_screen("screen_relative_change", f"SELECT entity_id, (late - early) / abs(early) AS value, coverage FROM ({_THIRDS})", "gross_margin_q", "last_9q", "relative_change")
 _FORWARD = f"(SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY period_end) AS n FROM est WHERE period_end >= DATE '{TODAY}')"
 _screen("screen_forward", f"SELECT entity_id, sum(revenue_avg) AS value, count(*) AS coverage FROM {_FORWARD} WHERE n <= 4 GROUP BY 1 HAVING count(*) >= 2", "revenue_avg", "forward_4q_sum", vertical="estimates", limit=50)
 
@@ -58,9 +60,9 @@ def universe_size(spark, sf_dir):
     return screener.universe_size(frame(spark, sf_dir), "roic")
 
 
-@query(f"SELECT entity_id, period_end, {r({'gross_margin': _GM, 'roic': 'roic', 'net_debt': 'net_debt'}, 8)} FROM mf WHERE entity_id = 7 ORDER BY period_end DESC LIMIT 6")
+@query(f"SELECT entity_id, period_end, {r({'gross_margin_q': _GM, 'roic': 'roic', 'net_debt': 'net_debt'}, 8)} FROM mf WHERE entity_id = 7 ORDER BY period_end DESC LIMIT 6")
 def multi_metric(spark, sf_dir):
-    names = ["gross_margin", "roic", "net_debt"]
+    names = ["gross_margin_q", "roic", "net_debt"]
     assert set(names) <= set(METRICS)
     return screener.metric_values(frame(spark, sf_dir), 7, names, 6).select("entity_id", "period_end", *rounded(names, 8))
 
@@ -68,12 +70,12 @@ def multi_metric(spark, sf_dir):
 _SEG = "SELECT l_suppkey AS entity_id, p_brand AS segment, CAST(year(l_shipdate) AS INTEGER) AS fy, sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3"
 
 
-@query(f"SELECT a.entity_id, a.segment, a.fy, round({safe('a.value - b.value', 'b.value')} * 1.00000000001, 8) AS growth FROM seg a JOIN seg b ON a.entity_id = b.entity_id AND a.segment = b.segment AND a.fy = b.fy + 1", seg=_SEG)
+@query(f"SELECT a.entity_id, a.segment, a.fy, round({safe('a.value - b.value', 'b.value')}, 10) AS growth FROM seg a JOIN seg b ON a.entity_id = b.entity_id AND a.segment = b.segment AND a.fy = b.fy + 1", seg=_SEG)
 def segment_yoy(spark, sf_dir):
     items, part = kit.table(spark, sf_dir, "lineitem"), kit.table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     seg = items.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("entity_id"), F.col("p_brand").alias("segment"), F.year("l_shipdate").alias("fy")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,4)")).alias("value"))
     prior = seg.select("entity_id", "segment", (F.col("fy") + 1).alias("fy"), F.col("value").alias("prior"))
-    return seg.join(prior, ["entity_id", "segment", "fy"]).select("entity_id", "segment", "fy", F.round(fn.ratio(F.col("value") - F.col("prior"), "prior") * 1.00000000001, 8).alias("growth"))
+    return seg.join(prior, ["entity_id", "segment", "fy"]).select("entity_id", "segment", "fy", F.round(fn.ratio(F.col("value") - F.col("prior"), "prior"), 10).alias("growth"))
 
 
 @query(f"SELECT entity_id, period_end, CASE WHEN period_end < DATE '{TODAY}' THEN 'past' ELSE 'forward' END AS side, round(revenue_avg, 4) AS revenue_avg FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, period_end < DATE '{TODAY}' ORDER BY abs(period_end - DATE '{TODAY}')) AS n FROM est) WHERE n <= 4", est=_EST)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.columns import calendar_period, fiscal_period
 from .operators import facts as ops
-from .schemas import CONCEPTS, COUNTS, FLOWS, STOCKS
+from .schemas import CONCEPTS, FLOWS, STOCKS
 
 #: Concept values from a group's sums: p price, rev discounted price, taxd taxed price, q quantity.
 VALUES = {
@@ -21,7 +21,6 @@ STATEMENT = {c: "income_statement" if c in FLOWS[:9] else "cash_flow" if c in FL
 #: The least change of capital for ROIIC, at the scale of these tables.
 LEAST_CHANGE = 1000.0
 KEYS = ["entity_id", "period_end", "period_type", "fiscal_year", "fiscal_quarter", "fiscal_period_label", "calendar_year", "calendar_quarter"]
-assert COUNTS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +42,20 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("ticker"), F.format_string("%02d-28", F.col("s_nationkey") % 12 + 1).alias("fiscal_year_end_md"), F.col("s_nationkey").alias("nation_id"), "s_acctbal")
 
 
+#: Where facts were landed, by the tables' folder.
+LANDED: dict[str, str] = {}
+
+
+def land(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Write the facts once, sorted by concept and entity; queries of this process then read them from there."""
+    facts(spark, sf_dir).repartition("concept").sortWithinPartitions("concept", "entity_id").write.mode("overwrite").parquet(path)
+    LANDED[sf_dir] = path
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long quarterly facts in three source versions, some superseded."""
+    if sf_dir in LANDED:
+        return spark.read.parquet(LANDED[sf_dir])
     flag = F.expr("CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END")
     rows = groups(spark, sf_dir).join(entities(spark, sf_dir).select("entity_id", "fiscal_year_end_md"), "entity_id").withColumn("flag", flag).withColumn("period_type", F.lit("quarter"))
     fy, fq, fl = fiscal_period(F.col("period_end"), F.col("fiscal_year_end_md"), F.col("period_type"))
@@ -62,10 +73,57 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.pivot_wide(ops.current(facts(spark, sf_dir)), CONCEPTS, KEYS)
+def wide(spark: SparkSession, sf_dir: str, concepts: list[str] | None = None) -> DataFrame:
+    """The wide quarterly frame. concepts: those that a row-wise metric reads; the filter reaches the scan of landed facts."""
+    rows = ops.current(facts(spark, sf_dir))
+    return ops.pivot_wide(rows if concepts is None else rows.where(F.col("concept").isin(concepts)), concepts or CONCEPTS, KEYS)
+
+
+def annual_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annual rows of the best versions: flows summed, stocks and counts as of the last quarter; years with all four quarters only."""
+    picked = ops.pick_source(ops.current(facts(spark, sf_dir)))
+    years = picked.groupBy("entity_id", "fiscal_year", "statement", "concept").agg(F.sum("value").alias("s"), F.max_by("value", "period_end").alias("last"), F.max("period_end").alias("period_end"), F.countDistinct("fiscal_quarter").alias("n"), F.max("published_at").alias("published_at"))
+    value = F.when(F.col("concept").isin(list(FLOWS)), F.col("s")).otherwise(F.col("last")).cast("decimal(28,4)")
+    null = lambda t: F.lit(None).cast(t)
+    return years.where("n = 4").select(
+        F.xxhash64("entity_id", "fiscal_year", "concept").alias("id"), "entity_id", "statement", "concept", value.alias("value"), F.lit("USD").alias("unit"), "fiscal_year", null("int").alias("fiscal_quarter"), F.format_string("FY%d", "fiscal_year").alias("fiscal_period_label"), "period_end",
+        F.lit("annual").alias("period_type"), F.year("period_end").alias("calendar_year"), F.quarter("period_end").alias("calendar_quarter"), F.format_string("CY%d Q%d", F.year("period_end"), F.quarter("period_end")).alias("calendar_period_label"), "published_at", null("timestamp").alias("superseded_at"),
+        F.lit("fmp-3").alias("extraction_version"), *[null("string").alias(f"dimension_{x}") for x in ("type", "key", "label", "source")],
+    )
+
+
+def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fiscal years' frame, from quarterly and annual rows."""
+    from .operators import metrics
+
+    rows = ops.current(facts(spark, sf_dir)).unionByName(annual_facts(spark, sf_dir))
+    return metrics.fiscal_year(ops.pivot_wide(rows.where("period_type = 'annual'"), CONCEPTS, KEYS))
+
+
+#: XBRL tags of the filings by concept.
+TAGS = {"revenue": "Revenues", "net_income": "NetIncomeLoss", "cfo": "NetCashProvidedByUsedInOperatingActivities", "total_equity": "StockholdersEquity", "total_assets": "Assets", "cash_and_equivalents": "CashAndCashEquivalentsAtCarryingValue", "ebt_incl_unusual": "IncomeLossBeforeIncomeTaxes"}
+
+
+def companyfacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filed entries as JSON, a row per entity: first quarters to third ones, nine months, years and snapshots.
+
+    Every fifth entity files other values, every seventh files its quarters again later with values of a tenth more.
+    """
+    picked = ops.pick_source(ops.current(facts(spark, sf_dir))).where(F.col("concept").isin(list(TAGS)))
+    flow = F.col("concept").isin(list(FLOWS))
+    whole = Window.partitionBy("entity_id", "fiscal_year", "concept")
+    rows = picked.withColumns({"n": F.size(F.collect_set("fiscal_quarter").over(whole)), "fy": F.sum("value").over(whole), "nine": F.sum(F.when(F.col("fiscal_quarter") < 4, F.col("value"))).over(whole)})
+    off = F.when(F.col("entity_id") % 5 == 0, F.lit("1.02")).otherwise(F.lit("1")).cast("decimal(4,2)")
+    entry = lambda days, value, again, when: F.when(when, F.struct((F.date_sub("period_end", days) if days else F.lit(None).cast("date")).alias("start"), F.col("period_end").alias("end"), (value * off * F.lit(again).cast("decimal(4,2)")).cast("decimal(28,4)").alias("val"), F.concat(F.lit("a"), F.lit(again)).alias("accn"), F.date_add("period_end", 30 if again == "1" else 120).alias("filed"), F.lit("10-Q").alias("form")))
+    q, seventh = F.col("fiscal_quarter"), F.col("entity_id") % 7 == 0
+    entries = F.array(entry(90, F.col("value"), "1", flow & (q < 4)), entry(90, F.col("value"), "1.1", flow & (q < 4) & seventh), entry(272, F.col("nine"), "1", flow & (q == 3) & (F.col("n") == 4)), entry(364, F.col("fy"), "1", flow & (q == 4) & (F.col("n") == 4)), entry(0, F.col("value"), "1", ~flow))
+    tag = F.element_at(F.create_map(*[F.lit(x) for kv in TAGS.items() for x in kv]), F.col("concept"))
+    lists = rows.select("entity_id", tag.alias("tag"), F.explode(F.array_compact(entries)).alias("e")).groupBy("entity_id", "tag").agg(F.collect_list("e").alias("e"))
+    tags = lists.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("tag", F.create_map(F.lit("units"), F.create_map(F.lit("USD"), F.col("e")))))).alias("tags"))
+    return tags.select("entity_id", F.to_json(F.create_map(F.lit("facts"), F.create_map(F.lit("us-gaap"), F.col("tags")))).alias("body"))
 
 
+_YEAR = ["revenue", "cogs", "gross_profit", "operating_income", "net_income", "rd", "sbc", "cfo", "capital_expenditures"]
 _SUMS = ", ".join(f"CAST(sum(CAST({x} AS DECIMAL(18,4))) AS DECIMAL(28,4)) AS {k}" for k, x in {"p": "l_extendedprice", "rev": "l_extendedprice * (1 - l_discount)", "taxd": "l_extendedprice * l_tax", "q": "l_quantity"}.items())
 _END = "CAST(date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE)"
 _PICK = ", ".join(f"max(value) FILTER (WHERE concept = '{c}' AND rn = 1) AS {c}" for c in CONCEPTS)
@@ -95,6 +153,7 @@ SQL: dict[str, str] = {
     ),
     "cur": "SELECT *, row_number() OVER (PARTITION BY entity_id, concept, period_end, period_type ORDER BY rank, published_at DESC NULLS LAST, id DESC) AS rn FROM facts WHERE superseded_at IS NULL",
     "wide": f"SELECT entity_id, period_end, period_type, fiscal_year, fiscal_quarter, fiscal_period_label, calendar_year, calendar_quarter, {_PICK}, max(value) FILTER (WHERE concept = 'rd') AS rd_any_version FROM cur GROUP BY ALL",
+    "annual_wide": f"SELECT entity_id, fiscal_year, 'FY' || fiscal_year AS fiscal_period_label, max(period_end) AS period_end, {', '.join(f'sum({c}) AS {c}_fy' for c in _YEAR)}, {', '.join(f'arg_max({c}, period_end) AS {c}' for c in ('total_assets', 'total_equity', 'current_portion_lt_debt', 'long_term_debt', 'current_portion_leases_operating', 'long_term_leases_operating', 'cash_and_equivalents', 'short_term_investments', 'inventory'))} FROM wide GROUP BY entity_id, fiscal_year HAVING count(DISTINCT fiscal_quarter) = 4",
     "rdn": f"SELECT entity_id, period_end, coalesce(rd_any_version, 0) AS v, row_number() OVER {_ALL} AS k FROM wide",
     "rds": "SELECT a.entity_id, a.period_end, sum(b.v) AS rd_sum20, sum(b.v * (20 - (a.k - b.k))) AS rd_weighted20, CAST(count(*) AS INTEGER) AS rd_coverage FROM rdn a JOIN rdn b ON a.entity_id = b.entity_id AND b.k BETWEEN a.k - 19 AND a.k GROUP BY 1, 2",
     "mf1": f"SELECT *, {', '.join(f'sum({c}) OVER {_LAST4} AS {c}_ttm' for c in FLOWS)}, count(*) OVER {_LAST4} AS quarters_in_window, CAST(sum(rd_sum20) OVER {_LAST4} AS DOUBLE) / 20 AS rd_amortization_ttm, min(rd_coverage) OVER {_LAST4} AS rd_coverage_quarters, CAST(rd_sum20 AS DOUBLE) / 20 AS rd_amortization_q, CAST(rd_weighted20 AS DOUBLE) / 20 AS rd_asset_q FROM wide JOIN rds USING (entity_id, period_end)",

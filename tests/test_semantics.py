@@ -111,7 +111,7 @@ def test_periods():
     assert grammar.parse_period("last_8q_sum") == grammar.Period("window", n=8, unit="q", how="sum")
     assert grammar.parse_period("asof:2024-02-29").day == dt.date(2024, 2, 29)
     assert grammar.supports(grammar.parse_period("last_3q"), "delta") and not grammar.supports(grammar.parse_period("last_2q"), "delta")
-    for name, period in (("gross_margin", "next_q"), ("pe_ttm", "FY2024"), ("revenue_avg", "latest"), ("gross_margin", "last_3y"), ("revenue_fy", "2024-Q1")):
+    for name, period in (("gross_margin", "next_q"), ("pe_ttm", "FY2024"), ("revenue_avg", "latest"), ("gross_margin_q", "last_3y"), ("revenue", "2024-Q1")):
         with pytest.raises(grammar.PeriodError):
             grammar.check(grammar.find_metric(name), grammar.parse_period(period), "level")
 
@@ -124,10 +124,10 @@ def test_window_grammar(n, unit, how):
 
 def test_screen_limits_and_errors(spark):
     frame = metrics.metric_frame(company(spark)).withColumn("fiscal_year", F.year("period_end"))
-    out = screener.screen({"financials": frame}, "gross_margin", "latest", limit=10_000).collect()
+    out = screener.screen({"financials": frame}, "gross_margin_q", "latest", limit=10_000).collect()
     assert [(r["rank"], r["entity_id"]) for r in out] == [(1, 1)] and out[0]["citation"] == "M:financials:1:2022-12-31"
     with pytest.raises(grammar.PeriodError):
-        screener.screen({"financials": frame}, "gross_margin", sort="up")
+        screener.screen({"financials": frame}, "gross_margin_q", sort="up")
 
 
 def test_fingerprint_ignores_order_and_nulls(spark):
