@@ -28,26 +28,33 @@ from pyspark.sql import functions as F
 from ._shared import Scratch, free_name, let, text_of
 
 BINS = 16
-SLOTS = 1 << 14  #: places of the table that telling words are looked up in
+SLOTS = 1 << 12  #: places of the table that telling words are looked up in
 WORD_ENDS = r"[\x20\x09-\x0D.,;:!?\"'()\[\]]++"
 TIGHT = 1e-8  #: the gradient, in shares of all tokens, that counts as zero
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """Binned measures of a text, each 0 .. BINS - 1."""
-    n = F.length(text).cast("double")
-    share = lambda part, of: F.when(of > 0, part / of).otherwise(0.0)
+def _read(text: Column) -> Column:
+    """What the features of a text are taken from, in one pass each: its length, words, lines and marks."""
+    marks = F.length(text) - F.length(F.regexp_replace(text, r"[^\p{L}\s]++", ""))
+    return F.struct(F.length(text).cast("double").alias("n"), words_of(text).alias("words"), F.split(text, "\n").alias("lines"), marks.cast("double").alias("marks"))
+
+
+def _binned(t: Column) -> dict[str, Column]:
+    """Binned measures of what _read gives, each 0 .. BINS - 1."""
     binned = lambda x, scale: F.least(F.floor(x * scale), F.lit(BINS - 1)).cast("int")
-    lines = F.split(text, "\n")
-    spaces = n - F.length(F.replace(text, F.lit(" "), F.lit("")))
     return {
-        "length": binned(F.log2(n + 1), 1.0),
-        "word": binned(share(n - spaces, spaces + 1), 1.0),
-        "marks": binned(share(n - F.length(F.regexp_replace(text, r"[^\p{L}\s]++", "")), n), 64.0),
-        "repeats": binned(1.0 - share(F.size(F.array_distinct(lines)).cast("double"), F.size(lines).cast("double")), BINS),
+        "length": binned(F.log2(t["n"] + 1), 1.0),
+        "word": binned(t["n"] / F.size(t["words"]), 1.0),
+        "marks": binned(t["marks"] / F.greatest(t["n"], F.lit(1.0)), 64.0),
+        "repeats": binned(1.0 - F.size(F.array_distinct(t["lines"])) / F.size(t["lines"]), BINS),
     }
 
 
+def measures(text: Column) -> Column:
+    """The binned measures of a text, a struct."""
+    return let(_read(text), lambda t: F.struct(*[c.alias(k) for k, c in _binned(t).items()]))
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, lower-case and without marks."""
     return F.split(F.lower(text), WORD_ENDS)
@@ -85,14 +92,18 @@ class Model:
         for word, by_domain in self.words.items():
             for d, x in enumerate(by_domain):
                 values[d][slot_of(word)] = x
-        told = F.array_intersect(words_of(text), _literal(list(self.words), "array<string>"))
-        hits = F.transform(told, lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int"))
 
         def score(v: list[float], h: Column) -> Column:
             return F.log1p(F.aggregate(h, F.lit(0.0), lambda a, i: a + F.get(_literal(v, "array<double>"), i)))
 
-        scores = let(hits, lambda h: F.array(*[score(v, h) for v in values])) if self.words else _literal([0.0] * len(self.domains), "array<double>")
-        return F.concat(let(F.struct(*[c.alias(k) for k, c in measures(text).items()]), likelihoods), scores)
+        def scores(words: Column) -> Column:
+            if not self.words:
+                return _literal([0.0] * len(self.domains), "array<double>")
+            told = F.array_intersect(words, _literal(list(self.words), "array<string>"))
+            return let(F.transform(told, lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")), lambda h: F.array(*[score(v, h) for v in values]))
+
+        both = lambda t: F.concat(let(F.struct(*[c.alias(k) for k, c in _binned(t).items()]), likelihoods), scores(t["words"]))
+        return let(_read(text), both)
 
     def posteriors(self, text: Column) -> Column:
         if len(self.domains) == 1:
@@ -150,7 +161,7 @@ def softmax_regression(x: np.ndarray, y: np.ndarray, classes: int, penalty: floa
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, domains: list[str], scratch: Scratch, most_labelled: int = 20_000, most_words: int = 1_000, least_gain: float = 30.0, least_odds: float = 0.7) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, domains: list[str], scratch: Scratch, most_labelled: int = 20_000, most_words: int = 200, least_gain: float = 30.0, least_odds: float = 0.7) -> Model:
     """The classifier. docs: id, text; labels: doc_id, domain; domains: those to know beside the labelled ones.
 
     most_labelled: labelled rows learnt from, those with the smallest hash of their id. most_words: telling words, the best by
@@ -160,7 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame, domains: list[str], scratch: Scrat
     known = known.orderBy(F.xxhash64("known"), "known", "domain").limit(most_labelled)
     text = text_of("text")
     sample = docs.join(F.broadcast(known), docs["id"] == known["known"]).limit(most_labelled)  # most_labelled rows bound the broadcast side
-    sample = scratch.table(sample.select("domain", "text", *[c.alias(k) for k, c in measures(text).items()]), "sample")
+    sample = scratch.table(sample.repartition(32).select("domain", "text", measures(text).alias("m")).select("domain", "text", "m.*"), "sample")
     names = [c for c in sample.columns if c not in ("domain", "text")]
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("m"), F.col(n).alias("bin")) for n in names])).alias("x")
     counts = sample.select("domain", pairs).groupBy("domain", "x.m", "x.bin").agg(F.count("*").alias("n")).collect()  # domains * measures * BINS rows at most
