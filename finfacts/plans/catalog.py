@@ -1,7 +1,7 @@
 """All queries of the library, by name, and their SQL."""
 
-from . import documents, extras, finance, quality, retrieval
+from . import documents, extras, finance, quality, reads, retrieval
 
-QUERIES = dict(finance.QUERIES)  # the other modules register with it too
+MODULES = (documents, extras, finance, quality, reads, retrieval)  # each registers its queries with finance's
+QUERIES = dict(finance.QUERIES)
 ORACLES = dict(finance.ORACLES)
-assert documents and extras and quality and retrieval

@@ -1,4 +1,4 @@
-"""Landing and result sinks: verbatim payloads with hashes, replace-by-key partitions, CSV, traced queries."""
+"""Sinks for what vendors answer, for artifacts and for results; and the trace of what was read."""
 
 from __future__ import annotations
 
@@ -7,36 +7,53 @@ import json
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from datetime import date, datetime
+from datetime import date
 from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def jsonable(value: object) -> object:
-    """A value as JSON can hold it."""
-    if isinstance(value, (date, datetime)):
-        return value.isoformat()
-    if isinstance(value, Decimal):
-        return str(value)
-    if isinstance(value, dict):
-        return {str(k): jsonable(v) for k, v in value.items()}
-    return [jsonable(v) for v in value] if isinstance(value, (list, tuple, set)) else value
+def _plain(x: object) -> object:
+    if isinstance(x, date):  # datetimes too
+        return x.isoformat()
+    if isinstance(x, Decimal):
+        return format(x, "f")
+    if isinstance(x, (set, frozenset)):
+        return sorted(x, key=repr)
+    raise TypeError(f"{type(x).__name__} has no JSON form")
 
 
 def canonical_json(value: object) -> str:
-    return json.dumps(jsonable(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """One text for equal values: keys in order, no spaces."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=_plain)
 
 
-def param_hash(params: object) -> str:
-    return hashlib.sha256(canonical_json(params).encode()).hexdigest()[:16]
+def fingerprint_of(params: object) -> str:
+    return hashlib.sha256(canonical_json(params).encode()).hexdigest()
 
 
-def with_hashes(responses: DataFrame, body: str = "body", params: str = "params") -> DataFrame:
-    """Adds raw_hash, canonical_hash (white space and line ends don't count) and params_hash."""
+def with_hashes(responses: DataFrame, body: str = "body", params: str = "params", data: str | None = None) -> DataFrame:
+    """Adds raw_hash, canonical_hash (white space and line ends don't count) and params_hash.
+
+    With data, a column of bytes, a row has either a body or bytes; one with both or neither fails when it is read.
+    """
+    raw = F.col(body).cast("binary")
     squeezed = F.trim(F.regexp_replace(F.regexp_replace(body, "\r\n?", "\n"), r"[ \t]+\n", "\n"))
-    return responses.withColumns({"raw_hash": F.sha2(F.col(body).cast("binary"), 256), "canonical_hash": F.sha2(squeezed, 256), "params_hash": F.sha2(params, 256)})
+    canonical = F.sha2(squeezed, 256)
+    if data is not None:
+        one = F.col(body).isNull() != F.col(data).isNull()
+        raw = F.when(one, F.coalesce(raw, F.col(data))).otherwise(F.raise_error(F.lit("a response has a body or bytes, not both")).cast("binary"))
+        canonical = F.coalesce(canonical, F.sha2(F.col(data), 256))
+    return responses.withColumns({"raw_hash": F.sha2(raw, 256), "canonical_hash": canonical, "params_hash": F.sha2(params, 256)})
+
+
+def cache_path(root: str, vendor: str, endpoint: str, *segments: str) -> str:
+    """Where a vendor's answers are kept: folders that partition discovery reads back as columns."""
+    parts = [f"vendor={vendor}", f"endpoint={endpoint.strip('/').replace('/', '-')}", *segments]
+    if any(not s or s in (".", "..") or "/" in s for s in parts):
+        raise ValueError(f"no path of {segments}")
+    return "/".join([root.rstrip("/"), *parts])
 
 
 def land(responses: DataFrame, existing: DataFrame | None, path: str, keys: Sequence[str] = ("vendor", "endpoint", "params_hash", "canonical_hash")) -> None:
@@ -47,24 +64,54 @@ def land(responses: DataFrame, existing: DataFrame | None, path: str, keys: Sequ
     rows.write.mode("append").partitionBy("vendor", "endpoint").parquet(path)
 
 
+def new_artifacts(incoming: DataFrame, existing: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+    """The artifacts to append, and the existing ones with those superseded that have a new version.
+
+    An artifact is known by its type and document; one with the same canonical hash is there already. Line ends and white space at
+    their ends don't count.
+    """
+    keys = ["artifact_type", "source_document_id"]
+    hashed = with_hashes(incoming, "body", "source_document_id").drop("params_hash").dropDuplicates([*keys, "canonical_hash"])
+    fresh = hashed.join(existing.select(*keys, "canonical_hash"), [*keys, "canonical_hash"], "left_anti")
+    hit = fresh.select(*keys).distinct().withColumn("__new", F.lit(True))
+    old = existing.join(hit, keys, "left").withColumn("superseded_at", F.when(F.col("__new") & F.col("superseded_at").isNull(), now).otherwise(F.col("superseded_at"))).drop("__new")
+    return fresh, old
+
+
 def replace_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
     """Delete and replace: the partitions that df has rows of, and no others. Tasks gather a partition's rows, so it gets few files."""
     df.repartition(*[F.col(c) for c in by]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def export_csv(df: DataFrame, path: str) -> None:
+def export_csv(df: DataFrame, path: str, checks: dict[str, tuple[str, dict[str, int]]] | None = None) -> None:
+    """CSV files with a header. checks: name -> (total, signed parts); each adds `check_<name>`, what the total misses of its parts, missing parts as 0."""
+    for name, (total, parts) in (checks or {}).items():
+        told = F.lit(0).cast("decimal(38,4)")
+        for part, sign in parts.items():
+            told = told + F.coalesce(F.col(part).cast("decimal(28,4)"), F.lit(0)) * sign
+        df = df.withColumn(f"check_{name}", (F.col(total).cast("decimal(28,4)") - told).cast("decimal(38,4)"))
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def as_lines(df: DataFrame) -> DataFrame:
+    """A screen's rows as JSON lines, in their order."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+
+
 @dataclass
 class Trace:
-    """What queries ran: label, hash of their parameters, rows, milliseconds."""
+    """What queries and actions ran: label, fingerprint of their parameters, rows, milliseconds, ids."""
 
     entries: list[dict] = field(default_factory=list)
 
     def run(self, df: DataFrame, label: str, params: object = None, ids: str | None = None, most: int = 1_000) -> list[dict]:
-        """The first `most` rows as dicts, for reads of a screen's size."""
+        """The first `most` rows as dicts, for reads of a screen's size. The entry has the number of all rows."""
         began = time.perf_counter()
-        rows = [r.asDict() for r in df.limit(most).collect()]
-        self.entries.append({"label": label, "params": param_hash(params), "rows": len(rows), "ms": round(1000 * (time.perf_counter() - began), 1), "ids": [r[ids] for r in rows] if ids else []})
-        return rows
+        rows = [r.asDict() for r in df.limit(most + 1).collect()]
+        total = df.count() if len(rows) > most else len(rows)
+        self.record(label, params, began, total, [r[ids] for r in rows[:most]] if ids else [])
+        return rows[:most]
+
+    def record(self, label: str, params: object, began: float, rows: int, ids: Sequence = ()) -> None:
+        """An action that ran elsewhere. began: time.perf_counter() at its start."""
+        self.entries.append({"label": label, "params": fingerprint_of(params), "rows": rows, "ms": round(1000 * (time.perf_counter() - began), 1), "ids": list(ids)})

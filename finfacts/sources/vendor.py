@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import calendar_period, fiscal_period
 from ..operators.facts import unpivot
+from ..operators.verify import broken_ties
 
 # Which fields of the vendor's statements make up a concept.
 INCOME_STATEMENT = {
@@ -108,6 +109,63 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SEGMENTS).option("multiLine", True).json(path)
 
 
+_D, _S, _N, _T = "date", "string", "decimal(28,4)", "timestamp"
+#: Feeds beside the statements. The vendor's field, what it is called here and its type.
+FEEDS: dict[str, list[tuple[str, str, str]]] = {
+    "estimates": [("symbol", "ticker", _S), ("date", "period_end", _D), *[(f"{v}{k.capitalize()}", f"{n}_{k}", _N) for v, n in (("revenue", "revenue"), ("ebitda", "ebitda"), ("ebit", "ebit"), ("netIncome", "net_income"), ("eps", "eps")) for k in ("low", "avg", "high")], ("numAnalystsRevenue", "analysts_revenue", "int"), ("numAnalystsEps", "analysts_eps", "int")],
+    "price_targets": [("symbol", "ticker", _S), ("targetHigh", "target_high", _N), ("targetLow", "target_low", _N), ("targetConsensus", "target_consensus", _N), ("targetMedian", "target_median", _N)],
+    "earnings": [("symbol", "ticker", _S), ("date", "date", _D), ("epsActual", "eps_actual", _N), ("epsEstimated", "eps_estimated", _N), ("revenueActual", "revenue_actual", _N), ("revenueEstimated", "revenue_estimated", _N), ("lastUpdated", "updated_on", _D)],
+    "grades": [("symbol", "ticker", _S), ("date", "date", _D), ("gradingCompany", "grading_company", _S), ("previousGrade", "previous_grade", _S), ("newGrade", "new_grade", _S), ("action", "action", _S)],
+    "target_news": [("symbol", "ticker", _S), ("publishedDate", "published_at", _T), ("analystName", "analyst", _S), ("analystCompany", "analyst_company", _S), ("priceTarget", "price_target", _N), ("adjPriceTarget", "adjusted_target", _N), ("priceWhenPosted", "price_when_posted", _N), ("newsTitle", "title", _S), ("newsURL", "url", _S)],
+    "prices": [("symbol", "ticker", _S), ("date", "date", _D), ("open", "open", "decimal(18,6)"), ("high", "high", "decimal(18,6)"), ("low", "low", "decimal(18,6)"), ("close", "close", "decimal(18,6)"), ("volume", "volume", "bigint")],
+    "adjusted_prices": [("symbol", "ticker", _S), ("date", "date", _D), ("adjClose", "adj_close", "decimal(18,6)"), ("volume", "volume", "bigint")],
+    "market_caps": [("symbol", "ticker", _S), ("date", "date", _D), ("marketCap", "market_cap", "decimal(28,2)")],
+    "employees": [("symbol", "ticker", _S), ("formType", "form_type", _S), ("periodOfReport", "period_of_report", _D), ("employeeCount", "employee_count", "bigint"), ("acceptanceTime", "published_at", _T), ("filingDate", "filed_on", _D)],
+    "transcripts": [("symbol", "ticker", _S), ("year", "fiscal_year", "int"), ("period", "period", _S), ("date", "date", _D), ("content", "content", _S)],
+}
+
+
+def read_feed(spark: SparkSession, path: str, feed: str) -> DataFrame:
+    """JSON files of a feed, arrays or lines of rows, with the names of this library. Rows without a ticker or with a broken value are left out."""
+    schema = ", ".join(f"`{v}` {kind}" for v, _, kind in FEEDS[feed])
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    rows = rows.select(*[F.col(f"`{v}`").alias(n) for v, n, _ in FEEDS[feed]]).where("ticker IS NOT NULL").withColumn("ticker", F.upper("ticker"))
+    if feed == "employees":
+        return rows.withColumn("published_at", F.coalesce("published_at", F.col("filed_on").cast("timestamp"), F.col("period_of_report").cast("timestamp")))
+    if feed == "transcripts":  # period is Q1 to Q4
+        return rows.withColumn("fiscal_quarter", F.nullif(F.regexp_extract("period", "Q([1-4])", 1), F.lit("")).cast("int")).where("trim(content) <> ''")
+    return rows
+
+
+def latest_snapshots(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Of each key the row that was fetched last."""
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), at).alias("x")).select(*keys, "x.*")
+
+
+def load_statement(rows: DataFrame, entities: DataFrame, statement: str, version: str, ties: list, existing: DataFrame, now: Column, since: Column | None = None, absolute: float = 1e6) -> tuple[DataFrame, DataFrame]:
+    """The facts with a statement's vendor rows loaded, and the flags that this raises.
+
+    Facts of a key (entity, concept, period, kind of period) that are there with the same value stay; those with another value of this version are
+    superseded, and the new one names the old. Vendor rows whose fiscal year isn't the derived one aren't loaded; they and broken ties are
+    flagged: entity_id, period_end, period_type, flag_type, detail, severity.
+    existing: id, superseded_at, supersedes_fact_id beside statement_facts()'s columns.
+    """
+    keys = ["entity_id", "concept", "period_end", "period_type"]
+    told = statement_facts(rows, entities, statement, version, since)
+    wrong, good = told.where("fiscal_year_mismatch"), told.where("NOT coalesce(fiscal_year_mismatch, false)").drop("fiscal_year_mismatch").dropDuplicates(keys)
+    live = existing.where(F.col("superseded_at").isNull() & (F.col("extraction_version") == version)).select(*keys, F.col("id").alias("old_id"), F.col("value").alias("old_value"))
+    met = good.join(live, keys, "left").where(F.col("old_value").isNull() | (F.col("old_value") != F.col("value")))
+    new = met.withColumns({"id": F.xxhash64(*keys, F.lit(version), "value", "published_at"), "superseded_at": F.lit(None).cast("timestamp"), "supersedes_fact_id": F.col("old_id")}).drop("old_id", "old_value")
+    gone = new.where("supersedes_fact_id IS NOT NULL").select(F.col("supersedes_fact_id").alias("id"), F.lit(True).alias("__gone"))
+    kept = existing.join(gone, "id", "left").withColumn("superseded_at", F.when(F.col("__gone"), now).otherwise(F.col("superseded_at"))).drop("__gone")
+    concepts = sorted({t.total for t in ties} | {p for t in ties for p in t.parts})
+    at = ["entity_id", "period_end", "period_type"]
+    wide = good.groupBy(*at).agg(*[F.expr(f"max(value) FILTER (WHERE concept = '{c}')").alias(c) for c in concepts])
+    broken = broken_ties(wide, ties, at, absolute).select(*at, F.lit("tie").alias("flag_type"), F.col("tie").alias("detail"), "severity")
+    years = wrong.select(*at).distinct().select(*at, F.lit("fiscal_year_mismatch").alias("flag_type"), F.lit(statement).alias("detail"), F.lit("investigate").alias("severity"))
+    return kept.unionByName(new.select(*kept.columns)), broken.unionByName(years)
+
+
 def joined_prices(raw: DataFrame, adjusted: DataFrame) -> DataFrame:
     """Raw closes with adjusted ones by security and day; a day that one feed lacks is left out."""
     return raw.join(adjusted.select("security_id", "date", "adj_close"), ["security_id", "date"])

@@ -1,7 +1,10 @@
 """Vendor payloads, landing, streaming."""
 
+import datetime
+import decimal
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from finfacts import schemas, testkit
@@ -71,7 +74,78 @@ def test_replace_partitions(spark, tmp_path):
 def test_trace_and_hash(spark):
     trace = landing.Trace()
     assert len(trace.run(spark.range(5), "five", {"b": 1, "a": 2}, ids="id")) == 5 and trace.entries[0]["ids"] == [0, 1, 2, 3, 4]
-    assert landing.param_hash({"a": 2, "b": 1}) == trace.entries[0]["params"]
+    assert landing.fingerprint_of({"a": 2, "b": 1}) == trace.entries[0]["params"]
+
+
+def test_trace_counts_all_rows(spark):
+    trace = landing.Trace()
+    assert len(trace.run(spark.range(1_001), "many", most=1_000)) == 1_000 and trace.entries[0]["rows"] == 1_001
+    trace.record("answer", {"q": 1}, 0.0, 3, [1, 2])
+    assert trace.entries[1]["rows"] == 3 and trace.entries[1]["ids"] == [1, 2]
+
+
+def test_canonical_json():
+    a = {"b": decimal.Decimal("1.50"), "a": datetime.date(2024, 1, 2), "c": {3, 1, 2}}
+    assert landing.canonical_json(a) == '{"a":"2024-01-02","b":"1.50","c":[1,2,3]}'
+    assert landing.cache_path("/x/", "v", "a/b", "T.json") == "/x/vendor=v/endpoint=a-b/T.json"
+    with pytest.raises(ValueError):
+        landing.cache_path("/x", "v", "e", "..")
+
+
+def test_body_or_bytes(spark):
+    rows = spark.createDataFrame([("{}", "a", None), ("{}", None, bytearray(b"a"))], "params string, body string, data binary")
+    assert landing.with_hashes(rows, data="data").select("raw_hash").distinct().count() == 1
+    with pytest.raises(Exception, match="not both"):
+        landing.with_hashes(rows.withColumn("data", F.lit("x").cast("binary")), data="data").collect()
+
+
+def test_artifacts_are_superseded_by_new_versions(spark):
+    none = F.lit(None).cast("timestamp")
+    first = spark.createDataFrame([("10-K", "d1", "text\r\n"), ("10-K", "d2", "other")], "artifact_type string, source_document_id string, body string")
+    stored = landing.with_hashes(first, "body", "source_document_id").drop("params_hash").withColumn("superseded_at", none)
+    again = spark.createDataFrame([("10-K", "d1", "text\n"), ("10-K", "d2", "changed")], first.schema)
+    fresh, old = landing.new_artifacts(again, stored, F.lit("2024-01-01").cast("timestamp"))
+    assert [r["source_document_id"] for r in fresh.collect()] == ["d2"]
+    assert {r["source_document_id"]: r["superseded_at"] is None for r in old.collect()} == {"d1": True, "d2": False}
+
+
+def test_csv_has_check_columns(spark, tmp_path):
+    landing.export_csv(spark.createDataFrame([(100.0, 40.0, 61.0)], "revenue double, cogs double, gross_profit double"), str(tmp_path / "c"), {"gp": ("gross_profit", {"revenue": 1, "cogs": -1})})
+    assert float(spark.read.option("header", True).csv(str(tmp_path / "c")).first()["check_gp"]) == 1
+
+
+def test_feeds(spark, tmp_path):
+    def read(feed, *rows):
+        (tmp_path / feed).mkdir()
+        (tmp_path / feed / "x.json").write_text(json.dumps(rows))
+        return [r.asDict() for r in vendor.read_feed(spark, str(tmp_path / feed), feed).collect()]
+
+    (e,) = read("estimates", {"symbol": "acme", "date": "2025-03-31", "revenueLow": 1, "revenueAvg": 2, "revenueHigh": 3, "epsAvg": 0.5, "numAnalystsEps": 4}, {"date": "2025-03-31"})
+    assert (e["ticker"], float(e["revenue_avg"]), float(e["eps_avg"]), e["analysts_eps"], e["ebit_avg"]) == ("ACME", 2, 0.5, 4, None)
+    (t,) = read("transcripts", {"symbol": "ACME", "year": 2024, "period": "Q3", "date": "2024-11-01", "content": "A: b"}, {"symbol": "ACME", "year": 2024, "period": "Q2", "content": " "})
+    assert (t["fiscal_year"], t["fiscal_quarter"], t["content"]) == (2024, 3, "A: b")
+    (n,) = read("employees", {"symbol": "ACME", "formType": "10-K", "periodOfReport": "2024-12-31", "employeeCount": 12, "filingDate": "2025-02-01"})
+    assert n["employee_count"] == 12 and str(n["published_at"]) == "2025-02-01 00:00:00"
+    raw, adjusted = read("prices", {"symbol": "A", "date": "2024-01-02", "close": 10.5, "volume": 7}), read("adjusted_prices", {"symbol": "A", "date": "2024-01-02", "adjClose": 9})
+    assert float(raw[0]["close"]) == 10.5 and float(adjusted[0]["adj_close"]) == 9
+    assert len(read("grades", {"symbol": "A", "date": "2024-01-02", "newGrade": "Buy"})) == len(read("price_targets", {"symbol": "A", "targetHigh": 3})) == len(read("earnings", {"symbol": "A", "epsActual": 3})) == len(read("target_news", {"symbol": "A", "priceTarget": 3})) == len(read("market_caps", {"symbol": "A", "marketCap": 3})) == 1
+
+
+def test_statements_are_loaded_once_and_superseded(spark, tmp_path):
+    now, entities = F.lit("2024-06-01").cast("timestamp"), spark.createDataFrame([(7, "ACME", "12-31")], "entity_id long, ticker string, fiscal_year_end_md string")
+    facts_of = lambda rows: vendor.statement_facts(rows, entities, "income_statement", "fmp-1").drop("fiscal_year_mismatch")
+    read = lambda name, *rows: ((tmp_path / name).mkdir(), (tmp_path / name / "x.json").write_text(json.dumps(rows)), vendor.read_statement(spark, str(tmp_path / name), "income_statement"))[2]
+    empty = facts_of(read("a", row())).limit(0).select("*", F.lit(0).cast("long").alias("id"), F.lit(None).cast("timestamp").alias("superseded_at"), F.lit(0).cast("long").alias("supersedes_fact_id"))
+    load_ = lambda rows, existing: vendor.load_statement(rows, entities, "income_statement", "fmp-1", verify.IS_TIES[:1], existing, now, absolute=0.5)
+    one, flags = load_(read("b", row()), empty)
+    assert flags.count() == 0 and one.count() == facts_of(read("c", row())).count()
+    two, flags = load_(read("d", row(grossProfit=70)), one)
+    assert [(r["flag_type"], r["detail"]) for r in flags.collect()] == [("tie", "gross_profit")]
+    changed = two.where("concept = 'gross_profit'").orderBy("superseded_at").collect()
+    assert two.count() == one.count() + 1 and {r["superseded_at"] is None for r in changed} == {True, False}
+    assert next(r for r in changed if r["superseded_at"] is None)["supersedes_fact_id"] == next(r for r in changed if r["superseded_at"] is not None)["id"]
+    three, flags = load_(read("e", row(fiscalYear="2023", revenue=1)), one)
+    assert three.count() == one.count() and [r["flag_type"] for r in flags.collect()] == ["fiscal_year_mismatch"]
 
 
 def test_streamed_facts(spark, sf, tmp_path):
