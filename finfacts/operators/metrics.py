@@ -6,6 +6,8 @@ partitioning and order, so Spark sorts once; the metrics proper are expressions
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,6 +130,19 @@ def pit_ttm(pit: DataFrame) -> DataFrame:
     return df.select("entity_id", "period_end", "asof_date", *[f"{c}_ttm" for c in flows], ebitda.alias("ebitda_ttm"), fcf.alias("fcf_ttm"), "long_term_debt", "current_portion_lt_debt", "noncontrolling_interest", *CASH, "quarters_in_window")
 
 
+def valuation_percentile(valued: DataFrame, ratios: Sequence[str] = ("pe_ttm", "ps_ttm", "ev_ebitda_ttm", "fcf_yield_ttm"), days: int = 5 * 365) -> DataFrame:
+    """Each entity's last day with its ratios and the share of the days before, within a window, that were below; days without the first ratio don't count.
+
+    valued: entity_id, date and the ratios. The last day's row is one per entity, so it meets the history in one join.
+    """
+    last = valued.groupBy("entity_id").agg(F.max("date").alias("as_of"), *[F.max_by(r, "date").alias(f"now_{r}") for r in ratios])
+    window = valued.where(F.col(ratios[0]).isNotNull()).join(last, "entity_id").where(F.col("date") >= F.date_sub("as_of", days))
+    first, low = ratios[0], lambda r: F.count_if(F.col(r) < F.col(f"now_{r}")) / F.count("*")
+    sums = window.groupBy("entity_id").agg(F.count("*").alias("n_samples"), F.min(first).alias(f"min_{first}"), F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {first})").alias(f"median_{first}"), F.max(first).alias(f"max_{first}"), *[low(r).alias(f"below_{r}") for r in ratios])
+    rows = last.join(sums, "entity_id", "left")
+    return rows.select("entity_id", "as_of", F.coalesce("n_samples", F.lit(0)).alias("n_samples"), *[f"{x}_{first}" for x in ("min", "median", "max")], *[F.when(F.col(f"now_{r}").isNotNull(), F.col(f"below_{r}")).alias(f"below_{r}") for r in ratios])
+
+
 def valuation_ratios() -> dict[str, Column]:
     """On daily rows with market_cap and the trailing sums known that day; none without four quarters."""
     cap, full = dbl("market_cap"), F.coalesce(F.col("quarters_in_window") >= 4, F.lit(False))

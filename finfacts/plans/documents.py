@@ -37,9 +37,8 @@ def section_extract(spark, sf_dir):
 
 @query()
 def chunk_warnings(spark, sf_dir):
-    pieces = text.chunk_documents(_docs(spark, sf_dir), ["doc_id"], "text", target=200, most=250).join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
-    body = F.expr("substring(text, start + 1, `end` - start)")
-    return pieces.select("doc_id", "ordinal", text.chunk_warning(body, F.col("heading")).alias("warning"))
+    pieces = text.chunk_documents(_docs(spark, sf_dir), ["doc_id"], "text", with_text=True, target=200, most=250)
+    return pieces.select("doc_id", "ordinal", text.chunk_warning(F.col("text"), F.col("heading")).alias("warning"))
 
 
 @query("SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, length(text) AS n FROM conversations")
@@ -63,9 +62,42 @@ def mention_counts(spark, sf_dir):
     return text.mention_counts(_docs(spark, sf_dir), "lang", "text", ["the", "license"])
 
 
-@query()
+_STEMMED = "regexp_replace(regexp_replace(regexp_replace(w, '([a-z]{3})ies$', '\\1y'), '([a-z]{3})(?:ing|edly|ed|ly)$', '\\1'), '([a-z]{2}[^s])s$', '\\1')"
+
+
+@query(f"""SELECT doc_id, round(sum(ln(1 + n)), 9) AS score FROM (SELECT doc_id, {_STEMMED} AS term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS w FROM documents) GROUP BY 1, 2) WHERE term IN ('licen', 'under', 'apache')
+    GROUP BY 1 HAVING count(*) = 3 ORDER BY score DESC, doc_id LIMIT 50""")
 def token_search(spark, sf_dir):
-    return text.search(text.token_index(_docs(spark, sf_dir), "doc_id", "text"), "doc_id", "licensed under apache", 50)
+    return text.search(text.token_index(_docs(spark, sf_dir), "doc_id", "text"), "doc_id", "licensed under apache", 50).withColumn("score", F.round("score", 9))
+
+
+@query(r"""SELECT conv_id, count(*) AS turns, min(speaker) AS first_name, CAST(sum(n) AS BIGINT) AS chars FROM (SELECT conv_id, unnest(regexp_extract_all(t, '(?m)^([A-Z][A-Za-z.''\- ]{1,60}):[ \t]+', 1)) AS speaker, 0 AS n FROM said UNION ALL
+    SELECT conv_id, NULL, length(regexp_replace(t, '(?m)^([A-Z][A-Za-z.''\- ]{1,60}):[ \t]+', '', 'g')) FROM said) WHERE true GROUP BY 1""".replace("count(*) AS turns", "count(speaker) AS turns"),
+       said="SELECT conv_id, string_agg(upper(left(role, 1)) || substr(role, 2) || ': ' || regexp_replace(text, '[\\x20\\x09-\\x0D]+', ' ', 'g'), chr(10) ORDER BY turn, text) AS t FROM conversations GROUP BY 1")
+def speaker_turns(spark, sf_dir):
+    """Conversations written out as transcripts and parsed back into turns."""
+    said = F.concat(F.initcap("role"), F.lit(": "), F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("text"), said.alias("said")))), lambda x: x["said"])
+    scripts = _turns(spark, sf_dir).groupBy("conv_id").agg(F.array_join(lines, "\n").alias("t"))
+    out = text.transcript_units(scripts, "conv_id", "t")
+    return out.groupBy("conv_id").agg(F.count("*").alias("turns"), F.min("speaker").alias("first_name"), F.sum(F.col("end") - F.col("start")).cast("long").alias("chars"))
+
+
+@query()
+def release_units(spark, sf_dir):
+    """The driver's documents as releases: every seventh line becomes a unit's heading."""
+    line = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 7 == 3, "Business Outlook").when(i % 7 == 5, "About Acme Corporation").otherwise(x))
+    return text.release_units(_docs(spark, sf_dir).select("doc_id", F.array_join(line, "\n").alias("text")), "doc_id", "text").select("doc_id", "ordinal", "unit_key", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'annual' WHEN 1 THEN 'quarter' END AS period_type, CASE WHEN doc_id % 3 < 2 THEN CAST(year(e) + CASE WHEN month(e) > 9 THEN 1 ELSE 0 END AS INTEGER) END AS fiscal_year, CASE WHEN doc_id % 3 = 1 THEN CAST(((month(e) - 10 + 12) % 12) // 3 + 1 AS INTEGER) END AS fiscal_quarter
+    FROM (SELECT doc_id, DATE '2020-01-15' + CAST(doc_id % 1500 AS INTEGER) - 7 AS e FROM documents)""")
+def filing_periods(spark, sf_dir):
+    """Forms and report dates of a filer whose year ends in September."""
+    d = F.col("doc_id")
+    form = F.when(d % 3 == 0, "10-K/A").when(d % 3 == 1, "10-Q").otherwise("8-K")
+    told = text.filing_period(form, F.date_add(F.lit("2020-01-15").cast("date"), (d % 1500).cast("int")), F.lit("09-30"))
+    return _docs(spark, sf_dir).select("doc_id", *[told[k].alias(k) for k in ("period_type", "fiscal_year", "fiscal_quarter")])
 
 
 @query("SELECT doc_id, CAST(12 * len(regexp_extract_all(text, 'Licen[sc]e')) + 5 * len(regexp_extract_all(text, '[0-9]{4}')) - 7 * len(regexp_extract_all(text, '###')) AS INTEGER) AS score FROM documents WHERE 12 * len(regexp_extract_all(text, 'Licen[sc]e')) + 5 * len(regexp_extract_all(text, '[0-9]{4}')) - 7 * len(regexp_extract_all(text, '###')) >= 12 ORDER BY score DESC, doc_id LIMIT 40")

@@ -161,6 +161,19 @@ def price_series(spark, sf_dir):
     return reads.daily_closes(kit.daily(spark, sf_dir), None, day("1996-01-01"), day("1998-12-31"), "week", 100).select("entity_id", "date", *rounded(["close"], 4))
 
 
+_BELOW = ", ".join(f"CASE WHEN any_value(l.{k}) IS NOT NULL THEN round(count(*) FILTER (WHERE v.{k} < l.{k}) / count(*), 9) END AS below_{k}" for k in ("pe_ttm", "ps_ttm", "ev_ebitda_ttm", "fcf_yield_ttm"))
+
+
+@query(f"""SELECT entity_id, as_of, coalesce(n, 0) AS n_samples, min_pe_ttm, median_pe_ttm, below_pe_ttm, below_ps_ttm, below_ev_ebitda_ttm, below_fcf_yield_ttm FROM (SELECT entity_id, max(date) AS as_of FROM known GROUP BY 1) LEFT JOIN
+    (SELECT v.entity_id, count(*) AS n, min(v.pe_ttm) AS min_pe_ttm, quantile_disc(v.pe_ttm, 0.5) AS median_pe_ttm, {_BELOW} FROM valued v JOIN last_ l ON v.entity_id = l.entity_id WHERE v.pe_ttm IS NOT NULL AND v.date >= l.date - 730 GROUP BY 1) USING (entity_id)""",
+       valued=f"SELECT entity_id, date, {', '.join(f'{x} AS {k}' for k, x in _V.items())} FROM known", last_="SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY date DESC) = 1")
+def valuation_percentiles(spark, sf_dir):
+    """Two years' window."""
+    out = metrics.valuation_percentile(_valuation(kit.daily(spark, sf_dir), _known(spark, sf_dir)), days=730)
+    below = [f"below_{k}" for k in ("pe_ttm", "ps_ttm", "ev_ebitda_ttm", "fcf_yield_ttm")]
+    return out.select("entity_id", "as_of", "n_samples", "min_pe_ttm", "median_pe_ttm", *[F.round(c, 9).alias(c) for c in below])
+
+
 # Findings and flags
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from finfacts import testkit
 from finfacts.operators import metrics, windows
+from finfacts.operators import text as text_ops
 from finfacts.plans import catalog
 
 
@@ -29,8 +30,30 @@ def test_metric_stack_shuffles_once_after_the_pivot(spark, sf):
     assert count(frame) == count(wide) + 1
 
 
+def test_the_wide_pivot_is_a_hash_aggregate(spark, sf):
+    text = plan(testkit.wide(spark, sf))
+    assert "SortAggregate" not in text and "ObjectHashAggregate" not in text and "HashAggregate" in text
+
+
+def test_row_wise_metrics_read_their_concepts_only(spark, sf, tmp_path):
+    testkit.land(spark, sf, str(tmp_path / "facts"))
+    try:
+        text = plan(catalog.QUERIES["screen_latest"](spark, sf))
+        assert re.search(r"PushedFilters: \[[^\]]*In\(concept, \[gross_profit,revenue\]\)", text) and text.count("lineitem.parquet") == 0
+        assert catalog.QUERIES["metrics_q"](spark, sf).count() == 270
+    finally:
+        testkit.LANDED.clear()
+
+
+def test_a_search_reads_its_words_only(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"word{i % 50} rising margins") for i in range(200)], "k int, t string")
+    text_ops.write_index(text_ops.token_index(df, "k", "t"), str(tmp_path / "index"))
+    found = text_ops.search(spark.read.parquet(str(tmp_path / "index")), "k", "word7 margins")
+    assert re.search(r"PushedFilters: \[[^\]]*In\(term, \[margin,word7\]\)", plan(found)) and found.count() == 4
+
+
 def test_no_query_crosses_tables(spark, sf):
-    for name in ("asof_valuation", "carry_forward", "resolving_runs", "interval_overlap_speaker", "prices_gap_detection", "roic_roiic", "screen_delta"):
+    for name in ("asof_valuation", "carry_forward", "resolving_runs", "interval_overlap_speaker", "prices_gap_detection", "roic_roiic", "screen_delta", "screen_valuation_latest", "metrics_at_fiscal_year", "anchor_reconcile", "unit_chunks"):
         assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan(catalog.QUERIES[name](spark, sf))), name
 
 

@@ -172,6 +172,88 @@ def test_companyfacts(spark):
     assert out == {("annual", "2023-12-31"): (110, False), ("nine_months", "2023-09-30"): (70, False), ("quarter", "2023-09-30"): (25, False), ("quarter", "2023-12-31"): (40, True)}
 
 
+def test_triage_by_hand(spark):
+    rows = [
+        ("total_equity", "StockholdersEquity", False, 9e9, 1e9), ("total_equity", "Other", False, 4e6, 1e9), ("total_equity", "Other", False, 6e6, 1e9), ("total_liabilities", "Liabilities", True, 4e7, 1e9), ("ebt_incl_unusual", "x", False, 2.4e8, 1e9),
+        ("cash_and_equivalents", "x", False, 6e7, 1e9), ("total_assets", "x", False, 4e6, 1e9), ("revenue", "x", True, 9e8, 1e9), ("revenue", "x", False, 1e7, 1e9), ("revenue", "x", False, 9e6, 1e9), ("cfo", "x", False, 2e7, 1e10), ("net_income", "x", False, 2e7, 0.0), ("rd", "x", False, 9e8, 1e9),
+    ]
+    want = ["DEFINITIONAL", "DEFINITIONAL", "AMBIGUOUS", "DEFINITIONAL", "DEFINITIONAL", "AMBIGUOUS", "DEFINITIONAL", "AMBIGUOUS", "CORRUPTION", "AMBIGUOUS", "AMBIGUOUS", "CORRUPTION", "AMBIGUOUS"]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, concept string, tag string, derived boolean, delta double, other double")
+    assert [r["v"] for r in df.select("i", verify.triage().alias("v")).orderBy("i").collect()] == want
+    told = [r["c"] for r in df.select("i", verify.bulk_category().alias("c")).orderBy("i").collect()]
+    assert told[3] == told[7] == "audit_derivation_artifact" and told[0] == "definitional_difference" and told[8] == told[12] == "keep_open"
+
+
+def test_cross_statement_by_hand(spark):
+    m = 1_000_000
+    rows = [(1, 1, 10, 10, 100, None, 100, None, None), (1, 2, 12, 10, 130, 5, 135, 100, 35), (1, 3, 10, 10, 130, None, 120, 135, -5), (1, 4, None, 10, None, None, 7, 130, 1)]
+    df = spark.createDataFrame([(e, p, *[None if x is None else float(x * m) for x in v]) for e, p, *v in rows], "entity_id int, period_end int, net_income_start double, net_income double, cash_and_equivalents double, restricted_cash double, cash_end_of_period double, cash_begin_of_period double, net_change_in_cash double")
+    out = {(r["period_end"], r["tie"]) for r in verify.cross_statement(df, ["entity_id", "period_end"], windows.ordered()).collect()}
+    assert out == {(2, "net_income"), (3, "cash_end")}
+
+
+def test_amendment_steps(spark):
+    ours = spark.createDataFrame([(1, "revenue", 2024, "2024-03-31", 100.0), (1, "revenue", 2024, "2024-06-30", 100.0), (2, "revenue", 2024, "2024-03-31", 9.0)], "entity_id int, concept string, fiscal_year int, period_end string, value double")
+    filed = spark.createDataFrame([(1, "revenue", "2024-03-31", 102.0), (1, "revenue", "2024-06-30", 100.5), (2, "revenue", "2024-03-31", 50.0)], "entity_id int, concept string, end string, val double")
+    failing = spark.createDataFrame([(1, 2024)], "entity_id int, fiscal_year int")
+    assert [(r["period_end"], r["concepts"]) for r in verify.affected_periods(failing, ours, filed).collect()] == [("2024-03-31", ["revenue"])]
+    given = spark.createDataFrame([(1, "revenue", 100.0), (1, "gross_profit", 60.0), (2, "revenue", 5.0), (3, "revenue", 9.0), (3, "gross_profit", 4.0), (3, "cogs", 1.0)], "k int, concept string, new double")
+    assert {(r["k"], r["concept"], float(r["new"])) for r in verify.derived_candidates(given, ["k"]).where("derived").collect()} == {(1, "cogs", 40)}
+
+
+def test_slugs_lose_marks(spark):
+    row = spark.createDataFrame([("Île-de-France & Öst",)], "label string").select(facts.slug_of(F.col("label")).alias("s")).first()
+    assert row["s"] == "ile_de_france_ost" and len(facts.MARKED) == len(facts.PLAIN)
+
+
+def test_resolving_runs_agree_on_periods(spark):
+    at = dt.datetime(2024, 1, 1, 12)
+    found = spark.createDataFrame([(1, at, "T", "FY2024-Q2"), (2, at, "T", None)], "finding int, resolved_at timestamp, ticker string, fiscal_period_key string")
+    run = lambda i, minutes, counts, scope=None, kind="ingest": (i, at - dt.timedelta(minutes=minutes), "succeeded", kind, "v", scope, counts)
+    runs = spark.createDataFrame([run(1, 5, '{"fiscal_year": 2024, "fiscal_quarter": 2}'), run(2, 5, '{"fiscal_year": 2023}'), run(3, 61, "{}"), run(4, 60, "{}", ["T"]), run(5, 1, "{}", ["U"]), run(6, 1, "{}", None, "reconciliation")], "run int, ended_at timestamp, status string, kind string, vendor string, ticker_scope array<string>, counts string")
+    out = {(r["finding"], r["run"], r["action_label"]) for r in quality.resolving_runs(found, runs).collect()}
+    assert out == {(1, 1, "ingest v FY2024-Q2"), (1, 4, "ingest v"), (2, 1, "ingest v FY2024-Q2"), (2, 2, "ingest v FY2023"), (2, 4, "ingest v")}
+
+
+def test_a_check_that_fails_when_it_runs_is_reported(spark, tmp_path):
+    def keep(name, df):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    good = spark.createDataFrame([("f", "c", "warning", 1, "s")], "fingerprint string, source_check string, severity string, entity_id long, summary string")
+    sweep = quality.Sweep(keep)
+    out = sweep.run({"bad": lambda: good.withColumn("summary", F.raise_error(F.lit("late"))), "good": lambda: good})
+    assert out.count() == 1 and list(sweep.failed) == ["bad"]
+
+
+def test_registry_has_every_name():
+    names = {"revenue", "gross_margin", "operating_margin", "net_margin", "fcf", "cfo", "net_income", "operating_income", "rd", "sbc_pct_revenue", "roic", "roiic", "revenue_growth_yoy", "gross_profit_growth_yoy", "incremental_gross_margin", "incremental_operating_margin", "accruals_ratio", "net_debt_to_ebitda", "interest_coverage_ttm", "reinvestment_rate"}
+    names |= {f"{x}_{k}" for x in ("revenue", "eps", "ebitda", "ebit", "net_income") for k in ("avg", "growth")} | {"pe_ttm", "ps_ttm", "ev_ebitda_ttm", "fcf_yield_ttm", "market_cap", "ev"}
+    assert names <= set(grammar.METRICS) and len(names) == 36
+
+
+def test_every_metric_can_be_read(spark):
+    wide = company(spark)
+    frame = metrics.metric_frame(wide).withColumns({"fiscal_year": F.year("period_end"), "fiscal_quarter": F.quarter("period_end")})
+    names = [m.name for m in grammar.METRICS.values() if m.vertical == "financials" and m.grain == "q"]
+    out = {r["metric"]: r["value"] for r in screener.read_metrics({"financials": frame, "annual": frame}, 1, names, "latest").collect()}
+    assert set(out) == set(names) and out["revenue_growth_yoy"] == pytest.approx((620 - 460) / 460) and out["gross_margin_q"] == pytest.approx(102 / 170)
+    assert grammar.quarter_concepts(grammar.find_metric("gross_margin_q"), schemas.CONCEPTS) == ["gross_profit", "revenue"] and grammar.quarter_concepts(grammar.find_metric("roic"), schemas.CONCEPTS) is None
+
+
+def test_valuation_screen_falls_back_to_days_with_a_value(spark):
+    days = spark.createDataFrame([(1, "2024-01-01", 5.0), (1, "2024-01-02", None), (2, "2024-01-02", 3.0), (3, "2024-01-02", None)], "entity_id int, date string, market_cap double").withColumn("date", F.to_date("date"))
+    out = screener.valuation_screen(days, days.limit(0), lambda d, known: d, "market_cap").collect()
+    assert [(r["entity_id"], r["value"], str(r["date"]), r["citation"]) for r in out] == [(1, 5.0, "2024-01-01", "M:valuation:1:2024-01-01"), (2, 3.0, "2024-01-02", "M:valuation:2:2024-01-02")]
+
+
+def test_priorities_are_ordered(spark):
+    t = lambda y: dt.datetime(y, 1, 1)
+    rows = [("odd", t(2024), 9), ("fmp-1", None, 1), ("fmp-1", t(1969), 1), ("fmp-1", t(2023), -5), ("fmp-1", t(2023), 7), ("xbrl-amendment-1", t(2000), 3), ("human-verified-1", None, 4)]
+    df = spark.createDataFrame(rows, "extraction_version string, published_at timestamp, id long").withColumn("n", F.monotonically_increasing_id())
+    assert [r["id"] for r in df.orderBy(facts.priority()).collect()] == [x[2] for x in rows]
+
+
 def test_promotion_keeps_lineage(spark):
     df = spark.createDataFrame([(1, 7, "revenue", "10", None)], "id long, entity_id long, concept string, value string, superseded_at timestamp").withColumns({"value": F.col("value").cast("decimal(28,4)"), "extraction_version": F.lit("fmp-1"), "published_at": F.lit("2020-01-01").cast("timestamp"), "supersedes_fact_id": F.lit(None).cast("long"), "supersession_reason": F.lit(None).cast("string")})
     out = verify.promote(df, spark.createDataFrame([(7, "revenue", 12.0)], "entity_id long, concept string, other double"), ["entity_id", "concept"], F.lit("2024-01-01").cast("timestamp")).collect()
@@ -211,6 +293,33 @@ def test_chunks_cover_and_end(body, target):
     assert all(i in covered for i, ch in enumerate(body) if ch in "abA")
 
 
+def test_parts_indexes_and_tails():
+    long = "We sell and we count what we sold. " * 20
+    body = "Part I\nItem 1. Financial Statements\n" + long + "\n12\nPart II\nItem 1. Legal Proceedings\n" + long + "\nItem 1A. Risk Factors\n" + long + "\nItem 2. Sales of Equity\n" + long
+    got = text.sections(body, "10-Q")
+    assert [s["key"] for s in got] == ["financial_statements", "risk_factors"] and body[got[0]["start"] : got[0]["end"]].endswith("sold. ".strip())
+    index = "".join(f"Item {i} See page of the report\n" for i in ("1", "1A", "3", "5", "7", "8"))
+    body = "Item 1. Business\n" + long + "\nItem 1A. Risk Factors\n" + long + "\n" + index
+    assert [(s["key"], s["method"]) for s in text.sections(body, "10-K")][:2] == [("business", "deterministic"), ("risk_factors", "deterministic")]
+
+
+def test_questions_quotes_and_units(spark):
+    assert text.driver_intent("What drove PLTR revenue growth in FY2024 Q3?") == {"tickers": ["PLTR"], "fiscal_year": 2024, "fiscal_quarter": 3, "period_type": "quarter"}
+    for bad in ("What drove PLTR revenue?", "PLTR margins in FY2024", "what drove revenue in fiscal 2024"):
+        with pytest.raises(text.IntentError):
+            text.driver_intent(bad)
+    assert text.quoted_in('It said "Sales  rose" twice', "… sales rose …") and not text.quoted_in('It said "sales fell"', "sales rose")
+    df = spark.createDataFrame([(1, "Operator: Good day to all.\nJane Doe: Thanks."), (2, "no speakers here at all"), (3, None)], "k int, t string")
+    assert {(r["k"], r["ordinal"], r["speaker"]) for r in text.transcript_units(df, "k", "t").collect()} == {(1, 0, "Operator"), (1, 1, "Jane Doe"), (2, 0, None), (3, 0, None)}
+
+
+def test_headlines(spark):
+    from finfacts.operators import reads
+
+    df = spark.createDataFrame([("The Apache license is here",), ("nothing",), (None,)], "t string")
+    assert [r[0] for r in df.select(reads.highlighted(F.col("t"), ["license", "apache"])).collect()] == ["The <b>Apache</b> <b>license</b> is here", None, None]
+
+
 def test_speaker_turns():
     body = "Operator: Good day to all.\nJane Doe: Thanks. It went well.\n"
     assert [(t["speaker"], body[t["start"] : t["end"]].strip()) for t in text.speaker_turns(body)] == [("Operator", "Good day to all."), ("Jane Doe", "Thanks. It went well.")]
