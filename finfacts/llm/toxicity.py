@@ -282,6 +282,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id
 
 
 def keep_rows(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows that aren't predicted toxic, with all columns of docs."""
-    score = scorer(learn(docs, labels, id_column, text_column))
-    return docs.where(score(F.col(text_column).cast("string"))["score"] < 0.5)
+    """The rows that aren't predicted toxic, with all columns of docs. With an empty lexicon nothing is told apart, and all rows stay."""
+    model = learn(docs, labels, id_column, text_column)
+    if not model.words and not model.stems:
+        return docs
+    return docs.where(scorer(model)(F.col(text_column).cast("string"))["score"] < 0.5)

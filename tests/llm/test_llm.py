@@ -194,7 +194,7 @@ def test_repeated_ids_stay_within_the_bound(spark):
 
 def test_short_and_long_words_are_learnt(spark):
     word = "toxicword" * 6
-    rows = [(i, (f"pig {word} word{i}" if i % 2 else "calm words here") + f" text{i % 5}", "a") for i in range(200)]
+    rows = [(i, (f"so{i} pig way{i} {word} word{i}" if i % 2 else "calm words here") + f" text{i % 5}", "a") for i in range(200)]
     model = toxicity.learn(frame(spark, rows), labels(spark, [(i, 1, i % 2) for i in range(200)]), least_gain=5.0, least_weight=1.0)
     assert "pig" in model.words and word in model.words
 
@@ -288,16 +288,17 @@ def test_mixing_has_converged_with_the_production_targets(spark, sf, kw):
 
 
 def test_mixing_is_as_near_as_an_independent_solver(spark, sf):
-    out = mixing.rates(_shared.documents(spark, sf), queries.domains(spark, sf), queries.TARGETS).toPandas()
-    w, r = out["n_tokens"].to_numpy(float), out["rate"].to_numpy()
-    a = (out[[f"p_{x}" for x in queries.TARGETS]].to_numpy() * w[:, None] / w.sum()).T
-    t, x = np.array(list(queries.TARGETS.values())), np.ones(len(w))
-    step, y, k = 1 / np.linalg.norm(a @ a.T, 2), x.copy(), 1.0
-    for _ in range(20_000):  # accelerated projected gradient
-        new = np.maximum(0, y - step * (a.T @ (a @ y - t)))
+    out = mixing.rates(_shared.documents(spark, sf), queries.domains(spark, sf), queries.TARGETS).where("n_tokens > 0").toPandas()
+    w, r, ridge = out["n_tokens"].to_numpy(float), out["rate"].to_numpy(), 1e-6
+    root = np.sqrt(w / w.sum())
+    a = (out[[f"p_{x}" for x in queries.TARGETS]].to_numpy() * root[:, None]).T
+    t, x = np.array(list(queries.TARGETS.values())), root.copy()  # x: rate * root
+    step, y, k = 1 / (np.linalg.norm(a @ a.T, 2) + ridge), x.copy(), 1.0
+    for _ in range(50_000):  # accelerated projected gradient of the same objective
+        new = np.maximum(0, y - step * (a.T @ (a @ y - t) + ridge * (y - root)))
         k2 = (1 + math.sqrt(1 + 4 * k * k)) / 2
         y, x, k = new + (k - 1) / k2 * (new - x), new, k2
-    assert abs(np.linalg.norm(a @ r - t) - np.linalg.norm(a @ x - t)) < 1e-4
+    assert abs(np.linalg.norm(a @ (r * root) - t) - np.linalg.norm(a @ x - t)) < 1e-4
 
 
 def test_domains_are_told_apart_on_held_out_documents(spark, sf):
