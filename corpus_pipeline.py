@@ -14,7 +14,7 @@ from finfacts.llm._shared import Scratch, documents
 #: Near copies share at least this percentage of their five-word shingles.
 ALIKE = 80
 #: The mixture wanted once toxic documents are gone: shares of tokens by what the labels say of quality.
-SHARES = {"good": 0.92, "poor": 0.08}
+SHARES = {"good": 0.88, "poor": 0.12}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
