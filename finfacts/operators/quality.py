@@ -81,14 +81,26 @@ def suspicious_length(sections: DataFrame, group: str, length: str, least_median
     return sections.join(medians, group).where((F.col(length) < F.col("median") * share) & (F.col(length) < most))
 
 
+#: What is expected of each entity: vertical, rule, threshold (periods, or days of age).
+STANDARD = [
+    ("financials", "min_periods", 20), ("segments", "present", 0), ("employees", "recency", 400), ("sec_qual", "min_periods", 20), ("transcript", "present", 0), ("transcript", "min_periods", 20), ("transcript", "recency", 150), ("prices", "present", 0), ("prices", "recency", 5),
+    ("estimates", "present", 0), ("estimates", "recency", 3),
+]
+
+
 @register("expected_coverage")
-def expected_coverage(coverage: DataFrame, rules: DataFrame, entities: DataFrame, today: Column) -> DataFrame:
-    """Entities short of a rule (vertical, min_periods, max_age_days)."""
-    wanted = entities.select("entity_id").crossJoin(F.broadcast(rules))  # rules: a handful of constants
-    joined = wanted.join(coverage, ["entity_id", "vertical"], "left")
-    periods = F.coalesce("periods", F.lit(0))
-    reason = F.when(periods == 0, "absent").when(periods < F.col("min_periods"), "too_few").when(F.date_diff(today, "latest") > F.col("max_age_days"), "stale")
-    return joined.withColumn("reason", reason).where("reason IS NOT NULL")
+def expected_coverage(coverage: DataFrame, entities: DataFrame, today: Column, rules: list[tuple[str, str, int]] = STANDARD) -> DataFrame:
+    """The rules that entities fall short of: entity_id, vertical, rule, threshold, actual (periods, or days of age).
+
+    Without rows a vertical is neither present nor recent. The rules are constants of each entity's row.
+    """
+    listed = F.array(*[F.struct(F.lit(v).alias("vertical"), F.lit(k).alias("rule"), F.lit(n).alias("threshold")) for v, k, n in rules])
+    wanted = entities.select("entity_id", F.explode(listed).alias("x")).select("entity_id", "x.*")
+    joined = wanted.join(coverage.select("entity_id", "vertical", "periods", "latest"), ["entity_id", "vertical"], "left")
+    periods, age = F.coalesce("periods", F.lit(0)).cast("long"), F.date_diff(today, F.col("latest")).cast("long")
+    met = F.when(F.col("rule") == "present", periods > 0).when(F.col("rule") == "min_periods", periods >= F.col("threshold")).when(F.col("rule") == "recency", F.coalesce(age <= F.col("threshold"), F.lit(False)))
+    actual = F.when(F.col("rule") == "recency", age).otherwise(periods)
+    return joined.where(~met).select("entity_id", "vertical", "rule", "threshold", actual.alias("actual"))
 
 
 @register("quarterly_sum_to_annual_drift")
@@ -261,6 +273,12 @@ def coverage_matrix(verticals: dict[str, DataFrame]) -> DataFrame:
     return periods.groupBy("entity_id", "vertical").agg(F.sum("n").alias("n_rows"), F.count("period_end").alias("periods"), F.min("period_end").alias("earliest"), F.max("period_end").alias("latest"))
 
 
+def coverage_buckets(verticals: dict[str, DataFrame], grain: str) -> DataFrame:
+    """Rows per entity, vertical and month, quarter or year."""
+    rows = reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("vertical"), "entity_id", F.trunc("period_end", grain).alias("bucket")) for k, df in verticals.items()])
+    return rows.groupBy("entity_id", "vertical", "bucket").agg(F.count("*").alias("n"))
+
+
 def fiscal_key(key: Column) -> tuple[Column, Column]:
     """Year and quarter of FY2024, FY2024-Q1 or FY2024 Q1; null where there is none."""
     number = lambda group: F.nullif(F.regexp_extract(key, r"^FY(\d{4})(?:[- ]Q([1-4]))?$", group), F.lit("")).cast("int")

@@ -105,9 +105,11 @@ def duration_kind(start: Column, end: Column) -> Column:
 
 
 def latest_filed(entries: DataFrame) -> DataFrame:
-    """By entity, concept, kind and end the value that was filed last."""
+    """By entity, concept, kind and end the value of the preferred tag (rank, if there is such a column: the lowest) that was filed last."""
     typed = entries.withColumn("kind", duration_kind(F.col("start"), F.col("end"))).where("kind IS NOT NULL")
-    return typed.groupBy("entity_id", "concept", "kind", "end").agg(F.max_by(F.struct("val", "accn", "filed"), F.struct("filed", "accn")).alias("x")).select("entity_id", "concept", "kind", "end", "x.*")
+    rank = -F.col("rank") if "rank" in entries.columns else F.lit(0)
+    fields = [c for c in ("val", "accn", "filed", "tag") if c in entries.columns]
+    return typed.groupBy("entity_id", "concept", "kind", "end").agg(F.max_by(F.struct(*fields), F.struct(rank, "filed", "accn")).alias("x")).select("entity_id", "concept", "kind", "end", *[F.col(f"x.{c}").alias(c) for c in fields])
 
 
 def with_fourth_quarters(filed: DataFrame) -> DataFrame:
@@ -116,11 +118,29 @@ def with_fourth_quarters(filed: DataFrame) -> DataFrame:
     nine = filed.where("kind = 'nine_months'").select("entity_id", "concept", F.col("end").alias("nine_end"), F.col("val").alias("ytd"))
     q4 = year.join(nine, ["entity_id", "concept"]).where(F.date_diff("year_end", "nine_end").between(*DURATIONS["quarter"]))
     q4 = q4.select("entity_id", "concept", F.lit("quarter").alias("kind"), F.col("year_end").alias("end"), (F.col("fy") - F.col("ytd")).cast("decimal(28,4)").alias("val"), "accn", "filed", F.lit(True).alias("derived"))
-    direct = filed.withColumn("derived", F.lit(False))
+    direct = filed.select("entity_id", "concept", "kind", "end", "val", "accn", "filed").withColumn("derived", F.lit(False))
     have = direct.where("kind = 'quarter'").select("entity_id", "concept", "kind", "end")
     return direct.unionByName(q4.join(have, ["entity_id", "concept", "kind", "end"], "left_anti"))
 
 
+def filed_values(raw: DataFrame, body: str, tags: dict[str, list[str]]) -> DataFrame:
+    """entity_id, concept, kind (quarter or instant), end, val, derived, tag of companyfacts. tags: by concept, the preferred first."""
+    places = [(t, c, i) for c, listed in tags.items() for i, t in enumerate(listed)]
+    entries = explode_companyfacts(raw, body, sorted({t for t, _, _ in places}))
+    of = F.create_map(*[x for t in sorted({t for t, _, _ in places}) for x in (F.lit(t), F.array(*[F.struct(F.lit(c).alias("concept"), F.lit(i).alias("rank")) for t2, c, i in places if t2 == t]))])
+    told = latest_filed(entries.withColumn("x", F.explode(of[F.col("tag")])).select("*", "x.concept", "x.rank").drop("x"))
+    direct = told.select("entity_id", "concept", "kind", "end", "tag")
+    preferred = F.element_at(F.create_map(*[F.lit(x) for c, listed in tags.items() for x in (c, listed[0])]), F.col("concept"))
+    values = with_fourth_quarters(told).where("kind IN ('quarter', 'instant')")
+    return values.join(direct, ["entity_id", "concept", "kind", "end"], "left").withColumn("tag", F.coalesce("tag", preferred))
+
+
+def anchored(ours: DataFrame, filed: DataFrame, absolute: float = 1e6, relative: float = 0.001) -> DataFrame:
+    """Where current values and filed ones diverge. ours: entity_id, period_end, fiscal_year, concept, value; filed: filed_values()'s rows."""
+    theirs = filed.select("entity_id", F.col("end").alias("period_end"), "concept", F.col("val").alias("other"), "derived", "tag")
+    return reconcile(ours.select("entity_id", "period_end", "fiscal_year", "concept", "value"), theirs, ["entity_id", "period_end", "concept"], absolute, relative)
+
+
 def reconcile(ours: DataFrame, theirs: DataFrame, keys: list[str], absolute: float = 1e6, relative: float = 0.001) -> DataFrame:
     """Keys whose values (value, other) diverge."""
     rows = ours.join(theirs, keys).withColumn("delta", F.abs(dbl("value") - dbl("other")))
@@ -141,6 +161,21 @@ def promote(facts: DataFrame, accepted: DataFrame, keys: list[str], now: Column,
     return old.unionByName(new.select(*old.columns))
 
 
+def promote_verified(facts: DataFrame, accepted: DataFrame, keys: list[str], period: list[str], ties: list[Tie], flags: DataFrame, now: Column, version: str = "xbrl-amendment-1", absolute: float = 1e6) -> tuple[DataFrame, DataFrame]:
+    """promote(), and the flags with those of ties that the touched periods break now; one that is open already isn't raised again.
+
+    flags: period's columns, flag_type, detail, resolved_at.
+    """
+    out = promote(facts, accepted, keys, now, version)
+    touched = out.where("superseded_at IS NULL").join(accepted.select(*period).distinct(), period, "left_semi")
+    concepts = sorted({t.total for t in ties} | {p for t in ties for p in t.parts})
+    wide = touched.groupBy(*period).agg(*[F.expr(f"max(value) FILTER (WHERE concept = '{c}')").alias(c) for c in concepts])
+    new = broken_ties(wide, ties, period, absolute).select(*period, F.lit("tie_after_promotion").alias("flag_type"), F.col("tie").alias("detail"))
+    known = flags.where("resolved_at IS NULL").select(*period, "flag_type", "detail")
+    fresh = new.join(known, [*period, "flag_type", "detail"], "left_anti").withColumn("resolved_at", F.lit(None).cast("timestamp"))
+    return out, flags.unionByName(fresh, allowMissingColumns=True)
+
+
 def sane(old: Column, new: Column, most_share: float = 0.5, above: float = 100_000) -> Column:
     """No change of sign, and of large values no change by more than most_share."""
     flips = (old * new) < 0

@@ -334,10 +334,17 @@ def latest_le_date(spark, sf_dir):
     return days.groupBy("entity_id").agg(F.max("date").alias("date"), F.round(F.max_by("close", "date").cast("double"), 4).alias("close"))
 
 
-@query(f"SELECT entity_id, {r({'upside_pct': '(CAST(s_acctbal AS DOUBLE) - c) / c * 100'})} FROM (SELECT entity_id, CAST(arg_max(close, date) AS DOUBLE) AS c FROM daily GROUP BY 1) JOIN entities USING (entity_id) WHERE c <> 0")
+_SET = "DATE '1995-01-01' + CAST(entity_id * 37 % 1200 AS INTEGER)"
+
+
+@query(f"SELECT entity_id, {_SET} AS d, {r({'upside_pct': '(CAST(s_acctbal AS DOUBLE) - c) / c * 100'})} FROM (SELECT d.entity_id, CAST(arg_max(close, date) AS DOUBLE) AS c FROM daily d WHERE date <= {_SET.replace('entity_id', 'd.entity_id')} GROUP BY 1) JOIN entities USING (entity_id) WHERE c <> 0")
 def target_gap(spark, sf_dir):
-    last = kit.daily(spark, sf_dir).groupBy("entity_id").agg(F.max_by("close", "date").cast("double").alias("c"))
-    return last.join(kit.entities(spark, sf_dir), "entity_id").where("c <> 0").select("entity_id", *rounded({"upside_pct": (F.col("s_acctbal") - F.col("c")) / F.col("c") * 100}))
+    """A target against the last close up to the day it was set."""
+    day = F.expr("date_add(DATE '1995-01-01', cast(entity_id * 37 % 1200 as int))")
+    targets = kit.entities(spark, sf_dir).select("entity_id", "s_acctbal", day.alias("d"))
+    closes = kit.daily(spark, sf_dir).select("entity_id", "date", F.col("close").cast("double").alias("c"))
+    at = asof.carry_forward(targets, closes, "entity_id", "d", "date", "c")
+    return at.where("c <> 0").select("entity_id", "d", *rounded({"upside_pct": (F.col("s_acctbal") - F.col("c")) / F.col("c") * 100}))
 
 
 # Named screens

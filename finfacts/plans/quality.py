@@ -81,13 +81,20 @@ def coverage_matrix(spark, sf_dir):
     return quality.coverage_matrix(_verticals(spark, sf_dir))
 
 
-@query("""SELECT entity_id, vertical, CASE WHEN periods IS NULL THEN 'absent' WHEN periods < min_periods THEN 'too_few' ELSE 'stale' END AS reason FROM (SELECT s_suppkey AS entity_id FROM supplier) CROSS JOIN
-    (VALUES ('financials', 20, 4000), ('prices', 600, 9000), ('segments', 1, 100)) v(vertical, min_periods, age) LEFT JOIN (SELECT entity_id, vertical, count(DISTINCT d) AS periods, max(d) AS latest FROM covered GROUP BY 1, 2) c USING (entity_id, vertical)
-    WHERE periods IS NULL OR periods < min_periods OR DATE '2012-01-01' - latest > age""", covered=_COVERAGE)
+_RULES = [("financials", "min_periods", 20), ("prices", "present", 0), ("prices", "min_periods", 600), ("prices", "recency", 5000), ("segments", "present", 0), ("segments", "recency", 100)]
+_RULE_ROWS = ", ".join(f"('{v}', '{k}', {n})" for v, k, n in _RULES)
+
+
+@query(f"""SELECT entity_id, vertical, rule, CAST(threshold AS INTEGER) AS threshold, CAST(CASE rule WHEN 'recency' THEN DATE '2012-01-01' - latest ELSE coalesce(periods, 0) END AS BIGINT) AS actual FROM (SELECT s_suppkey AS entity_id FROM supplier) CROSS JOIN (VALUES {_RULE_ROWS}) v(vertical, rule, threshold)
+    LEFT JOIN (SELECT entity_id, vertical, count(DISTINCT d) AS periods, max(d) AS latest FROM covered GROUP BY 1, 2) c USING (entity_id, vertical)
+    WHERE NOT CASE rule WHEN 'present' THEN coalesce(periods, 0) > 0 WHEN 'min_periods' THEN coalesce(periods, 0) >= threshold ELSE coalesce(DATE '2012-01-01' - latest <= threshold, false) END""", covered=_COVERAGE)
 def expected_coverage(spark, sf_dir):
-    rules = spark.sql("SELECT * FROM VALUES ('financials', 20, 4000), ('prices', 600, 9000), ('segments', 1, 100) AS t(vertical, min_periods, max_age_days)")
-    out = quality.expected_coverage(quality.coverage_matrix(_verticals(spark, sf_dir)), rules, kit.entities(spark, sf_dir), F.lit("2012-01-01").cast("date"))
-    return out.select("entity_id", "vertical", "reason")
+    return quality.expected_coverage(quality.coverage_matrix(_verticals(spark, sf_dir)), kit.entities(spark, sf_dir), F.lit("2012-01-01").cast("date"), _RULES)
+
+
+@query("SELECT entity_id, vertical, CAST(date_trunc('month', d) AS DATE) AS bucket, count(*) AS n FROM covered GROUP BY 1, 2, 3", covered=_COVERAGE)
+def coverage_by_month(spark, sf_dir):
+    return quality.coverage_buckets(_verticals(spark, sf_dir), "month")
 
 
 _PICKED = "SELECT * FROM cur WHERE rn = 1"
@@ -299,18 +306,11 @@ _ANCHORED = f"""SELECT entity_id, period_end, fiscal_year, concept, CAST(value A
 
 
 def _filed(spark, sf_dir):
-    """entity_id, concept, kind, end, val, derived, tag of the filings: the value filed last, fourth quarters derived."""
-    entries = verify.explode_companyfacts(kit.companyfacts(spark, sf_dir), "body", list(kit.TAGS.values()))
-    concept = F.element_at(F.create_map(*[F.lit(x) for c, t in kit.TAGS.items() for x in (t, c)]), F.col("tag"))
-    told = verify.with_fourth_quarters(verify.latest_filed(entries.withColumn("concept", concept)))
-    tag = F.element_at(F.create_map(*[F.lit(x) for kv in kit.TAGS.items() for x in kv]), F.col("concept"))
-    return told.where("kind IN ('quarter', 'instant')").withColumn("tag", tag)
+    return verify.filed_values(kit.companyfacts(spark, sf_dir), "body", {c: [t] for c, t in kit.TAGS.items()})
 
 
 def _diverged(spark, sf_dir):
-    ours = _picked(spark, sf_dir).where(F.col("concept").isin(list(kit.TAGS))).select("entity_id", "period_end", "fiscal_year", "concept", "value")
-    theirs = _filed(spark, sf_dir).select("entity_id", F.col("end").alias("period_end"), "concept", F.col("val").alias("other"), "derived", "tag")
-    return verify.reconcile(ours, theirs, ["entity_id", "period_end", "concept"], 1000.0)
+    return verify.anchored(_picked(spark, sf_dir), _filed(spark, sf_dir), 1000.0)
 
 
 @query(f"SELECT entity_id, period_end, concept, derived, {r(['value', 'other', 'delta'], 4)} FROM anchored", picked=_PICKED, anchored=_ANCHORED)

@@ -17,7 +17,7 @@ _GM = safe("gross_profit", "revenue")
 
 
 def _screened(df, digits: int = 8):
-    return df.select("entity_id", *rounded(["value"], digits), "coverage")
+    return df.select("rank", "entity_id", *rounded(["value"], digits), "coverage")
 
 
 def _screen(name: str, sql: str, metric: str, period: str, agg: str = "level", limit: int = 100, vertical: str = "financials", sort: str = "desc") -> None:
@@ -27,7 +27,7 @@ def _screen(name: str, sql: str, metric: str, period: str, agg: str = "level", l
         return _screened(screener.screen({vertical: frames[vertical]()}, metric, period, agg, sort, limit, TODAY))
 
     run.__name__ = name
-    query(f"SELECT entity_id, round(value, 8) AS value, coverage FROM ({sql}) WHERE value IS NOT NULL ORDER BY value DESC, entity_id LIMIT {limit}", est=_EST)(run)
+    query(f"SELECT CAST(row_number() OVER (ORDER BY value DESC, entity_id) AS INTEGER) AS rank, entity_id, round(value, 8) AS value, coverage FROM ({sql}) WHERE value IS NOT NULL QUALIFY rank <= {limit}", est=_EST)(run)
 
 
 _EST = "SELECT s_suppkey AS entity_id, CAST(date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS period_end, CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) AS revenue_avg FROM orders JOIN supplier ON o_custkey % 100 = s_suppkey % 100 GROUP BY 1, 2"

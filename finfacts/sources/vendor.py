@@ -40,11 +40,72 @@ CASH_FLOW = {
 }
 STATEMENTS = {"income_statement": INCOME_STATEMENT, "balance_sheet": BALANCE_SHEET, "cash_flow": CASH_FLOW}
 UNITS = {"eps_basic": "USD/share", "eps_diluted": "USD/share", "shares_basic_weighted_avg": "shares", "shares_diluted_weighted_avg": "shares"}
-#: US-GAAP tags by concept, the preferred first.
+# US-GAAP tags by concept, the preferred first; units are USD but for amounts per share and numbers of shares (UNITS).
 XBRL_TAGS = {
-    "revenue": ["Revenues", "RevenueFromContractWithCustomerExcludingAssessedTax"], "cogs": ["CostOfRevenue", "CostOfGoodsAndServicesSold"], "gross_profit": ["GrossProfit"], "rd": ["ResearchAndDevelopmentExpense"],
-    "sga": ["SellingGeneralAndAdministrativeExpense"], "total_opex": ["OperatingExpenses", "CostsAndExpenses"], "operating_income": ["OperatingIncomeLoss"], "interest_expense": ["InterestExpense", "InterestExpenseNonoperating", "InterestExpenseDebt"],
-}
+    "revenue": ["Revenues", "RevenueFromContractWithCustomerExcludingAssessedTax"],
+    "cogs": ["CostOfRevenue", "CostOfGoodsAndServicesSold"],
+    "gross_profit": ["GrossProfit"],
+    "rd": ["ResearchAndDevelopmentExpense"],
+    "sga": ["SellingGeneralAndAdministrativeExpense"],
+    "total_opex": ["OperatingExpenses", "CostsAndExpenses"],
+    "operating_income": ["OperatingIncomeLoss"],
+    "interest_expense": ["InterestExpense", "InterestExpenseNonoperating", "InterestExpenseDebt"],
+    "interest_income": ["InvestmentIncomeInterest", "InterestIncomeOperating", "InterestIncomeNonoperating", "InvestmentIncomeInterestAndDividend"],
+    "ebt_incl_unusual": ["IncomeLossFromContinuingOperationsBeforeIncomeTaxesExtraordinaryItemsNoncontrollingInterest", "IncomeLossFromContinuingOperationsBeforeIncomeTaxesMinorityInterestAndIncomeLossFromEquityMethodInvestments"],
+    "tax": ["IncomeTaxExpenseBenefit"],
+    "continuing_ops_after_tax": ["IncomeLossFromContinuingOperations", "ProfitLoss", "NetIncomeLoss"],
+    "discontinued_ops": ["IncomeLossFromDiscontinuedOperationsNetOfTax"],
+    "net_income": ["ProfitLoss", "NetIncomeLoss"],
+    "net_income_attributable_to_parent": ["NetIncomeLoss"],
+    "minority_interest": ["NetIncomeLossAttributableToNoncontrollingInterest"],
+    "eps_basic": ["EarningsPerShareBasic"],
+    "eps_diluted": ["EarningsPerShareDiluted"],
+    "shares_basic_weighted_avg": ["WeightedAverageNumberOfSharesOutstandingBasic"],
+    "shares_diluted_weighted_avg": ["WeightedAverageNumberOfDilutedSharesOutstanding"],
+    "cash_and_equivalents": ["CashAndCashEquivalentsAtCarryingValue"],
+    "short_term_investments": ["MarketableSecuritiesCurrent"],
+    "accounts_receivable": ["AccountsReceivableNetCurrent"],
+    "other_receivables": ["OtherReceivablesNetCurrent", "NotesAndLoansReceivableNetCurrent"],
+    "inventory": ["InventoryNet"],
+    "prepaid_expenses": ["PrepaidExpenseCurrent"],
+    "other_current_assets": ["OtherAssetsCurrent"],
+    "total_current_assets": ["AssetsCurrent"],
+    "net_ppe": ["PropertyPlantAndEquipmentNet"],
+    "long_term_investments": ["MarketableSecuritiesNoncurrent"],
+    "goodwill": ["Goodwill"],
+    "other_intangibles": ["IntangibleAssetsNetExcludingGoodwill"],
+    "deferred_tax_assets_noncurrent": ["DeferredTaxAssetsNet"],
+    "other_noncurrent_assets": ["OtherAssetsNoncurrent"],
+    "total_assets": ["Assets"],
+    "accounts_payable": ["AccountsPayableCurrent"],
+    "accrued_expenses": ["AccruedLiabilitiesCurrent"],
+    "current_portion_lt_debt": ["LongTermDebtCurrent"],
+    "current_portion_leases_operating": ["OperatingLeaseLiabilityCurrent"],
+    "income_taxes_payable_current": ["AccruedIncomeTaxesCurrent"],
+    "deferred_revenue_current": ["ContractWithCustomerLiabilityCurrent"],
+    "other_current_liabilities": ["OtherLiabilitiesCurrent"],
+    "total_current_liabilities": ["LiabilitiesCurrent"],
+    "long_term_debt": ["LongTermDebtNoncurrent"],
+    "long_term_leases_operating": ["OperatingLeaseLiabilityNoncurrent"],
+    "deferred_revenue_noncurrent": ["ContractWithCustomerLiabilityNoncurrent"],
+    "deferred_tax_liability_noncurrent": ["DeferredIncomeTaxLiabilitiesNet"],
+    "other_noncurrent_liabilities": ["OtherLiabilitiesNoncurrent"],
+    "total_liabilities": ["Liabilities"],
+    "preferred_stock": ["PreferredStockValue"],
+    "common_stock": ["CommonStockValue"],
+    "additional_paid_in_capital": ["AdditionalPaidInCapital"],
+    "retained_earnings": ["RetainedEarningsAccumulatedDeficit"],
+    "treasury_stock": ["TreasuryStockValue"],
+    "accumulated_other_comprehensive_income": ["AccumulatedOtherComprehensiveIncomeLossNetOfTax"],
+    "noncontrolling_interest": ["MinorityInterest"],
+    "total_equity": ["StockholdersEquityIncludingPortionAttributableToNoncontrollingInterest", "StockholdersEquity"],
+    "total_liabilities_and_equity": ["LiabilitiesAndStockholdersEquity"],
+    "cfo": ["NetCashProvidedByUsedInOperatingActivities"],
+    "cfi": ["NetCashProvidedByUsedInInvestingActivities"],
+    "cff": ["NetCashProvidedByUsedInFinancingActivities"],
+    "net_income_start": ["ProfitLoss", "NetIncomeLoss"],
+    "capital_expenditures": ["PaymentsToAcquirePropertyPlantAndEquipment", "PaymentsForCapitalImprovements", "PaymentsToAcquireProductiveAssets"],
+}
 
 HEADER = {"symbol": "STRING", "date": "DATE", "period": "STRING", "fiscalYear": "STRING", "filingDate": "DATE", "acceptedDate": "TIMESTAMP"}
 _KINDS = {"STRING": T.StringType(), "DATE": T.DateType(), "TIMESTAMP": T.TimestampType()}

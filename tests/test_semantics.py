@@ -12,6 +12,7 @@ from finfacts import schemas
 from finfacts.functions import columns as fn
 from finfacts.operators import asof, facts, metrics, quality, text, vectors, verify, windows
 from finfacts.plans import grammar, screener
+from finfacts.sources import vendor
 
 M = 1_000_000
 ENDS = [dt.date(y, m, d) for y in (2021, 2022) for m, d in ((3, 31), (6, 30), (9, 30), (12, 31))]
@@ -201,6 +202,38 @@ def test_amendment_steps(spark):
     assert {(r["k"], r["concept"], float(r["new"])) for r in verify.derived_candidates(given, ["k"]).where("derived").collect()} == {(1, "cogs", 40)}
 
 
+def test_preferred_tags_and_quarters_of_filings(spark):
+    import json
+
+    def unit(val, start, end, filed="2024-02-01"):
+        return {"start": start, "end": end, "val": val, "filed": filed, "accn": "a", "form": "10-Q"} if start else {"end": end, "val": val, "filed": filed, "accn": "a", "form": "10-Q"}
+
+    tags = {"ProfitLoss": [unit(5, "2024-01-01", "2024-03-31")], "NetIncomeLoss": [unit(4, "2024-01-01", "2024-03-31", "2025-01-01"), unit(6, "2024-04-01", "2024-06-30")], "Assets": [unit(9, None, "2024-03-31")]}
+    raw = spark.createDataFrame([(1, json.dumps({"facts": {"us-gaap": {k: {"units": {"USD": v}} for k, v in tags.items()}}}))], "entity_id int, body string")
+    filed = verify.filed_values(raw, "body", {c: vendor.XBRL_TAGS[c] for c in ("net_income", "net_income_attributable_to_parent", "total_assets")})
+    assert {(r["concept"], str(r["end"]), float(r["val"]), r["tag"]) for r in filed.collect()} == {("net_income", "2024-03-31", 5, "ProfitLoss"), ("net_income", "2024-06-30", 6, "NetIncomeLoss"), ("net_income_attributable_to_parent", "2024-03-31", 4, "NetIncomeLoss"), ("net_income_attributable_to_parent", "2024-06-30", 6, "NetIncomeLoss"), ("total_assets", "2024-03-31", 9, "Assets")}
+    ours = spark.createDataFrame([(1, "2024-03-31", 2024, "net_income", 5.0), (1, "2024-06-30", 2024, "net_income", 9e6)], "entity_id int, period_end string, fiscal_year int, concept string, value double").withColumn("period_end", F.to_date("period_end"))
+    assert [(str(r["period_end"]), r["derived"]) for r in verify.anchored(ours, filed).collect()] == [("2024-06-30", False)]
+
+
+def test_promotions_are_verified_and_flagged_once(spark):
+    null, now = F.lit(None).cast("timestamp"), F.lit("2024-01-01").cast("timestamp")
+    df = spark.createDataFrame([(1, 7, "p", "revenue", 100.0), (2, 7, "p", "cogs", 40.0), (3, 7, "p", "gross_profit", 60.0)], "id long, entity_id int, period_end string, concept string, v double")
+    df = df.select("id", "entity_id", "period_end", "concept", F.col("v").cast("decimal(28,4)").alias("value"), F.lit("fmp-1").alias("extraction_version"), now.alias("published_at"), null.alias("superseded_at"), F.lit(None).cast("long").alias("supersedes_fact_id"), F.lit(None).cast("string").alias("supersession_reason"))
+    accepted = spark.createDataFrame([(7, "p", "revenue", 120.0)], "entity_id int, period_end string, concept string, other double")
+    none = spark.createDataFrame([], "entity_id int, period_end string, flag_type string, detail string, resolved_at timestamp")
+    run = lambda flags: verify.promote_verified(df, accepted, ["entity_id", "period_end", "concept"], ["entity_id", "period_end"], verify.IS_TIES[:1], flags, now, absolute=0.5)[1]
+    once = run(none)
+    assert [(r["flag_type"], r["detail"]) for r in once.collect()] == [("tie_after_promotion", "gross_profit")] and run(once).count() == 1
+
+
+def test_standard_coverage(spark):
+    assert len(quality.STANDARD) == 11
+    coverage = spark.createDataFrame([(1, "prices", 30, dt.date(2024, 1, 1)), (1, "transcript", 19, dt.date(2024, 1, 1))], "entity_id int, vertical string, periods int, latest date")
+    out = {(r["vertical"], r["rule"]): r["actual"] for r in quality.expected_coverage(coverage, spark.createDataFrame([(1,)], "entity_id int"), F.lit("2024-01-07").cast("date")).collect()}
+    assert out[("prices", "recency")] == 6 and ("prices", "present") not in out and out[("transcript", "min_periods")] == 19 and ("transcript", "recency") not in out and out[("employees", "recency")] is None and len(out) == 8  # eleven less the three that are met
+
+
 def test_slugs_lose_marks(spark):
     row = spark.createDataFrame([("Île-de-France & Öst",)], "label string").select(facts.slug_of(F.col("label")).alias("s")).first()
     assert row["s"] == "ile_de_france_ost" and len(facts.MARKED) == len(facts.PLAIN)
