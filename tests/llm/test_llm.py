@@ -79,6 +79,15 @@ def test_defined_results_of_edges(spark):
     assert lm[1] == lm[3] == 1 and lm[2**60 + 1] == 4
 
 
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace as Of
+
+    session = lambda master, named=None: Of(conf=Of(get=lambda k, d: named), sparkContext=Of(master=master))
+    assert _shared.shared_dir(session("local[8]")) == _shared.LOCAL_CHECKPOINTS and _shared.shared_dir(session("spark://x", "s3://b/c/")) == "s3://b/c"
+    with pytest.raises(RuntimeError):
+        _shared.shared_dir(session("spark://x"))
+
+
 # op1, op8
 
 
