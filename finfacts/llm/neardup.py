@@ -254,7 +254,10 @@ def _confirmed(docs: DataFrame, classes: DataFrame, scratch: Scratch, percent: i
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")
     dealt = classes.join(sizes.select("component", blocks.alias("blocks")), "component").select("id", "component", "blocks", F.pmod(F.xxhash64("id"), "blocks").alias("block"))
     schema = "id long, component long, blocks long, cluster long, leader boolean, items binary"
-    local = scratch.table(docs.join(scratch.table(dealt, "dealt"), "id").groupBy("component", "block").applyInPandas(_block(percent), schema), "local")
+    dealt = scratch.table(dealt, "dealt")
+    tasks = max(1, dealt.count() // BLOCK_DOCS)  # few bytes but much work: as many tasks as blocks, however little they read
+    local = docs.join(dealt, "id").repartition(tasks, "component", "block").groupBy("component", "block").applyInPandas(_block(percent), schema)
+    local = scratch.table(local, "local")
     label = local.select("id", F.col("cluster").alias("label"))
     many = local.where("blocks > 1")
     if many.isEmpty():
@@ -284,7 +287,8 @@ def _confirmed(docs: DataFrame, classes: DataFrame, scratch: Scratch, percent: i
     rest = rest.join(asking, "component").withColumn("asker", F.pmod(F.xxhash64("id"), "askers")).withColumn("block", span("blocks")).withColumn("asks", F.lit(True))
     every = many.join(asking, "component").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("asker", span("askers")).withColumn("asks", F.lit(False))
     columns = ["component", "asker", "block", "asks", "id", "cluster", "items"]
-    links = rest.select(columns).union(every.select(columns)).groupBy("component", "asker", "block").applyInPandas(_across(percent), "a long, b long")
+    links = rest.select(columns).union(every.select(columns)).repartition(tasks, "component", "asker", "block")
+    links = links.groupBy("component", "asker", "block").applyInPandas(_across(percent), "a long, b long")
     links = scratch.table(links.where("a != b").distinct(), "links")
     joined = components(links, scratch).toDF("cluster", "merged")
     final = many.join(joined, "cluster", "left").select("id", F.coalesce("merged", "cluster").alias("label"))
