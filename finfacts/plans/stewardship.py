@@ -58,3 +58,29 @@ def reconcile_counts(spark, sf_dir):
     """How many values of each statement have a filed one, and how many of these match."""
     ours = _picked(spark, sf_dir).where(F.col("concept").isin(list(kit.TAGS)))
     return runs.anchor_counts(ours, _filed(spark, sf_dir), 1000.0)
+
+
+@query(
+    """SELECT id, entity_id, period_end, published_at, lead(published_at) OVER w AS superseded_at, lag(id) OVER w AS supersedes_fact_id FROM (SELECT CAST(((entity_id * 10000 + year(period_end) * 4 + quarter(period_end)) * 6 + flag * 2 + CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS id, entity_id, period_end,
+    CAST(period_end AS TIMESTAMP) + to_days(CAST(10 + entity_id % 30 + 3 * flag AS INTEGER)) AS published_at FROM (SELECT *, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS flag FROM groups)) WINDOW w AS (PARTITION BY entity_id, period_end ORDER BY published_at, id)"""
+)
+def stream_versions(spark, sf_dir):
+    """Every entity's quarters as versions that arrive in three batches, the last published first, each taken in by a restarted stream."""
+    from ..streaming import facts as stream
+
+    flag = F.expr("CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END")
+    number = ((F.col("entity_id") * 10000 + F.year("period_end") * 4 + F.quarter("period_end")) * 6 + F.col("flag") * 2 + (F.col("l_linestatus") == "O").cast("int")).cast("long")
+    published = F.timestamp_add("DAY", (10 + F.col("entity_id") % 30 + 3 * F.col("flag")).cast("int"), F.col("period_end").cast("timestamp"))
+    rows = kit.groups(spark, sf_dir).withColumn("flag", flag).select(number.alias("id"), "entity_id", "period_end", published.alias("published_at"), "flag")
+    folder, key = own_folder(spark, "finfacts-stream"), ("entity_id", "period_end")
+    setting, stores = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, stores)
+    try:
+        for flag in (2, 1, 0):
+            rows.where(F.col("flag") == flag).drop("flag").write.mode("append").parquet(f"{folder}/in")
+            source = spark.readStream.schema(rows.drop("flag").schema).parquet(f"{folder}/in")
+            stream.append_links(stream.superseding(source, key, delay="36500 days"), f"{folder}/out", f"{folder}/progress").awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    return stream.latest_links(spark.read.parquet(f"{folder}/out").drop("batch"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from datetime import timedelta
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..schemas import FACTS, fact_expectations
 
@@ -38,3 +42,104 @@ def append(facts: DataFrame, path: str, checkpoint: str, once: bool = True) -> S
     """Write to Parquet, exactly once by the checkpoint; once: all that is there now, else for ever."""
     writer = facts.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("statement")
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+VERSION_KEY = ("entity_id", "concept", "period_end", "period_type")
+LINKS = "id long, published_at timestamp, superseded_at timestamp, supersedes_fact_id long, seq long"
+
+
+class Chain(StatefulProcessor):
+    """Keeps the versions of one value in the order of publication and emits each whose place in the chain changes.
+
+    State: the versions that may still get a neighbour, and how many links were emitted. What was published before the watermark can't get
+    a version in front of it any more, so of those only the newest is kept; a value without news for `forget_ms` behind the watermark is forgotten.
+    """
+
+    def __init__(self, key: Sequence[str], forget_ms: int) -> None:
+        self.key, self.forget_ms = tuple(key), forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("chain", "seq long, times array<long>, ids array<long>, timer long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        seq, times, ids, timer = self.state.get() if self.state.exists() else (0, [], [], 0)
+        chain = sorted(zip(times, ids))
+        before = {i: self._link(chain, n) for n, (_, i) in enumerate(chain)}
+        known = set(chain)
+        for pdf in rows:
+            micros = pdf["published_at"].astype("datetime64[us]").astype("int64")
+            known |= {(int(t), int(i)) for t, i in zip(micros, pdf["id"])}
+        chain = sorted(known)
+        out = []
+        for n, (_, i) in enumerate(chain):
+            link = self._link(chain, n)
+            if before.get(i) != link:
+                seq += 1
+                out.append((*key, *link, seq))
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        self._keep(seq, self._open(chain, watermark), timer)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.state.exists():
+            seq, times, ids, _ = self.state.get()
+            chain = self._open(sorted(zip(times, ids)), timerValues.getCurrentWatermarkInMs() * 1000)
+            if chain[-1][0] // 1000 + self.forget_ms <= expiredTimerInfo.getExpiryTimeInMs():
+                self.state.clear()
+            else:
+                self._keep(seq, chain, 0)
+        yield self._frame([])
+
+    def _keep(self, seq: int, chain: list[tuple[int, int]], timer: int) -> None:
+        due = chain[-1][0] // 1000 + self.forget_ms
+        if due != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        self.state.update((seq, [t for t, _ in chain], [i for _, i in chain], due))
+
+    @staticmethod
+    def _open(chain: list[tuple[int, int]], watermark: int) -> list[tuple[int, int]]:
+        settled = sum(t < watermark for t, _ in chain)
+        return chain[max(0, settled - 1) :]
+
+    @staticmethod
+    def _link(chain: list[tuple[int, int]], n: int) -> tuple:
+        """id, published_at, superseded_at, supersedes_fact_id."""
+        return chain[n][1], chain[n][0], chain[n + 1][0] if n + 1 < len(chain) else None, chain[n - 1][1] if n else None
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        pdf = pd.DataFrame(rows, columns=[*self.key, "id", "published_at", "superseded_at", "supersedes_fact_id", "seq"])
+        for c in ("published_at", "superseded_at"):
+            pdf[c] = pd.to_datetime(pdf[c].astype("Int64"), unit="us")
+        pdf["supersedes_fact_id"] = pdf["supersedes_fact_id"].astype("Int64")
+        return pdf
+
+
+def superseding(facts: DataFrame, key: Sequence[str] = VERSION_KEY, delay: str = "7 days", forget: timedelta = timedelta(days=3650)) -> DataFrame:
+    """A stream of versions as a stream of links: key, id, published_at, superseded_at, supersedes_fact_id, seq.
+
+    A version that comes late, within the delay, takes its place: it, the one before it and the one after it are emitted again. A version's last
+    row (the largest seq) is what facts.supersede gives over all versions, whatever their order of arrival. Needs the RocksDB state store.
+    """
+    kinds = dict(facts.dtypes)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in key], LINKS])
+    cells = facts.select(*key, "id", "published_at").withWatermark("published_at", delay)
+    return cells.groupBy(*key).transformWithStateInPandas(statefulProcessor=Chain(key, int(forget.total_seconds() * 1000)), outputStructType=schema, outputMode="Update", timeMode="EventTime")
+
+
+def latest_links(links: DataFrame) -> DataFrame:
+    """The last word on each version, from all links ever emitted."""
+    last = F.max_by(F.struct("published_at", "superseded_at", "supersedes_fact_id"), "seq")
+    return links.groupBy(*[c for c in links.columns if c not in ("published_at", "superseded_at", "supersedes_fact_id", "seq")]).agg(last.alias("x")).select("*", "x.*").drop("x")
+
+
+def append_links(links: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Append links to Parquet, a batch's rows under its number: a batch that is done again after a failure replaces its own."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = links.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
