@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import testkit as kit
 from ..operators import facts as ops
+from ..operators import scan
 from ..sources import xbrl
 from .finance import query
 
@@ -96,3 +97,31 @@ def xbrl_facts(spark, sf_dir):
     """Facts of the filings by concept, with what their contexts and units say."""
     rows = xbrl.facts(filings(spark, sf_dir), "entity_id", "instance")
     return rows.groupBy("entity_id", "concept", "unit").agg(F.count("*").alias("n"), F.sum("number").cast("double").alias("total"), F.min("start").alias("first_start"), F.max("end").alias("last_end"))
+
+
+_HEADS = ("Item 2. Management's Discussion and Analysis of Financial Condition", "Item 3. Quantitative and Qualitative Disclosures About Market Risk", "Item 1A. Risk Factors")
+_FRONT = ["TABLE OF CONTENTS", "Item 2. Management's Discussion and Analysis ........ 12", "Item 1A. Risk Factors ........ 42", "Part I"]
+
+
+def quarterly_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, form, body: every document's words as the three sections of a quarterly report, by thirds, after a table of contents."""
+    said = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " "))
+    third = F.floor(F.length(said) / 3).cast("int")
+    parts = [F.concat(F.substring(said, F.lit(i) * third + 1, third), F.lit(" and so it went on for us all.")) for i in range(3)]
+    lines = [*map(F.lit, _FRONT), F.lit(_HEADS[0]), parts[0], F.lit(_HEADS[1]), parts[1], F.lit("17"), F.lit("Part II - Other Information"), F.lit(_HEADS[2]), parts[2], F.lit("Item 6. Exhibits"), F.lit("The exhibits of this report."), F.lit("SIGNATURES")]
+    return kit.table(spark, sf_dir, "documents").select("doc_id", F.lit("10-Q").alias("form"), F.array_join(F.array(*lines), "\n").alias("body"))
+
+
+@query(
+    f"""SELECT doc_id, section, part, "start", "end", words, round(CASE WHEN sure THEN conf ELSE greatest(0.01, least(0.84, conf - 0.2)) END, 3) AS confidence, CASE WHEN sure THEN 'deterministic' ELSE 'repair' END AS method FROM (
+        SELECT *, 1.0 - 0.15 * CAST("start" < size // 20 AS INTEGER) - 0.05 * CAST(words < 15 AS INTEGER) AS conf, min(1.0 - 0.15 * CAST("start" < size // 20 AS INTEGER) - 0.05 * CAST(words < 15 AS INTEGER)) OVER (PARTITION BY doc_id) >= 0.85 AS sure FROM (
+            SELECT doc_id, 'mdna' AS section, 'i' AS part, s0 AS "start", e0 AS "end", w[1] + {len(_HEADS[0].split())} AS words, size FROM placed UNION ALL SELECT doc_id, 'market_risk', 'i', e0 + 1, e1, w[2] + {len(_HEADS[1].split())}, size FROM placed
+            UNION ALL SELECT doc_id, 'risk_factors', 'ii', e1 + {len('17') + len('Part II - Other Information') + 3}, e2, w[3] + {len(_HEADS[2].split())}, size FROM placed))""",
+    thirds="SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g')) AS said, length(trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g'))) // 3 AS n FROM documents",
+    parts="SELECT doc_id, [substr(said, 1, n) || ' and so it went on for us all.', substr(said, n + 1, n) || ' and so it went on for us all.', substr(said, 2 * n + 1, n) || ' and so it went on for us all.'] AS p FROM thirds",
+    placed=f"""SELECT doc_id, {sum(map(len, _FRONT)) + len(_FRONT)} AS s0, s0 + {len(_HEADS[0]) + 1} + length(p[1]) AS e0, e0 + {len(_HEADS[1]) + 2} + length(p[2]) AS e1, e1 + {len('17') + len('Part II - Other Information') + len(_HEADS[2]) + 4} + length(p[3]) AS e2,
+        e2 + {len('Item 6. Exhibits') + len('The exhibits of this report.') + len('SIGNATURES') + 3} AS size, [CAST(len(list_filter(string_split(x, ' '), lambda y: y <> '')) AS INTEGER) FOR x IN p] AS w FROM parts""",
+)
+def filing_scan(spark, sf_dir):
+    """Sections found in quarterly reports; the SQL says where they were put."""
+    return scan.filing_sections(quarterly_reports(spark, sf_dir), "doc_id", "body", "form").select("doc_id", "section", "part", "start", "end", "words", "confidence", "method")
