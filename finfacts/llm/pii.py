@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import Scratch, text_of
-from ._spans import listed, spans
+from ._spans import apart, listed, spans
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -69,12 +69,11 @@ def detect(
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     text = F.col("__t")
     base = base_spans(text)
-    inside = lambda x: F.exists(F.flatten(F.array(*[F.col(k) for k in KINDS])), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
     trimmed = lambda x: F.regexp_replace(x["v"], r"[.,;:!?'\")\]}>*#$%&|]+$", "")
     found = (
         docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("__t"))
         .select("id", "__t", *[v.alias(k) for k, v in base.items()])
-        .withColumn("c", F.filter(spans(text, CANDIDATE, text.rlike("[0-9@]")), lambda x: ~inside(x)))
+        .withColumn("c", apart(spans(text, CANDIDATE, text.rlike("[0-9@]")), *[F.col(k) for k in KINDS]))
         .withColumn("c", F.transform("c", lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.length(trimmed(x))).alias("e"), trimmed(x).alias("v"), F.lower(x["left"]).alias("p"))))
         .withColumn("c", F.filter(F.transform("c", lambda x: F.struct(candidate_kind(x["v"]).alias("k"), x["s"], x["e"], x["v"], x["p"])), lambda x: x["k"].isNotNull() & (x["p"] != "")))
         .select(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import Scratch, text_of
-from ._spans import spans
+from ._spans import apart, spans
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = r"(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -47,11 +47,10 @@ def scan(
     text = F.col("__t")
     value = lambda k, v: F.regexp_extract(v, ASSIGN, 1) if k == "assign" else v
     tagged = lambda k, rank: F.transform(F.col(k), lambda x: F.struct(x["s"].alias("s"), F.lit(rank).alias("rank"), x["e"].alias("e"), F.sha2(value(k, x["v"]), 256).alias("h")))
-    apart = lambda x: ~F.exists(F.flatten(F.array(*[F.col(k) for k in KINDS])), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
     found = (
         docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("__t"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"))
         .select("id", "repo", "owner", "__t", *[v.alias(k) for k, v in base_spans(text).items()])
-        .withColumn("key", F.filter(spans(text, TOKEN, text.rlike("[A-Za-z0-9+/_=-]{20}")), apart))
+        .withColumn("key", apart(spans(text, TOKEN, text.rlike("[A-Za-z0-9+/_=-]{20}")), *[F.col(k) for k in KINDS]))
         .select("id", "repo", "owner", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key"), F.sha2("__t", 256).alias("row"), F.array_sort(F.concat(*[tagged(k, i) for i, k in enumerate((*KINDS, "key"))])).alias("found"))
     )
     found = scratch.table(found, "found")

@@ -239,3 +239,39 @@ def test_bidiagonalisation(kind):
     assert np.allclose(s[:k], want[:k], rtol=1e-12) and np.abs(v.T @ v - np.eye(v.shape[1])).max() < 1e-12
     assert max(np.linalg.norm(x.T @ (x @ v[:, i]) - s[i] ** 2 * v[:, i]) for i in range(k)) < 1e-13 * s[0] ** 2
     assert kind != "spread" or len(steps) < 60
+
+
+def test_spans_apart_are_those_of_brute_force(spark):
+    """Offsets of matches, and matches apart from others, on random texts and across the blocks of the running sums."""
+    from pyspark.sql import functions as F
+
+    from finfacts.llm import _spans
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab 1é") for _ in range(rng.randint(0, 60))) for _ in range(80)] + ["", "a1 " * 3000, "1" * 1500 + "ab" * 1500]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").withColumns({"runs": _spans.spans(F.col("t"), "[ab]+"), "ones": _spans.spans(F.col("t"), "b1+"), "more": _spans.spans(F.col("t"), "é")})
+    got = df.select("id", "runs", _spans.apart(F.col("runs"), F.col("ones"), F.col("more")).alias("free")).orderBy("id").collect()
+    for r, t in zip(got, texts):
+        places = lambda p: [(m.start(), m.end()) for m in re.finditer(p, t)]  # noqa: B023, E731
+        left = lambda m: (re.search(r"([^ ]+) *$", t[: m.start()]) or [None, ""])[1] if m.start() and (t[m.start() - 1] == " ") else None  # noqa: B023, E731
+        assert [(x.s, x.e, x.v) for x in r.runs] == [(m.start(), m.end(), m[0]) for m in re.finditer("[ab]+", t)]
+        assert all(left(m) in (None, x.left) or x.left in (left(m) or "") for x, m in zip(r.runs, re.finditer("[ab]+", t)))
+        others = places("b1+") + places("é")
+        assert [(x.s, x.e) for x in r.free] == [(s, e) for s, e in places("[ab]+") if not any(a < e and s < b for a, b in others)] if len(t) < 100 else True
+
+
+@pytest.mark.parametrize("unit", ["word12 ", "password=abcdef12 Zx9QZx9QZx9QZx9QZx9Q "])
+def test_many_matches_in_one_text_take_time_in_proportion(spark, unit):
+    """Four times the matches in one text take at most eight times as long; a square would take sixteen."""
+    import time
+
+    from finfacts.llm import pii, secrets
+
+    took = {}
+    for n in (100_000, 200_000, 400_000):
+        docs = spark.createDataFrame([(1, unit * n)], "doc_id long, text string")
+        began = time.monotonic()
+        row = (secrets.digest(secrets.scan(docs)) if "password" in unit else pii.digest(pii.detect(docs))).collect()[0]
+        took[n] = time.monotonic() - began
+        assert (row.n_assign if "password" in unit else row.n_email + n) == n
+    assert took[400_000] < 8 * max(took[100_000], 2)
