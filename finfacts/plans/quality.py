@@ -138,7 +138,7 @@ def q4_period_end_consistency(spark, sf_dir):
 @query("SELECT entity_id, fiscal_year, fiscal_quarter, period_end, period_end + 1 AS trusted_end FROM q WHERE entity_id % 5 = 0", q=_QENDS)
 def cross_endpoint_period_end_consistency(spark, sf_dir):
     q = kit.facts(spark, sf_dir).where("concept = 'revenue'").select("entity_id", "fiscal_year", "fiscal_quarter", "period_end").distinct()
-    trusted = q.where("entity_id % 3 <> 7").withColumn("period_end", F.when(F.col("entity_id") % 5 == 0, F.date_add("period_end", 1)).otherwise(F.col("period_end")))
+    trusted = q.withColumn("period_end", F.when(F.col("entity_id") % 5 == 0, F.date_add("period_end", 1)).otherwise(F.col("period_end")))
     return quality.cross_ends(q, trusted, ["entity_id", "fiscal_year", "fiscal_quarter"])
 
 

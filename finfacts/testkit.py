@@ -48,7 +48,7 @@ LANDED: dict[str, str] = {}
 
 def land(spark: SparkSession, sf_dir: str, path: str) -> None:
     """Write the facts once, sorted by concept and entity; queries of this process then read them from there."""
-    facts(spark, sf_dir).repartition("concept").sortWithinPartitions("concept", "entity_id").write.mode("overwrite").parquet(path)
+    facts(spark, sf_dir).repartitionByRange("concept", "entity_id").sortWithinPartitions("concept", "entity_id").write.mode("overwrite").parquet(path)
     LANDED[sf_dir] = path
 
 
