@@ -82,3 +82,16 @@ def test_one_shuffle_for_all_windows(spark):
     df = spark.createDataFrame([(1, "10-Q", Q)], "id long, form string, body string")
     plan = scan.filing_sections(df, "id", "body", "form")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(id") <= 3  # the windows' one; the two sides of the rest
+
+
+def test_headings_of_releases(spark):
+    from pyspark.sql import functions as F
+
+    from finfacts.operators import text
+
+    said = {
+        "News Summary": "news_summary", "Second-Quarter 2025 Financial Results": "financial_results", "Q3 Financial Results": "financial_results", "Our Financial Results": None, "Business Outlook": "business_outlook", "Forward-Looking Statements": "forward_looking_statements", "About Acme, Inc.": "about_company", "About": None,
+        "Explanation of Non-GAAP Measures": "non_gaap_measures", "Supplemental Reconciliations of GAAP Actuals": "non_gaap_reconciliations", "Consolidated Condensed Balance Sheets": "financial_tables", "Condensed Statement of Income": "financial_tables", "": None, "Outlook": None,
+    }
+    got = spark.createDataFrame([(x,) for x in said], "line string").select("line", text.release_unit(F.col("line")).alias("unit")).collect()
+    assert {r.line: r.unit for r in got} == said
