@@ -1,7 +1,7 @@
 """All queries of the library, by name, and their SQL."""
 
-from . import documents, extras, filings, finance, quality, reads, retrieval, searching, stewardship
+from . import claims, documents, extras, filings, finance, quality, reads, retrieval, searching, stewardship
 
-MODULES = (documents, extras, filings, finance, quality, reads, retrieval, searching, stewardship)  # each registers its queries with finance's
+MODULES = (claims, documents, extras, filings, finance, quality, reads, retrieval, searching, stewardship)  # each registers its queries with finance's
 QUERIES = dict(finance.QUERIES)
 ORACLES = dict(finance.ORACLES)
