@@ -273,6 +273,25 @@ def coverage_matrix(verticals: dict[str, DataFrame]) -> DataFrame:
     return periods.groupBy("entity_id", "vertical").agg(F.sum("n").alias("n_rows"), F.count("period_end").alias("periods"), F.min("period_end").alias("earliest"), F.max("period_end").alias("latest"))
 
 
+def coverage_levels(verticals: dict[str, DataFrame], companies: DataFrame) -> DataFrame:
+    """Coverage of each entity and vertical, and of each of its buckets: entity_id, vertical, level, bucket, n_rows, periods, earliest, latest.
+
+    Each frame has entity_id, period (what is counted as one), at (a date, for the range) and bucket (a line of the detail); a null period or date
+    counts as none. Level `vertical` has a row for every company and vertical, of zeros where there is no data; level `bucket` those with data;
+    rows of an entity that is no company are left out. Rows are counted by bucket and period map-side; grouping sets then give both levels in one shuffle of those counts.
+    """
+    shape = lambda k, df: df.select(F.lit(k).alias("vertical"), "entity_id", F.col("period").cast("string").alias("period"), F.to_date("at").alias("at"), F.col("bucket").cast("string").alias("bucket"))
+    rows = reduce(DataFrame.unionByName, [shape(k, df) for k, df in verticals.items()])
+    counts = rows.groupBy("entity_id", "vertical", "bucket", "period").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
+    ids = ["entity_id", "vertical"]
+    sets = counts.groupingSets([[F.col(c) for c in ids], [F.col(c) for c in [*ids, "bucket"]]], *[F.col(c) for c in [*ids, "bucket"]])
+    both = sets.agg(F.grouping("bucket").alias("__whole"), F.sum("n").alias("n_rows"), F.count_distinct("period").alias("periods"), F.min("first").alias("earliest"), F.max("last").alias("latest"))
+    level = F.when(F.col("__whole") == 1, "vertical").otherwise("bucket")
+    due = companies.select("entity_id").distinct().select("entity_id", F.explode(F.array(*map(F.lit, verticals))).alias("vertical"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return due.join(both.withColumn("level", level), ids, "left").select(*ids, F.coalesce("level", F.lit("vertical")).alias("level"), "bucket", zero("n_rows"), zero("periods"), "earliest", "latest")
+
+
 def coverage_buckets(verticals: dict[str, DataFrame], grain: str) -> DataFrame:
     """Rows per entity, vertical and month, quarter or year."""
     rows = reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("vertical"), "entity_id", F.trunc("period_end", grain).alias("bucket")) for k, df in verticals.items()])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
@@ -250,6 +252,30 @@ def affected_periods(failing: DataFrame, ours: DataFrame, filed: DataFrame, leas
     return apart.groupBy("entity_id", "fiscal_year", "period_end").agg(F.sort_array(F.collect_set("concept")).alias("concepts"))
 
 
+#: Statements that are stated anew with another: what a restated statement's periods mark besides their own.
+MARKS = {"income_statement": ("cash_flow", "balance_sheet"), "cash_flow": ("balance_sheet",)}
+
+
+def co_marked(marked: DataFrame) -> DataFrame:
+    """The periods to refresh: entity_id, fiscal_year, fiscal_quarter, period_end, statement, period_type, direct.
+
+    marked: the first five, of quarters with a restated value; rows may repeat. An income statement marks the period's cash flow and balance sheet,
+    a cash flow its balance sheet; a balance sheet of a fourth quarter is also the year's. direct: the statement was marked itself.
+    """
+    statement, q4 = F.col("statement"), F.col("fiscal_quarter") == 4
+    closure = reduce(lambda w, kv: w.when(statement == kv[0], F.array(*map(F.lit, (kv[0], *kv[1])))), MARKS.items(), F.when(F.lit(False), F.array(F.lit("")))).otherwise(F.array(statement))
+    all_ = marked.withColumn("__to", F.explode(closure)).withColumn("direct", F.col("__to") == statement).withColumn("statement", F.col("__to"))
+    types = F.when((F.col("statement") == "balance_sheet") & q4, F.array(F.lit("quarter"), F.lit("annual"))).otherwise(F.array(F.lit("quarter")))
+    keys = ["entity_id", "fiscal_year", "fiscal_quarter", "period_end", "statement", "period_type"]
+    return all_.withColumn("period_type", F.explode(types)).groupBy(*keys).agg(F.max("direct").alias("direct"))
+
+
+def rows_to_refresh(periods: DataFrame, rows: DataFrame) -> DataFrame:
+    """All rows, of any concept, of the statements and periods that co_marked() names."""
+    on = ["entity_id", "statement", "period_end", "period_type"]
+    return rows.join(periods.select(*on).distinct(), on, "left_semi")
+
+
 #: Concepts that follow from two others where a filing lacks them.
 DERIVED_FROM = {"cogs": ("revenue", "gross_profit"), "total_opex": ("gross_profit", "operating_income")}
 

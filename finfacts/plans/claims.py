@@ -76,7 +76,7 @@ def timed_turns(spark, sf_dir):
     return calls.timed_turn_documents(scripts, ["doc_id"], "script").select("doc_id", "ordinal", "speaker", "start_sec", "end_sec", F.sha2("text", 256).alias("text_sha256"))
 
 
-_SAID = """coalesce(text, '') || CASE n % 5 WHEN 1 THEN ' Here are Ann Berg, our Chair and CEO, and Lu Chen, Executive Vice President, CFO.' WHEN 3 THEN ' I now hand the call over to Lu.' WHEN 4 THEN ' Our next question comes from the line of Bo Lund with Acme Bank.' ELSE '' END"""
+_SAID = """coalesce(text, '') || CASE n % 5 WHEN 2 THEN ' Here are Ann Berg, our Chair and CEO, and Lu Chen, Executive Vice President, CFO.' WHEN 3 THEN ' I now hand the call over to Lu.' WHEN 0 THEN ' Our next question comes from the line of Bo Lund with Acme Bank.' ELSE '' END"""
 
 
 @query(
@@ -85,7 +85,7 @@ _SAID = """coalesce(text, '') || CASE n % 5 WHEN 1 THEN ' Here are Ann Berg, our
         CASE WHEN l.label = l.op OR o.role IS NOT NULL OR a.label IS NOT NULL THEN 'structural' ELSE 'unknown' END AS source
     FROM (SELECT DISTINCT conv_id, label, op FROM segs) l LEFT JOIN officers o USING (conv_id, label) LEFT JOIN analysts a USING (conv_id, label)""",
     numbered="SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations",
-    segs=f"SELECT *, first(label) OVER (PARTITION BY conv_id ORDER BY n) AS op, lag(label) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM (SELECT conv_id, n, 'SPK_' || (conv_id + n * n // 2) % 5 AS label, {_SAID} AS said FROM numbered)",
+    segs=f"SELECT *, first(label) OVER (PARTITION BY conv_id ORDER BY n) AS op, lag(label) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM (SELECT conv_id, n, 'SPK_' || (conv_id + CASE n % 4 WHEN 1 THEN 0 ELSE n END) % 7 AS label, {_SAID} AS said FROM numbered)",
     runs="SELECT *, sum(CASE WHEN label = before THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY n) AS island FROM segs",
     blocks="SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY island) AS k FROM (SELECT conv_id, island, label, bool_or(contains(said, 'hand the call over')) AS handed, bool_or(contains(said, 'Chair and CEO')) AS told FROM runs WHERE label <> op GROUP BY ALL)",
     first_blocks="SELECT conv_id, label, min(k) AS k FROM blocks GROUP BY ALL",
@@ -94,9 +94,9 @@ _SAID = """coalesce(text, '') || CASE n % 5 WHEN 1 THEN ' Here are Ann Berg, our
     analysts="SELECT DISTINCT conv_id, label FROM (SELECT s.conv_id, f.label, row_number() OVER (PARTITION BY s.conv_id, s.n ORDER BY f.n) AS c FROM segs s JOIN segs f ON f.conv_id = s.conv_id AND f.n BETWEEN s.n + 1 AND s.n + 7 WHERE contains(s.said, 'question comes from') AND f.label <> f.op AND (f.conv_id, f.label) NOT IN (SELECT (conv_id, label) FROM officers)) WHERE c = 1",
 )
 def call_roles(spark, sf_dir):
-    """Conversations as calls of five voices, with names, a handing over and announced questions said."""
+    """Conversations as calls of seven voices, with names, a handing over and announced questions said."""
     c = kit.table(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(kit.Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
     n = F.col("n")
-    more = F.when(n % 5 == 1, " Here are Ann Berg, our Chair and CEO, and Lu Chen, Executive Vice President, CFO.").when(n % 5 == 3, " I now hand the call over to Lu.").when(n % 5 == 4, " Our next question comes from the line of Bo Lund with Acme Bank.").otherwise("")
-    segments = c.select("conv_id", "n", F.concat(F.lit("SPK_"), (F.col("conv_id") + F.floor(n * n / 2)) % 5).alias("label"), F.concat(F.coalesce("text", F.lit("")), more).alias("said"))
+    more = F.when(n % 5 == 2, " Here are Ann Berg, our Chair and CEO, and Lu Chen, Executive Vice President, CFO.").when(n % 5 == 3, " I now hand the call over to Lu.").when(n % 5 == 0, " Our next question comes from the line of Bo Lund with Acme Bank.").otherwise("")
+    segments = c.select("conv_id", "n", F.concat(F.lit("SPK_"), (F.col("conv_id") + F.when(n % 4 == 1, 0).otherwise(n)) % 7).alias("label"), F.concat(F.coalesce("text", F.lit("")), more).alias("said"))
     return calls.speaker_roles(segments, "conv_id", "n", "label", "said")

@@ -335,18 +335,39 @@ def bulk_triage(spark, sf_dir):
     return _diverged(spark, sf_dir).select("entity_id", "period_end", "concept", verify.bulk_category().alias("category"))
 
 
+_AFFECTED = dict(picked=_PICKED, filed=_ANCHORED.split("WHERE other IS NOT NULL")[0].replace("CAST(other AS DOUBLE) AS other", "other", 1).replace("CAST(value AS DOUBLE) AS value", "value", 1) + "WHERE other IS NOT NULL", failing="SELECT DISTINCT entity_id, fiscal_year FROM wide WHERE abs(CAST(gross_profit - revenue + cogs AS DOUBLE)) > greatest(0.5, 0.001 * greatest(abs(CAST(gross_profit AS DOUBLE)), abs(CAST(revenue - cogs AS DOUBLE)))) OR entity_id % 2 = 0")
+
+
 @query("""SELECT entity_id, fiscal_year, period_end, string_agg(concept, ',' ORDER BY concept) AS concepts FROM (SELECT p.entity_id, p.fiscal_year, p.period_end, p.concept, p.value, a.other FROM picked p JOIN filed a USING (entity_id, period_end, concept)) JOIN failing USING (entity_id, fiscal_year) WHERE abs(value - other) >= 1 GROUP BY 1, 2, 3""",
-       picked=_PICKED, filed=_ANCHORED.split("WHERE other IS NOT NULL")[0].replace("CAST(other AS DOUBLE) AS other", "other", 1).replace("CAST(value AS DOUBLE) AS value", "value", 1) + "WHERE other IS NOT NULL", failing="SELECT DISTINCT entity_id, fiscal_year FROM wide WHERE abs(CAST(gross_profit - revenue + cogs AS DOUBLE)) > greatest(0.5, 0.001 * greatest(abs(CAST(gross_profit AS DOUBLE)), abs(CAST(revenue - cogs AS DOUBLE)))) OR entity_id % 2 = 0")
+       **_AFFECTED)
 def amendment_periods(spark, sf_dir):
     """Where filings differ in the fiscal years of failing ties; even entities count as failing."""
-    wide = kit.wide(spark, sf_dir)
-    broken = verify.broken_ties(wide, KIT_IS[:1], ["entity_id", "fiscal_year"], 0.5).select("entity_id", "fiscal_year")
-    failing = broken.unionByName(wide.where("entity_id % 2 = 0").select("entity_id", "fiscal_year"))
     ours = _picked(spark, sf_dir).select("entity_id", "concept", "fiscal_year", "period_end", "value")
-    out = verify.affected_periods(failing, ours, _filed(spark, sf_dir))
+    out = verify.affected_periods(_failing(kit.wide(spark, sf_dir)), ours, _filed(spark, sf_dir))
     return out.select("entity_id", "fiscal_year", "period_end", F.array_join("concepts", ",").alias("concepts"))
 
 
+def _failing(wide):
+    broken = verify.broken_ties(wide, KIT_IS[:1], ["entity_id", "fiscal_year"], 0.5).select("entity_id", "fiscal_year")
+    return broken.unionByName(wide.where("entity_id % 2 = 0").select("entity_id", "fiscal_year"))
+
+
+@query(
+    """SELECT entity_id, fiscal_year, fiscal_quarter, period_end, statement, period_type, bool_or(direct) AS direct FROM (SELECT *, unnest(CASE WHEN statement = 'balance_sheet' AND fiscal_quarter = 4 THEN ['quarter', 'annual'] ELSE ['quarter'] END) AS period_type FROM (
+        SELECT entity_id, fiscal_year, fiscal_quarter, period_end, statement, true AS direct FROM restated UNION ALL SELECT entity_id, fiscal_year, fiscal_quarter, period_end, 'cash_flow', false FROM restated WHERE statement = 'income_statement'
+        UNION ALL SELECT entity_id, fiscal_year, fiscal_quarter, period_end, 'balance_sheet', false FROM restated WHERE statement IN ('income_statement', 'cash_flow'))) GROUP BY ALL""",
+    **_AFFECTED,
+    restated="SELECT DISTINCT p.entity_id, p.fiscal_year, p.fiscal_quarter, p.period_end, p.statement FROM picked p JOIN filed a USING (entity_id, period_end, concept) JOIN failing f ON f.entity_id = p.entity_id AND f.fiscal_year = p.fiscal_year WHERE abs(p.value - a.other) >= 1",
+)
+def amendment_closure(spark, sf_dir):
+    """All statements and periods to refresh where filings differ in failing fiscal years."""
+    ours = _picked(spark, sf_dir)
+    found = verify.affected_periods(_failing(kit.wide(spark, sf_dir)), ours.select("entity_id", "concept", "fiscal_year", "period_end", "value"), _filed(spark, sf_dir))
+    named = found.select("entity_id", "period_end", F.explode("concepts").alias("concept"))
+    marked = ours.join(named, ["entity_id", "period_end", "concept"], "left_semi").select("entity_id", "fiscal_year", "fiscal_quarter", "period_end", "statement")
+    return verify.co_marked(marked)
+
+
 @query("""SELECT entity_id, period_end, concept, round(CAST(new AS DOUBLE), 4) AS new, derived FROM (SELECT entity_id, period_end, 'revenue' AS concept, revenue AS new, false AS derived FROM wide UNION ALL SELECT entity_id, period_end, 'gross_profit', gross_profit, false FROM wide WHERE entity_id % 3 <> 0
     UNION ALL SELECT entity_id, period_end, 'operating_income', operating_income, false FROM wide WHERE entity_id % 4 <> 0 UNION ALL SELECT entity_id, period_end, 'cogs', cogs, false FROM wide WHERE entity_id % 5 = 0
     UNION ALL SELECT entity_id, period_end, 'cogs', revenue - gross_profit, true FROM wide WHERE entity_id % 5 <> 0 AND entity_id % 3 <> 0 UNION ALL SELECT entity_id, period_end, 'total_opex', gross_profit - operating_income, true FROM wide WHERE entity_id % 3 <> 0 AND entity_id % 4 <> 0)""")

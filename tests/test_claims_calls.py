@@ -86,3 +86,33 @@ def test_roles(spark):
     heard = {r.label: (r.role, r.name, r.source) for r in calls.speaker_roles(segments, "call", "i", "who", "said", voices).where("call = 1").collect()}
     assert heard["F"] == ("analyst", "Cy Dahl", "voiceprint") and heard["G"] == ("other", "G", "unknown") and heard["D"] == ("cfo", "Jean X. Hu", "voiceprint") and heard["C"] == ("ceo", "Lisa Su", s)
     assert calls.speaker_roles(segments.limit(0), "call", "i", "who", "said").count() == 0
+
+
+def test_restated_periods_mark_others(spark):
+    from finfacts.operators import verify
+
+    rows = [(1, 2024, 2, "2024-06-30", "income_statement"), (1, 2024, 2, "2024-06-30", "income_statement"), (1, 2024, 4, "2024-12-31", "cash_flow"), (2, 2023, 4, "2023-12-31", "balance_sheet"), (3, 2023, 1, "2023-03-31", "segment"), (4, 2023, None, "2023-03-31", "balance_sheet")]
+    found = verify.co_marked(spark.createDataFrame(rows, "entity_id long, fiscal_year int, fiscal_quarter int, period_end string, statement string"))
+    got = sorted((r.entity_id, r.period_end[5:7], r.statement, r.period_type, r.direct) for r in found.collect())
+    assert got == [
+        (1, "06", "balance_sheet", "quarter", False), (1, "06", "cash_flow", "quarter", False), (1, "06", "income_statement", "quarter", True), (1, "12", "balance_sheet", "annual", False), (1, "12", "balance_sheet", "quarter", False), (1, "12", "cash_flow", "quarter", True),
+        (2, "12", "balance_sheet", "annual", True), (2, "12", "balance_sheet", "quarter", True), (3, "03", "segment", "quarter", True), (4, "03", "balance_sheet", "quarter", True),
+    ]
+    stored = [(1, "balance_sheet", "2024-12-31", "annual", "inventory"), (1, "balance_sheet", "2024-12-31", "annual", "inventory"), (1, "cash_flow", "2024-12-31", "annual", "cfo"), (1, "cash_flow", "2024-06-30", "quarter", "cfo"), (5, "cash_flow", "2024-06-30", "quarter", "cfo")]
+    kept = verify.rows_to_refresh(found, spark.createDataFrame(stored, "entity_id long, statement string, period_end string, period_type string, concept string"))
+    assert sorted((r.entity_id, r.statement, r.period_type) for r in kept.collect()) == [(1, "balance_sheet", "annual")] * 2 + [(1, "cash_flow", "quarter")]
+
+
+def test_coverage_has_both_levels(spark):
+    from finfacts.operators import quality
+
+    prices = spark.createDataFrame([(1, "2024-01-02", "2024-01-02", "2024-01"), (1, "2024-01-03", "2024-01-03", "2024-01"), (1, "2024-01-03", "2024-01-03", "2024-01"), (1, "2024-02-01", "2024-02-01", "2024-02"), (9, "2024-02-01", "2024-02-01", "2024-02")], "entity_id long, period string, at string, bucket string")
+    papers = spark.createDataFrame([(1, "FY2024 Q1", "2024-05-01", "10q a"), (1, "FY2024 Q1", "2024-06-01", "10q b"), (1, None, None, None)], "entity_id long, period string, at string, bucket string")
+    companies = spark.createDataFrame([(1, "A"), (2, "B"), (2, "B")], "entity_id long, ticker string")
+    day = lambda d: d and d.isoformat()[5:]
+    got = sorted((r.entity_id, r.vertical, r.level, r.bucket or "", r.n_rows, r.periods, day(r.earliest) or "", day(r.latest) or "") for r in quality.coverage_levels({"prices": prices, "papers": papers}, companies).collect())
+    assert got == [
+        (1, "papers", "bucket", "", 1, 0, "", ""), (1, "papers", "bucket", "10q a", 1, 1, "05-01", "05-01"), (1, "papers", "bucket", "10q b", 1, 1, "06-01", "06-01"), (1, "papers", "vertical", "", 3, 1, "05-01", "06-01"),
+        (1, "prices", "bucket", "2024-01", 3, 2, "01-02", "01-03"), (1, "prices", "bucket", "2024-02", 1, 1, "02-01", "02-01"), (1, "prices", "vertical", "", 4, 3, "01-02", "02-01"), (2, "papers", "vertical", "", 0, 0, "", ""), (2, "prices", "vertical", "", 0, 0, "", ""),
+    ]
+    assert quality.coverage_levels({"prices": prices.limit(0)}, companies.limit(0)).count() == 0
