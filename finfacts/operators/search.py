@@ -126,18 +126,23 @@ def search_turns(turns: DataFrame, index: DataFrame, query: str, top: int = 10,
     turns: turn_id, entity, period, period_end, published_at, superseded_at, ordinal, speaker, text; index: postings by turn_id. A turn must hold one of
     the query's words or phrases as written. Order: rank, the newest period, the turn's place. Each filter holds where given.
     """
-    asked = query_of(query)
     if not query.strip():
         raise ValueError("an empty query")
-    current = turns.where("superseded_at is null")
     for column, wanted in (("entity", entity), ("period", period)):
-        current = current if wanted is None else current.where(F.col(column) == wanted)
-    current = current if asof is None else current.where(F.col("published_at") <= F.lit(asof).cast("timestamp"))
-    written = [F.contains(F.lower("text"), F.lit(x)) for x in asked.literals if len(x) >= 3] or [F.lit(True)]
-    hits = ranked(index, "turn_id", asked).join(current.where(reduce(lambda a, b: a | b, written)), "turn_id")
+        turns = turns if wanted is None else turns.where(F.col(column) == wanted)
+    turns = turns if asof is None else turns.where(F.col("published_at") <= F.lit(asof).cast("timestamp"))
+    hits = matching_turns(turns, index, query)
     return hits.orderBy(F.desc("score"), F.desc_nulls_last("period_end"), "ordinal", "turn_id").limit(max(top, 0))
 
 
+def matching_turns(turns: DataFrame, index: DataFrame, query: str) -> DataFrame:
+    """All current turns that satisfy a query and hold one of its words or phrases as written, with covers and score."""
+    asked = query_of(query)
+    written = [F.contains(F.lower("text"), F.lit(x)) for x in asked.literals if len(x) >= 3] or [F.lit(True)]
+    current = turns.where("superseded_at is null").where(reduce(lambda a, b: a | b, written))
+    return ranked(index, "turn_id", asked).join(current, "turn_id")
+
+
 def latest_mentions(turns: DataFrame, terms: list[str], latest: int = 4) -> DataFrame:
     """Counts of terms over the current transcripts of each entity's latest periods: entity, period, period_end, turns, one column per term."""
     from ..functions.columns import term_count
