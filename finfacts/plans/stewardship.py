@@ -73,14 +73,8 @@ def stream_versions(spark, sf_dir):
     published = F.timestamp_add("DAY", (10 + F.col("entity_id") % 30 + 3 * F.col("flag")).cast("int"), F.col("period_end").cast("timestamp"))
     rows = kit.groups(spark, sf_dir).withColumn("flag", flag).select(number.alias("id"), "entity_id", "period_end", published.alias("published_at"), "flag")
     folder, key = own_folder(spark, "finfacts-stream"), ("entity_id", "period_end")
-    setting, stores = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, stores)
-    try:
-        for flag in (2, 1, 0):
-            rows.where(F.col("flag") == flag).drop("flag").write.mode("append").parquet(f"{folder}/in")
-            source = spark.readStream.schema(rows.drop("flag").schema).parquet(f"{folder}/in")
-            stream.append_links(stream.superseding(source, key, delay="36500 days"), f"{folder}/out", f"{folder}/progress").awaitTermination()
-    finally:
-        spark.conf.set(setting, before)
+    for flag in (2, 1, 0):
+        rows.where(F.col("flag") == flag).drop("flag").write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(rows.drop("flag").schema).parquet(f"{folder}/in")
+        stream.append_versions(source, f"{folder}/out", f"{folder}/progress", key).awaitTermination()
     return stream.latest_links(spark.read.parquet(f"{folder}/out").drop("batch"))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from datetime import timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -45,7 +44,7 @@ def append(facts: DataFrame, path: str, checkpoint: str, once: bool = True) -> S
 
 
 VERSION_KEY = ("entity_id", "concept", "period_end", "period_type")
-LINKS = "id long, published_at timestamp, superseded_at timestamp, supersedes_fact_id long, seq long"
+LINKS = "id long, published_at long, superseded_at long, supersedes_fact_id long, seq long"  #: times in microseconds
 
 
 class Chain(StatefulProcessor):
@@ -56,40 +55,39 @@ class Chain(StatefulProcessor):
     """
 
     def __init__(self, key: Sequence[str], forget_ms: int) -> None:
-        self.key, self.forget_ms = tuple(key), forget_ms
+        self.row, self.forget_ms = Row(*key, *[c.split()[0] for c in LINKS.split(", ")]), forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("chain", "seq long, times array<long>, ids array<long>, timer long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        seq, times, ids, timer = self.state.get() if self.state.exists() else (0, [], [], 0)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        seq, times, ids, timer = self.state.get() or (0, [], [], 0)
         chain = sorted(zip(times, ids))
+        known = sorted({*chain, *((r["__at"], r["id"]) for r in rows)})
+        if known == chain:
+            after = self._open(chain, timerValues.getCurrentWatermarkInMs() * 1000)
+            if len(after) < len(chain):
+                self._keep(seq, after, timer)
+            return
         before = {i: self._link(chain, n) for n, (_, i) in enumerate(chain)}
-        known = set(chain)
-        for pdf in rows:
-            micros = pdf["published_at"].astype("datetime64[us]").astype("int64")
-            known |= {(int(t), int(i)) for t, i in zip(micros, pdf["id"])}
-        chain = sorted(known)
-        out = []
-        for n, (_, i) in enumerate(chain):
-            link = self._link(chain, n)
+        for n, (_, i) in enumerate(known):
+            link = self._link(known, n)
             if before.get(i) != link:
                 seq += 1
-                out.append((*key, *link, seq))
-        watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        self._keep(seq, self._open(chain, watermark), timer)
-        yield self._frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.state.exists():
-            seq, times, ids, _ = self.state.get()
+                yield self.row(*key, *link, seq)
+        self._keep(seq, self._open(known, timerValues.getCurrentWatermarkInMs() * 1000), timer)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        held = self.state.get()
+        if held:
+            seq, times, ids, _ = held
             chain = self._open(sorted(zip(times, ids)), timerValues.getCurrentWatermarkInMs() * 1000)
             if chain[-1][0] // 1000 + self.forget_ms <= expiredTimerInfo.getExpiryTimeInMs():
                 self.state.clear()
             else:
                 self._keep(seq, chain, 0)
-        yield self._frame([])
+        yield from ()
 
     def _keep(self, seq: int, chain: list[tuple[int, int]], timer: int) -> None:
         due = chain[-1][0] // 1000 + self.forget_ms
@@ -109,13 +107,6 @@ class Chain(StatefulProcessor):
         """id, published_at, superseded_at, supersedes_fact_id."""
         return chain[n][1], chain[n][0], chain[n + 1][0] if n + 1 < len(chain) else None, chain[n - 1][1] if n else None
 
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        pdf = pd.DataFrame(rows, columns=[*self.key, "id", "published_at", "superseded_at", "supersedes_fact_id", "seq"])
-        for c in ("published_at", "superseded_at"):
-            pdf[c] = pd.to_datetime(pdf[c].astype("Int64"), unit="us")
-        pdf["supersedes_fact_id"] = pdf["supersedes_fact_id"].astype("Int64")
-        return pdf
-
 
 def superseding(facts: DataFrame, key: Sequence[str] = VERSION_KEY, delay: str = "7 days", forget: timedelta = timedelta(days=3650)) -> DataFrame:
     """A stream of versions as a stream of links: key, id, published_at, superseded_at, supersedes_fact_id, seq.
@@ -125,8 +116,9 @@ def superseding(facts: DataFrame, key: Sequence[str] = VERSION_KEY, delay: str =
     """
     kinds = dict(facts.dtypes)
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in key], LINKS])
-    cells = facts.select(*key, "id", "published_at").withWatermark("published_at", delay)
-    return cells.groupBy(*key).transformWithStateInPandas(statefulProcessor=Chain(key, int(forget.total_seconds() * 1000)), outputStructType=schema, outputMode="Update", timeMode="EventTime")
+    cells = facts.select(*key, "id", "published_at", F.unix_micros("published_at").alias("__at")).withWatermark("published_at", delay)
+    links = cells.groupBy(*key).transformWithState(statefulProcessor=Chain(key, int(forget.total_seconds() * 1000)), outputStructType=schema, outputMode="Update", timeMode="EventTime")
+    return links.withColumns({c: F.timestamp_micros(c) for c in ("published_at", "superseded_at")})
 
 
 def latest_links(links: DataFrame) -> DataFrame:
@@ -143,3 +135,27 @@ def append_links(links: DataFrame, path: str, checkpoint: str, once: bool = True
 
     writer = links.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def append_versions(facts: DataFrame, path: str, checkpoint: str, key: Sequence[str] = VERSION_KEY, once: bool = True) -> StreamingQuery:
+    """Append the links that each batch of a stream of versions changes, by one window over all links told before and the batch.
+
+    For volumes: superseding() answers key by key in Python from a state that the watermark bounds; here the links are the state, a batch costs a
+    pass over them, and no version is too late. seq is the batch's number. A batch that is done again after a failure replaces its own.
+    """
+    fields = [*key, "id", "published_at", "superseded_at", "supersedes_fact_id"]
+    w = Window.partitionBy(*key).orderBy("published_at", "id")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        rows = batch.select(*key, "id", "published_at", F.lit(None).cast("timestamp").alias("superseded_at"), F.lit(None).cast("long").alias("supersedes_fact_id"), F.lit(False).alias("__told"))
+        if number > 0:
+            told = latest_links(batch.sparkSession.read.parquet(*[f"{path}/batch={n}" for n in range(number)]))
+            rows = rows.unionByName(told.select(*fields, F.lit(True).alias("__told")))
+        once_each = rows.groupBy(*key, "id", "published_at").agg(*[F.max(c).alias(c) for c in ("superseded_at", "supersedes_fact_id", "__told")])
+        now = once_each.select("*", F.lead("published_at").over(w).alias("__next"), F.lag("id").over(w).alias("__before"))
+        same = F.col("__told") & F.col("superseded_at").eqNullSafe(F.col("__next")) & F.col("supersedes_fact_id").eqNullSafe(F.col("__before"))
+        links = now.where(~same).select(*key, "id", "published_at", F.col("__next").alias("superseded_at"), F.col("__before").alias("supersedes_fact_id"), F.lit(number).cast("long").alias("seq"))
+        links.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = facts.writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

@@ -68,3 +68,28 @@ def test_state_is_forgotten(spark, tmp_path):
     run(spark, tmp_path, [[version(1, 1, 0)], [version(2, 2, 60)], [version(3, 2, 61)], [version(4, 2, 62)]], delay="1 day", forget=timedelta(days=30))
     state = spark.read.format("statestore").option("stateVarName", "chain").load(str(tmp_path / "ck")).collect()
     assert {r.key.entity_id for r in state} == {2}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_versions_by_whole_batches_end_in_the_batch_result(spark, tmp_path, seed):
+    """Null keys, repeats, ties and versions as late as can be; an untouched value says nothing again; a batch done again replaces its own."""
+    rng = random.Random(seed)
+    versions = [version(i, rng.choice([None, 1, 2]), rng.choice([0, 1, 2, 3000]), rng.choice(["revenue", "tax"])) for i in range(24)]
+    rng.shuffle(versions)
+    for n, rows in enumerate([versions[:9], versions[9:10] + versions[:2], versions[10:] + [version(99, 7, 0)], [version(99, 7, 0)]]):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        source = spark.readStream.schema(SCHEMA).json(str(tmp_path / "in"))
+        stream.append_versions(source, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    links = spark.read.parquet(str(tmp_path / "out"))
+    want = ops.supersede(spark.createDataFrame([*versions, version(99, 7, 0)], SCHEMA), list(stream.VERSION_KEY))
+    assert as_rows(stream.latest_links(links.drop("batch"))) == as_rows(want)
+    assert links.where("batch = 3").count() == 0 and links.where("id = 99").count() == 1
+
+
+def test_the_query_calls_no_worker_per_key(spark, sf, monkeypatch):
+    """A call per key and batch took 165 s at sf0.1 where the windows over whole batches take 39."""
+    from finfacts.plans import catalog
+
+    monkeypatch.setattr(stream, "superseding", None)
+    monkeypatch.setattr(stream, "Chain", None)
+    assert catalog.QUERIES["stream_versions"](spark, sf).count() > 0
