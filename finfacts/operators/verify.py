@@ -91,10 +91,13 @@ DURATIONS = {"quarter": (80, 100), "annual": (350, 380), "nine_months": (260, 28
 
 
 def explode_companyfacts(raw: DataFrame, body: str, tags: list[str], unit: str = "USD", taxonomy: str = "us-gaap") -> DataFrame:
-    """entity_id, tag, start, end, val, accn, filed, form from a companyfacts JSON column."""
+    """entity_id, tag, start, end, val, accn, filed, form from a companyfacts JSON column, which is parsed once for all tags."""
     entry = "array<struct<start:date,end:date,val:decimal(28,4),accn:string,filed:date,form:string>>"
-    lists = F.array(*[F.struct(F.lit(t).alias("tag"), F.from_json(F.get_json_object(body, f"$.facts.{taxonomy}.{t}.units.{unit}"), entry).alias("e")) for t in tags])
-    return raw.select("entity_id", F.explode(lists).alias("x")).select("entity_id", "x.tag", F.explode("x.e").alias("y")).select("entity_id", "tag", "y.*")
+    listed = ", ".join(f"`{t}`: struct<units: struct<`{unit}`: {entry}>>" for t in tags)
+    parsed = raw.select("entity_id", F.from_json(body, f"facts struct<`{taxonomy}`: struct<{listed}>>").alias("__body"))
+    of_tag = lambda t: F.col("__body")["facts"][taxonomy][t]["units"][unit]
+    lists = F.array(*[F.struct(F.lit(t).alias("tag"), of_tag(t).alias("e")) for t in tags])
+    return parsed.select("entity_id", F.explode(lists).alias("x")).select("entity_id", "x.tag", F.explode("x.e").alias("y")).select("entity_id", "tag", "y.*")
 
 
 def duration_kind(start: Column, end: Column) -> Column:

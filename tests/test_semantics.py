@@ -415,3 +415,17 @@ def test_exploded_texts_leave_in_pieces():
     frames = list(text.in_pieces(iter([batch, batch]), ["k"], ["t"], lambda t: [{"n": i} for i in range(int(t))], ["k", "n"]))
     assert max(map(len, frames)) <= text.PIECE
     assert [tuple(r) for f in frames for r in f.to_numpy()] == 2 * ([(1, i) for i in range(25000)] + [(3, i) for i in range(7)])
+
+
+def test_companyfacts_are_parsed_once_for_all_tags(spark):
+    """Unknown tags and units, missing and broken parts give nothing and cost the other tags nothing."""
+    import json
+
+    from finfacts.operators import verify
+
+    one = lambda v, unit="USD": {"units": {unit: [{"end": "2024-03-31", "val": v, "accn": "a", "filed": "2024-05-01", "form": "10-Q"}]}}
+    bodies = [(1, json.dumps({"facts": {"us-gaap": {"A": one(5), "B": one(7), "Other": one(1)}}})), (2, json.dumps({"facts": {"us-gaap": {"A": one(2, "EUR"), "B": {"units": 3}, "C": one(9)}}})), (3, None), (4, "{}"), (5, "no json")]
+    out = verify.explode_companyfacts(spark.createDataFrame(bodies, "entity_id long, body string"), "body", ["A", "B", "C"])
+    assert sorted((r.entity_id, r.tag, int(r.val)) for r in out.collect()) == [(1, "A", 5), (1, "B", 7), (2, "C", 9)]
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("from_json") == 1 and "get_json_object" not in text
