@@ -536,6 +536,15 @@ def test_lm_base_score_is_brute_force(spark, sf):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)  # the classes help on unseen texts
 
 
+def test_seeds_are_the_most_frequent_words_of_all_chunks(spark):
+    """No word makes up one in 20,000 of a chunk's tokens, and a word's counts lie in several chunks."""
+    rows = [(str(i), " ".join(f"w{(i * 37 + j * j) % 30011 if j % 60 else i % 300}" for j in range(120)), True) for i in range(1200)]
+    chunks = spark.createDataFrame(rows, "id string, text string, train boolean").repartition(3).mapInPandas(brown_lm._chunks, "chunk long, size long, words binary, payload binary")
+    counts = collections.Counter(w.encode() for _, t, _ in rows for w in t.split())
+    assert max(counts.values()) * 2_000 < counts.total()
+    assert brown_lm.frequent(chunks, 50) == [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:50]]
+
+
 def test_exchange_never_lowers_the_likelihood():
     rng = np.random.default_rng(3)
     pairs = rng.integers(0, 30, (20, 20)).astype(float)
