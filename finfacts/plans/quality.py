@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import testkit as kit
 from ..functions import columns as fn
-from ..operators import facts, quality, verify, windows
+from ..operators import quality, verify, windows
 from .finance import query, r, rounded
 
 TODAY = "2024-01-31"
@@ -102,7 +102,7 @@ _ANNUAL = "SELECT entity_id, fiscal_year, concept, CAST(sum(value) * CASE WHEN e
 
 
 def _picked(spark, sf_dir):
-    return facts.pick_source(facts.current(kit.facts(spark, sf_dir)))
+    return kit.picked(spark, sf_dir)
 
 
 def _annual(picked):
@@ -130,21 +130,21 @@ _QENDS = "SELECT DISTINCT entity_id, fiscal_year, fiscal_quarter, period_end FRO
 
 @query("SELECT q.entity_id, q.fiscal_year, q.period_end, a.e AS annual_end FROM q JOIN (SELECT entity_id, fiscal_year, max(period_end) + CAST(entity_id % 2 AS INTEGER) AS e FROM q GROUP BY entity_id, fiscal_year) a USING (entity_id, fiscal_year) WHERE q.fiscal_quarter = 4 AND q.period_end <> a.e", q=_QENDS)
 def q4_period_end_consistency(spark, sf_dir):
-    q = kit.facts(spark, sf_dir).where("concept = 'revenue'").select("entity_id", "fiscal_year", "fiscal_quarter", "period_end").distinct()
+    q = kit.facts(spark, sf_dir, concepts=["revenue"]).select("entity_id", "fiscal_year", "fiscal_quarter", "period_end").distinct()
     annual = q.groupBy("entity_id", "fiscal_year").agg(F.max("period_end").alias("m")).select("entity_id", "fiscal_year", F.date_add("m", (F.col("entity_id") % 2).cast("int")).alias("period_end"))
     return quality.q4_ends(q, annual).select("entity_id", "fiscal_year", "period_end", "annual_end")
 
 
 @query("SELECT entity_id, fiscal_year, fiscal_quarter, period_end, period_end + 1 AS trusted_end FROM q WHERE entity_id % 5 = 0", q=_QENDS)
 def cross_endpoint_period_end_consistency(spark, sf_dir):
-    q = kit.facts(spark, sf_dir).where("concept = 'revenue'").select("entity_id", "fiscal_year", "fiscal_quarter", "period_end").distinct()
+    q = kit.facts(spark, sf_dir, concepts=["revenue"]).select("entity_id", "fiscal_year", "fiscal_quarter", "period_end").distinct()
     trusted = q.withColumn("period_end", F.when(F.col("entity_id") % 5 == 0, F.date_add("period_end", 1)).otherwise(F.col("period_end")))
     return quality.cross_ends(q, trusted, ["entity_id", "fiscal_year", "fiscal_quarter"])
 
 
 @query("SELECT DISTINCT entity_id, period_end FROM labelled WHERE entity_id % 7 = 0 OR month(period_end) = 12")
 def period_end_calendar_consistency(spark, sf_dir):
-    rows = kit.facts(spark, sf_dir).where("concept = 'revenue'").withColumn("calendar_quarter", F.when(F.col("entity_id") % 7 == 0, 5).otherwise(F.col("calendar_quarter")))
+    rows = kit.facts(spark, sf_dir, concepts=["revenue"]).withColumn("calendar_quarter", F.when(F.col("entity_id") % 7 == 0, 5).otherwise(F.col("calendar_quarter")))
     rows = rows.withColumn("calendar_year", F.when(F.month("period_end") == 12, F.col("calendar_year") + 1).otherwise(F.col("calendar_year")))
     return quality.calendar_ends(rows).select("entity_id", "period_end").distinct()
 
