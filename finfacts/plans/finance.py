@@ -64,7 +64,7 @@ def facts_as_of(spark, sf_dir):
 
 @query("SELECT id, entity_id, concept, period_end, CAST(value AS DOUBLE) AS value, extraction_version FROM cur WHERE rn = 1")
 def source_priority_pick(spark, sf_dir):
-    df = facts.pick_source(facts.current(kit.facts(spark, sf_dir)))
+    df = kit.picked(spark, sf_dir)
     return df.select("id", "entity_id", "concept", "period_end", F.col("value").cast("double"), "extraction_version")
 
 

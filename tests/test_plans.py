@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from finfacts import testkit
-from finfacts.operators import metrics, windows
+from finfacts.operators import facts, metrics, windows
 from finfacts.operators import text as text_ops
 from finfacts.plans import catalog
 
@@ -66,3 +66,13 @@ def test_facts_are_not_shuffled_for_what_is_keyed_by_the_entity(spark, sf):
     for name in ("metrics_fy", "metrics_read_year", "source_priority_pick"):
         text = plan(catalog.QUERIES[name](spark, sf)).split("\n\n")[0]
         assert "Generate" in text and "Exchange" not in text[: text.index("Generate")], name
+
+
+def test_versions_are_picked_before_they_become_a_row_per_concept(spark, sf):
+    for name in ("source_priority_pick", "q4_snap", "quarterly_value_duplication"):
+        text = plan(catalog.QUERIES[name](spark, sf)).split("\n\n")[0]
+        assert re.search(r"Generate[^$]*Window", text), name
+    rows, best = facts.pick_source(facts.current(testkit.facts(spark, sf))), testkit.picked(spark, sf)
+    assert rows.columns == best.columns and rows.exceptAll(best).isEmpty() and best.exceptAll(rows).isEmpty()
+    some = testkit.picked(spark, sf, ["revenue", "inventory"])
+    assert some.exceptAll(rows.where("concept IN ('revenue', 'inventory')")).isEmpty() and some.count() * 14 == rows.count()
