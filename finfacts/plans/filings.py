@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import testkit as kit
-from ..operators import facts as ops
 from ..operators import scan
 from ..sources import xbrl
 from .finance import query
@@ -28,7 +27,7 @@ STOCKS = [c for r, p, c, _ in NETWORK if r == "balance"] + ["total_assets"]
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity_id, instance, linkbase: a filing of all quarters per entity. Every seventh entity doesn't report interest."""
-    rows = ops.pick_source(ops.current(kit.facts(spark, sf_dir))).where(F.col("concept").isin(list(TAGS))).where("NOT (concept = 'interest_expense' AND entity_id % 7 = 0)")
+    rows = kit.picked(spark, sf_dir, list(TAGS)).where("NOT (concept = 'interest_expense' AND entity_id % 7 = 0)")
     tag = F.element_at(F.create_map(*[F.lit(x) for kv in TAGS.items() for x in kv]), F.col("concept"))
     instant = F.col("concept").isin(STOCKS)
     ref = F.concat(F.when(instant, "i").otherwise("d"), F.col("period_end").cast("string"))
