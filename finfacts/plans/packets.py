@@ -26,9 +26,8 @@ def questions(spark, sf_dir):
 
 
 def _facts(spark, sf_dir):
-    wanted = F.col("concept").isin(list(packets.CONCEPTS))
-    quarters = ops.pick_source(ops.current(kit.facts(spark, sf_dir).where(wanted)))
-    years = kit.annual_facts(spark, sf_dir).where(wanted)
+    quarters = kit.picked(spark, sf_dir, packets.CONCEPTS)
+    years = kit.annual_facts(spark, sf_dir, packets.CONCEPTS)
     return quarters.select(*years.columns).unionByName(years)
 
 
