@@ -76,3 +76,8 @@ def test_versions_are_picked_before_they_become_a_row_per_concept(spark, sf):
     assert rows.columns == best.columns and rows.exceptAll(best).isEmpty() and best.exceptAll(rows).isEmpty()
     some = testkit.picked(spark, sf, ["revenue", "inventory"])
     assert some.exceptAll(rows.where("concept IN ('revenue', 'inventory')")).isEmpty() and some.count() * 14 == rows.count()
+
+
+def test_runs_meet_the_resolutions_of_their_ticker_only(spark, sf):
+    text = plan(catalog.QUERIES["resolving_runs"](spark, sf))
+    assert re.search(r"Left keys \[2\]: \[b#\d+L?, .*whose", text)
