@@ -6,7 +6,7 @@ drafts of a sweep to the stored findings in one keyed full outer join.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -273,23 +273,34 @@ def coverage_matrix(verticals: dict[str, DataFrame]) -> DataFrame:
     return periods.groupBy("entity_id", "vertical").agg(F.sum("n").alias("n_rows"), F.count("period_end").alias("periods"), F.min("period_end").alias("earliest"), F.max("period_end").alias("latest"))
 
 
-def coverage_levels(verticals: dict[str, DataFrame], companies: DataFrame) -> DataFrame:
+def _part(df: DataFrame) -> tuple[Column, Column]:
+    """What a period is told by: a date by its month and its day's bit, so that a month's days are one number; others by themselves and bit 1."""
+    if df.schema["period"].dataType.typeName() != "date":
+        return F.col("period").cast("string"), F.when(F.col("period").isNotNull(), F.lit(1))
+    return F.trunc("period", "month").cast("string"), F.call_function("shiftleft", F.lit(1), F.dayofmonth("period") - 1)
+
+
+def coverage_levels(verticals: dict[str, DataFrame], companies: DataFrame, once: Collection[str] = ()) -> DataFrame:
     """Coverage of each entity and vertical, and of each of its buckets: entity_id, vertical, level, bucket, n_rows, periods, earliest, latest.
 
     Each frame has entity_id, period (what is counted as one), at (a date, for the range) and bucket (a line of the detail); a null period or date
     counts as none. Level `vertical` has a row for every company and vertical, of zeros where there is no data; level `bucket` those with data;
-    rows of an entity that is no company are left out. Rows are counted by bucket and period map-side; grouping sets then give both levels in one shuffle of those counts.
+    rows of an entity that is no company are left out. once: verticals that count a period of a bucket as one row, however many rows tell it.
+    Rows are counted by bucket and part map-side, where the days of a month are one part, held as bits; both levels come from those counts.
     """
-    shape = lambda k, df: df.select(F.lit(k).alias("vertical"), "entity_id", F.col("period").cast("string").alias("period"), F.to_date("at").alias("at"), F.col("bucket").cast("string").alias("bucket"))
+    shape = lambda k, df: df.select(F.lit(k).alias("vertical"), "entity_id", *(c.alias(n) for n, c in zip(("part", "bit"), _part(df), strict=True)), F.to_date("at").alias("at"), F.col("bucket").cast("string").alias("bucket"))
     rows = reduce(DataFrame.unionByName, [shape(k, df) for k, df in verticals.items()])
-    counts = rows.groupBy("entity_id", "vertical", "bucket", "period").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
     ids = ["entity_id", "vertical"]
-    sets = counts.groupingSets([[F.col(c) for c in ids], [F.col(c) for c in [*ids, "bucket"]]], *[F.col(c) for c in [*ids, "bucket"]])
-    both = sets.agg(F.grouping("bucket").alias("__whole"), F.sum("n").alias("n_rows"), F.count_distinct("period").alias("periods"), F.min("first").alias("earliest"), F.max("last").alias("latest"))
-    level = F.when(F.col("__whole") == 1, "vertical").otherwise("bucket")
+    told = F.bit_or("bit")
+    n = F.when(F.col("vertical").isin(list(once)), F.coalesce(F.bit_count(told), F.lit(1))).otherwise(F.count("*"))  # a null period is a row too
+    counts = rows.groupBy(*ids, "bucket", "part").agg(n.alias("n"), told.alias("bits"), F.min("at").alias("first"), F.max("at").alias("last"))
+    parts = counts.groupBy(*ids, "part").agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits"), F.min("first").alias("first"), F.max("last").alias("last"))
+    sums = [F.sum("n").alias("n_rows"), F.sum(F.bit_count("bits")).alias("periods"), F.min("first").alias("earliest"), F.max("last").alias("latest")]
+    whole = parts.groupBy(*ids).agg(*sums).withColumns({"level": F.lit("vertical"), "bucket": F.lit(None).cast("string")})
+    both = counts.groupBy(*ids, "bucket").agg(*sums).withColumn("level", F.lit("bucket")).unionByName(whole)
     due = companies.select("entity_id").distinct().select("entity_id", F.explode(F.array(*map(F.lit, verticals))).alias("vertical"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return due.join(both.withColumn("level", level), ids, "left").select(*ids, F.coalesce("level", F.lit("vertical")).alias("level"), "bucket", zero("n_rows"), zero("periods"), "earliest", "latest")
+    return due.join(both, ids, "left").select(*ids, F.coalesce("level", F.lit("vertical")).alias("level"), "bucket", zero("n_rows"), zero("periods"), "earliest", "latest")
 
 
 def coverage_buckets(verticals: dict[str, DataFrame], grain: str) -> DataFrame:

@@ -24,8 +24,13 @@ _SQL = {
 
 
 def verticals(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Current facts by statement, annual segments, documents as papers of ten entities, daily prices by month, events as estimates."""
-    now = facts.current(kit.facts(spark, sf_dir)).select("entity_id", "statement", F.col("period_end").alias("period"), F.col("period_end").alias("at"), F.concat("fiscal_period_label", F.lit(" "), "period_type").alias("bucket"))
+    """Current facts by statement, annual segments, documents as papers of ten entities, shipments as prices of their day by month, events as estimates."""
+
+    def now(*statements: str) -> DataFrame:
+        rows = kit.facts(spark, sf_dir, dealt=False, concepts=[c for c, s in kit.STATEMENT.items() if s in statements], valued=False)
+        return facts.current(rows).select("entity_id", F.col("period_end").alias("period"), F.col("period_end").alias("at"), F.concat("fiscal_period_label", F.lit(" "), "period_type").alias("bucket"))
+
+    day = F.to_date("l_shipdate")
     d = F.col("doc_id")
     kind = F.get(F.array(*map(F.lit, ("10k", "10q", "press_release", "transcript", "exhibit"))), (d % 5).cast("int"))
     papers = kit.table(spark, sf_dir, "documents").where("doc_id % 9 <> 4").select(
@@ -35,13 +40,13 @@ def verticals(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     brands = items.join(kit.table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).select("entity_id", "period", "p_brand").distinct()
     month_end = F.last_day("ts")
     return {
-        "financials": now.where(F.col("statement").isin(*_STATEMENTS)),
+        "financials": now(*_STATEMENTS),
         "segments": brands.select("entity_id", "period", F.make_date("period", F.lit(12), F.lit(31)).alias("at"), F.format_string("FY%d annual", "period").alias("bucket")),
-        "employees": now.where("statement = 'metrics'"),
+        "employees": now("metrics"),
         "sec_qual": papers.where("kind IN ('10k', '10q')"),
         "press_release": papers.where("kind = 'press_release'"),
         "transcript": papers.where("kind = 'transcript'"),
-        "prices": kit.daily(spark, sf_dir).select("entity_id", F.col("date").alias("period"), F.col("date").alias("at"), F.date_format("date", "yyyy-MM").alias("bucket")),
+        "prices": kit.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("entity_id"), day.alias("period"), day.alias("at"), F.date_format(day, "yyyy-MM").alias("bucket")),
         "estimates": kit.table(spark, sf_dir, "events").select(F.col("user_id").alias("entity_id"), month_end.alias("period"), month_end.alias("at"), F.concat("event_type", F.lit(" "), month_end.cast("string")).alias("bucket")),
     }
 
@@ -53,4 +58,4 @@ def verticals(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 )
 def coverage_levels(spark, sf_dir):
     """The matrix of all companies and verticals, and every company's detail."""
-    return quality.coverage_levels(verticals(spark, sf_dir), kit.entities(spark, sf_dir))
+    return quality.coverage_levels(verticals(spark, sf_dir), kit.entities(spark, sf_dir), once=["prices"])

@@ -116,3 +116,16 @@ def test_coverage_has_both_levels(spark):
         (1, "prices", "bucket", "2024-01", 3, 2, "01-02", "01-03"), (1, "prices", "bucket", "2024-02", 1, 1, "02-01", "02-01"), (1, "prices", "vertical", "", 4, 3, "01-02", "02-01"), (2, "papers", "vertical", "", 0, 0, "", ""), (2, "prices", "vertical", "", 0, 0, "", ""),
     ]
     assert quality.coverage_levels({"prices": prices.limit(0)}, companies.limit(0)).count() == 0
+
+
+def test_coverage_holds_dates_by_month_and_counts_told_once(spark):
+    from finfacts.operators import quality
+
+    days = ["2024-01-01", "2024-01-31", "2024-01-31", "2024-02-01", "2024-02-29", "0001-01-01", "-0001-01-01", None, None]
+    prices = spark.createDataFrame([(1, d, b) for d in days for b in ("x", "y", None)], "entity_id long, day string, bucket string").selectExpr("entity_id", "CAST(day AS DATE) AS period", "CAST(day AS DATE) AS at", "bucket")
+    companies = spark.createDataFrame([(1, "A")], "entity_id long, ticker string")
+    named = prices.selectExpr("entity_id", "CAST(period AS STRING) AS period", "at", "bucket")
+    rows = lambda df: sorted((r.vertical, r.level, r.bucket or "", r.n_rows, r.periods) for r in df.select("vertical", "level", "bucket", "n_rows", "periods").collect())
+    got = rows(quality.coverage_levels({"all": prices, "once": prices, "named": named, "named once": named}, companies, once=["once", "named once"]))
+    want = lambda v, n: [(v, "bucket", "", n, 6), (v, "bucket", "x", n, 6), (v, "bucket", "y", n, 6), (v, "vertical", "", 3 * n, 6)]
+    assert got == want("all", 9) + want("named", 9) + want("named once", 7) + want("once", 7)

@@ -81,3 +81,8 @@ def test_versions_are_picked_before_they_become_a_row_per_concept(spark, sf):
 def test_runs_meet_the_resolutions_of_their_ticker_only(spark, sf):
     text = plan(catalog.QUERIES["resolving_runs"](spark, sf))
     assert re.search(r"Left keys \[2\]: \[b#\d+L?, .*whose", text)
+
+
+def test_coverage_groups_no_single_days_and_makes_no_sums_of_values(spark, sf):
+    text = plan(catalog.QUERIES["coverage_levels"](spark, sf))
+    assert "bit_or" in text and "Expand" not in text and "l_extendedprice" not in text
