@@ -86,3 +86,5 @@ def test_runs_meet_the_resolutions_of_their_ticker_only(spark, sf):
 def test_coverage_groups_no_single_days_and_makes_no_sums_of_values(spark, sf):
     text = plan(catalog.QUERIES["coverage_levels"](spark, sf))
     assert "bit_or" in text and "Expand" not in text and "l_extendedprice" not in text
+    for name in ("coverage_matrix", "expected_coverage"):
+        assert "bit_or" in plan(catalog.QUERIES[name](spark, sf)), name
