@@ -1,8 +1,8 @@
 """Driver packets and transcript briefs: what a store holds on many questions at once, one nested row per question, with its gaps graded.
 
 Every kind of evidence meets the questions in one equi-join on entity and period. What is found goes into one tagged union that a single
-aggregation folds by question. Texts are cut to the best few of a question before they are shuffled: row numbers under a bound are limited where the
-rows are read. A question's facts, segments and ids of documents are kept whole.
+aggregation folds by question. Texts are cut to the best few of an entity's period before they are shuffled: row numbers under a bound are limited where
+the rows are read. A question's facts, segments and ids of documents are kept whole.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import search
-from .text import evidence_score
 
 # Concepts and sections that a packet reads, its search, what phrases of a text are worth, the score of strong evidence.
 CONCEPTS = ("revenue", "gross_profit", "operating_income", "cfo", "capital_expenditures")
@@ -45,16 +44,22 @@ TOPICS = {
 EXCERPT = 420
 
 
-def _patterns(groups: tuple) -> dict[str, int]:
-    """A pattern of whole words for each group, with its worth."""
-    said = lambda p: re.escape(p).replace(r"\ \.\.\.\ ", " .* ").replace(r"\#", r"\d+(?:\.\d+)?")
-    return {r"\b(?:" + "|".join(map(said, phrases)) + r")\b": worth for worth, *phrases in groups}
+def _worth(text: Column, groups: tuple) -> Column:
+    """Whole words of each group, by their worth. A pattern is run on texts that hold the longest sure piece of one of its phrases: the others have no match."""
+    pattern = lambda p: re.escape(p).replace(r"\ \.\.\.\ ", " .* ").replace(r"\#", r"\d+(?:\.\d+)?")
+    total = F.lit(0)
+    for worth, *phrases in groups:
+        pieces = {max(re.split(r" \.\.\. |#", p), key=len) for p in phrases}
+        held = reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in sorted(pieces) if not any(q != p and q in p for q in pieces)])
+        total = total + F.when(held, F.regexp_count(text, F.lit(r"\b(?:" + "|".join(map(pattern, phrases)) + r")\b")) * worth).otherwise(0)
+    return total
 
 
-def worth(text: Column, title: Column, flat: Column) -> Column:
-    """What a text's first 2,400 characters and its title say of growth, less what is boilerplate; flat takes 60 off."""
-    said = F.lower(F.concat_ws(" ", title, F.substring(F.coalesce(text, F.lit("")), 1, LEAD)))
-    return evidence_score(said, _patterns(WORTH), _patterns(AGAINST)) - F.when(flat, FLAT).otherwise(0)
+def worth(text: Column, title: Column, flat: Column, lead: int | None = LEAD) -> Column:
+    """What a text's first `lead` characters (None: all of them) and its title say of growth, less what is boilerplate; flat takes 60 off."""
+    text = F.coalesce(text, F.lit(""))
+    said = F.lower(F.concat_ws(" ", title, text if lead is None else F.substring(text, 1, lead)))
+    return _worth(said, WORTH) - _worth(said, AGAINST) - F.when(flat, FLAT).otherwise(0)
 
 
 def period_key(year: Column, quarter: Column) -> Column:
@@ -65,7 +70,7 @@ def _best(rows: DataFrame, by: list[str], order: list[Column], most: int, name:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= most)
 
 
-def driver_packets(questions: DataFrame, metrics: DataFrame, facts: DataFrame, segments: DataFrame, documents: DataFrame, chunks: DataFrame, turns: DataFrame, index: DataFrame, limit: int = 3, query: str = SEARCH) -> DataFrame:
+def driver_packets(questions: DataFrame, metrics: DataFrame, facts: DataFrame, segments: DataFrame, documents: DataFrame, chunks: DataFrame, turns: DataFrame, index: DataFrame, limit: int = 3, query: str = SEARCH, whole: bool = False) -> DataFrame:
     """A row per question on what drove an entity's revenue in a fiscal year or quarter.
 
     questions: question_id (once each), entity_id, fiscal_year, fiscal_quarter (null: the year). metrics: entity_id, period_key, period_end, revenue and others.
@@ -74,8 +79,8 @@ def driver_packets(questions: DataFrame, metrics: DataFrame, facts: DataFrame, s
     release), place (the lowest first within a document), title, depth (of its headings), published_at, text. turns and index: as for search_turns.
     All tables hold current rows only. Of several metrics of a period the last one counts, of several segment facts of one dimension that with the largest id.
 
-    A year's releases are its own, then those of the fourth quarter that ends with it; its turns are the fourth quarter's. Of the first 8 * limit chunks (12 or more)
-    of a kind, the newest documents' first, the best of STRONG or more stay. Columns: the question's, status, checks (what failed hard), gaps, metric, prior_metric,
+    A year's releases are its own, then those of the fourth quarter that ends with it; its turns are the fourth quarter's. whole: of all chunks of a kind, by their
+    whole texts, the best of STRONG or more stay; else of the first 8 * limit chunks (12 or more), the newest documents' first, by the first 2,400 characters. Columns: the question's, status, checks (what failed hard), gaps, metric, prior_metric,
     revenue_growth, facts, segments, discussion, releases, turns, document_count, and the ids of all facts, chunks and documents in it.
     Without metrics or a document of the period the status is HARD_FAIL and no gaps are told; with gaps it is SOFT_GAP, else PASS.
     """
@@ -105,18 +110,22 @@ def driver_packets(questions: DataFrame, metrics: DataFrame, facts: DataFrame, s
     places = F.array_compact(F.array(place("discussion", F.col("key"), True, none), place("release", F.col("key"), True, none), F.when(annual & F.col("metric").isNotNull(), place("release", F.col("call"), False, F.col("metric.period_end")))))
     wanted = base.select("question_id", "entity_id", F.explode(places).alias("p")).select("question_id", "entity_id", "p.*")
     kept = ["question_id", "kind"]
-    found = wanted.join(chunks, ["entity_id", "period_key", "kind"]).where(F.col("own") | (F.col("period_end") == F.col("ends")))
-    found = _best(found, kept, [F.desc("own"), F.desc_nulls_last("published_at"), F.asc("artifact_id"), F.asc("place"), F.asc("chunk_id")], max(8 * limit, 12), "nth")
     flat = (F.col("kind") == "discussion") & (F.coalesce("depth", F.lit(0)) <= 1)
-    found = found.withColumn("score", worth(F.col("text"), F.col("title"), flat))
-    found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*kept).orderBy(F.desc("score"), "place", "chunk_id")))
+    scored = chunks.withColumn("score", worth(F.col("text"), F.col("title"), flat, None if whole else LEAD))
+    best = [F.desc("score"), F.asc("place"), F.asc("chunk_id")]
+    newest_first = [F.desc_nulls_last("published_at"), F.asc("artifact_id"), F.asc("place"), F.asc("chunk_id")]
+    order, most = (best, limit) if whole else (newest_first, max(8 * limit, 12))
+    few = _best(scored, ["entity_id", "period_key", "kind", "period_end"], order, most, "nth")  # all questions order a period's chunks alike
+    found = wanted.join(few, ["entity_id", "period_key", "kind"]).where(F.col("own") | (F.col("period_end") == F.col("ends")))
+    found = _best(found, kept, order if whole else [F.desc("own"), *order], most, "nth")
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*kept).orderBy(*best)))
     good = (F.col("rank") <= limit) & (F.col("score") >= STRONG)
     chunk = F.struct("kind", "score", F.when(good, F.struct("rank", "chunk_id", "artifact_id", "score", "text")).alias("best"))
     found = found.select("question_id", chunk.alias("chunk"))
 
     hits = search.matching_turns(turns, index, query).withColumnsRenamed({"entity": "entity_id", "period": "call"}).select("entity_id", "call", "turn_id", "score", "period_end", "ordinal", "speaker", "text")
-    heard = _best(asked.select("question_id", "entity_id", "call").join(hits, ["entity_id", "call"]), ["question_id"], [F.desc("score"), F.desc_nulls_last("period_end"), F.asc("ordinal"), F.asc("turn_id")], limit, "rank")
-    heard = heard.select("question_id", F.struct("rank", "turn_id", "score", "speaker", "text").alias("turn"))
+    heard = _best(hits, ["entity_id", "call"], [F.desc("score"), F.desc_nulls_last("period_end"), F.asc("ordinal"), F.asc("turn_id")], limit, "rank")
+    heard = asked.join(heard, ["entity_id", "call"]).select("question_id", F.struct("rank", "turn_id", "score", "speaker", "text").alias("turn"))
 
     question = F.struct("entity_id", "fiscal_year", "fiscal_quarter", "key", "metric", "prior_metric")
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [base.select("question_id", question.alias("q")), told, parts, listed, found, heard])

@@ -50,7 +50,7 @@ def built(spark, sf_dir):
     metrics = ops.pivot_wide(rows, list(packets.CONCEPTS), kit.KEYS).select("entity_id", F.col("fiscal_period_label").alias("period_key"), "period_end", *packets.CONCEPTS)
     segments = _segment_facts(spark, sf_dir).select(((F.col("entity_id") * 10_000 + F.col("fiscal_year")) * 100 + F.regexp_extract("dimension_label", "([0-9]+)$", 1).cast("int")).alias("fact_id"), "entity_id", F.col("fiscal_period_label").alias("period_key"), "dimension_type", "dimension_key", "dimension_label", "value")
     documents, chunks, turns = _filed(spark, sf_dir)
-    return packets.driver_packets(questions(spark, sf_dir), metrics, facts, segments, documents, chunks, turns, search.postings(turns, "turn_id", "text"), query='"driven by" or demand')
+    return packets.driver_packets(questions(spark, sf_dir), metrics, facts, segments, documents, chunks, turns, search.postings(turns, "turn_id", "text"), query='"driven by" or demand', whole=True)
 
 
 _SLOT = "CASE doc_id // 20 % 5 " + " ".join(f"WHEN {n} THEN {{{n}}}" for n in range(5)) + " END"
@@ -71,8 +71,7 @@ _LIST = "array_to_string(list(%s ORDER BY %s), ',')"
     listed="SELECT question_id, count(*) FILTER (WHERE f.k = q.k) AS n_docs, " + _LIST % ("doc_id", "doc_id") + " AS ids FROM q JOIN filed f ON f.entity_id = q.entity_id AND f.fy = q.fy AND (q.fq IS NULL OR f.k = q.k) GROUP BY 1",
     said_="SELECT doc_id, entity_id, k, published, i - 1 AS i, doc_id * 1000000 + i - 1 AS id, (doc_id + i - 1) % 4 = 0 AS says FROM (SELECT doc_id, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents) JOIN filed USING (doc_id)",
     nearby="SELECT question_id, s.*, CASE i % 3 WHEN 0 THEN 'discussion' ELSE 'release' END AS kind, s.k = q.k AS own, CASE WHEN says THEN 22 ELSE 0 END - CASE WHEN i % 3 = 0 AND i % 2 = 1 THEN 60 ELSE 0 END AS score FROM q JOIN now_ USING (question_id) JOIN said_ s ON s.entity_id = q.entity_id AND i % 3 < 2 AND (s.k = q.k OR (q.fq IS NULL AND s.k = q.ck AND i % 3 = 1 AND now_.period_end = DATE '1996-12-31'))",
-    first_="SELECT * FROM nearby QUALIFY row_number() OVER (PARTITION BY question_id, kind ORDER BY own DESC, published DESC, doc_id, i) <= 24",
-    best="SELECT *, row_number() OVER (PARTITION BY question_id, kind ORDER BY score DESC, i, id) AS n FROM first_",
+    best="SELECT *, row_number() OVER (PARTITION BY question_id, kind ORDER BY score DESC, i, id) AS n FROM nearby",
     texts="SELECT question_id, " + ", ".join(f"array_to_string(list(id ORDER BY n) FILTER (WHERE kind = '{k}' AND n <= 3 AND score >= 12), ',') AS {k}, max(score) FILTER (WHERE kind = '{k}') AS {k}_score" for k in ("discussion", "release")) + " FROM best GROUP BY 1",
     heard="SELECT question_id, " + _LIST % ("id", "n") + " AS turns FROM (SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY i, id) AS n FROM q JOIN said_ s ON s.entity_id = q.entity_id AND s.k = q.ck AND i % 3 = 2 AND says) WHERE n <= 3 GROUP BY 1",
     graded="""SELECT question_id, n_docs, ids, n_seg, discussion, release, turns, concat_ws(',', CASE WHEN before IS NULL THEN 'no_prior_metrics' END, CASE WHEN n_seg IS NULL THEN 'no_segments' WHEN n_prior = 0 THEN 'no_prior_segments' END,

@@ -1,12 +1,13 @@
 """Driver packets, answers made of them and transcript briefs, by hand."""
 
 import datetime
+import re
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from finfacts.operators import packets, search
+from finfacts.operators import packets, search, text
 
 DAY = datetime.date(2024, 12, 31)
 GROWTH = "Revenue growth was driven by demand from customers."
@@ -77,6 +78,27 @@ def test_limits_take_the_newest_documents_first_and_keep_the_best(spark, store):
     assert [c.chunk_id for c in r.discussion] == [21, 35, 28] and "no_release" in r.gaps
 
 
+def test_whole_packets_choose_among_all_chunks_and_whole_texts(spark, store):
+    """The best is the oldest of 40 and says so at its end only; a release says it once, after 40 that don't."""
+    rows = [(i, 500 + i, 1, "FY2024", DAY, kind, 0, "", 2, datetime.date(2025, 1, 1) + datetime.timedelta(i), "x " * 2000 + GROWTH * (3 if i == 0 else kind == "discussion")) for i in range(41) for kind in ("discussion", "release")]
+    rows = [(r[0] + 1000 * (r[5] == "release"), *r[1:]) for r in rows]
+    rows[1] = (*rows[1][:-1], GROWTH)
+    some = store | {"chunks": spark.createDataFrame(rows, store["chunks"].schema)}
+    r = packets.driver_packets(spark.createDataFrame([(1, 1, 2024, None)], FULL), **some, whole=True).collect()[0]
+    assert [(c.chunk_id, c.score) for c in r.discussion] == [(0, 75), (1, 25), (2, 25)] and [c.chunk_id for c in r.releases] == [1000]
+
+
+def test_worth_holds_what_evidence_scores_hold(spark):
+    """Patterns that are left out for want of a piece of their phrases have no match."""
+    said = [" ".join(p.replace("...", "of it").replace("#", "7.5") + end for _, *phrases in groups for p in phrases) for groups in (packets.WORTH, packets.AGAINST) for end in ("", "x", ".")] + ["Growth\nwas DRIVEN BY demand", "increased 3 % year over year"]
+    rows = spark.createDataFrame([(t,) for t in said], "t string")
+    pattern = lambda p: re.escape(p).replace(r"\ \.\.\.\ ", " .* ").replace(r"\#", r"\d+(?:\.\d+)?")
+    patterns = lambda groups: {r"\b(?:" + "|".join(map(pattern, phrases)) + r")\b": worth for worth, *phrases in groups}
+    plain = text.evidence_score(F.lower("t"), patterns(packets.WORTH), patterns(packets.AGAINST))
+    got = rows.select(packets.worth(F.col("t"), F.lit(None).cast("string"), F.lit(False), None).alias("a"), plain.alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and got[0].a > 50
+
+
 def test_answers_cite_what_their_packets_hold(asked):
     got = {r.question_id: r for r in packets.driver_answers(asked).collect()}
     assert got[1].answer.split("\n")[0] == "Entity 1 FY2024: revenue grew 25.0%, from $2.00B [F:11] to $2.50B [F:10]." and got[1].status == "verified"
