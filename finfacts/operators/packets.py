@@ -2,7 +2,7 @@
 
 Every kind of evidence meets the questions in one equi-join on entity and period. What is found goes into one tagged union that a single
 aggregation folds by question. Texts are cut to the best few of an entity's period before they are shuffled: row numbers under a bound are limited where
-the rows are read. A question's facts, segments and ids of documents are kept whole.
+the rows are read. A question's facts, segments and ids of documents are kept whole. The questions are as many as the entities and are never broadcast.
 """
 
 from __future__ import annotations
@@ -89,6 +89,7 @@ def driver_packets(questions: DataFrame, metrics: DataFrame, facts: DataFrame, s
     asked = asked.withColumns({"key": period_key(F.col("fiscal_year"), F.col("fiscal_quarter")), "before": period_key(F.col("fiscal_year") - 1, F.col("fiscal_quarter")), "call": period_key(F.col("fiscal_year"), F.coalesce("fiscal_quarter", F.lit(4)))})
     both = asked.select("question_id", "entity_id", F.explode(F.array(F.struct(F.col("key").alias("period_key"), F.lit(True).alias("now")), F.struct(F.col("before").alias("period_key"), F.lit(False).alias("now")))).alias("p")).select("question_id", "entity_id", "p.*")
     now, on = F.col("now"), ["entity_id", "period_key"]
+    asked, both = asked.hint("merge"), both.hint("merge")
 
     metric = F.struct(*[c for c in metrics.columns if c != "entity_id"])
     last = lambda when: F.max_by(F.when(when, metric), F.when(when, F.col("period_end")))
@@ -116,7 +117,7 @@ def driver_packets(questions: DataFrame, metrics: DataFrame, facts: DataFrame, s
     newest_first = [F.desc_nulls_last("published_at"), F.asc("artifact_id"), F.asc("place"), F.asc("chunk_id")]
     order, most = (best, limit) if whole else (newest_first, max(8 * limit, 12))
     few = _best(scored, ["entity_id", "period_key", "kind", "period_end"], order, most, "nth")  # all questions order a period's chunks alike
-    found = wanted.join(few, ["entity_id", "period_key", "kind"]).where(F.col("own") | (F.col("period_end") == F.col("ends")))
+    found = wanted.hint("merge").join(few, ["entity_id", "period_key", "kind"]).where(F.col("own") | (F.col("period_end") == F.col("ends")))
     found = _best(found, kept, order if whole else [F.desc("own"), *order], most, "nth")
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*kept).orderBy(*best)))
     good = (F.col("rank") <= limit) & (F.col("score") >= STRONG)

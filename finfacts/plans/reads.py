@@ -40,7 +40,7 @@ _SEGF = "SELECT l_suppkey AS entity_id, CAST(year(l_shipdate) AS INTEGER) AS fy,
 
 
 def _segment_facts(spark, sf_dir):
-    items, part = kit.table(spark, sf_dir, "lineitem"), kit.table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    items, part = kit.table(spark, sf_dir, "lineitem"), kit.table(spark, sf_dir, "part").select("p_partkey", "p_brand").hint("merge")  # parts grow with the items: never broadcast
     sums = items.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("entity_id"), F.year("l_shipdate").alias("fiscal_year"), F.col("p_brand").alias("label")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,4)")).cast("decimal(28,4)").alias("value"))
     return sums.select("entity_id", "fiscal_year", F.lit(None).cast("int").alias("fiscal_quarter"), F.lit("annual").alias("period_type"), F.lit("segment").alias("statement"), F.lit("revenue").alias("concept"), "value", F.lit(None).cast("timestamp").alias("superseded_at"), F.lit("brand").alias("dimension_type"), facts.slug_of(F.col("label")).alias("dimension_key"), F.col("label").alias("dimension_label"), F.format_string("FY%d", "fiscal_year").alias("fiscal_period_label"), F.make_date("fiscal_year", F.lit(12), F.lit(31)).alias("period_end"))
 

@@ -78,6 +78,13 @@ def test_versions_are_picked_before_they_become_a_row_per_concept(spark, sf):
     assert some.exceptAll(rows.where("concept IN ('revenue', 'inventory')")).isEmpty() and some.count() * 14 == rows.count()
 
 
+def test_packets_broadcast_neither_questions_nor_parts(spark, sf):
+    """Both grow with the tables, and Spark takes their exploded rows for as small as the table that they come from."""
+    for name, keys in (("driver_packets", "question_id|period_key|fiscal_year|call|p_partkey"), ("segment_facts", "p_partkey")):
+        text = plan(catalog.QUERIES[name](spark, sf))
+        assert "SortMergeJoin" in text and not re.search(rf"BroadcastHashJoin[^\n]*\nLeft keys[^\n]*\nRight keys[^\n]*\b(?:{keys})#", text), name
+
+
 def test_runs_meet_the_resolutions_of_their_ticker_only(spark, sf):
     text = plan(catalog.QUERIES["resolving_runs"](spark, sf))
     assert re.search(r"Left keys \[2\]: \[b#\d+L?, .*whose", text)
