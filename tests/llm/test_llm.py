@@ -536,6 +536,23 @@ def test_lm_base_score_is_brute_force(spark, sf):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)  # the classes help on unseen texts
 
 
+def test_lm_tokens_and_forms_of_odd_texts():
+    texts = [None, "", " \t", "\x0b É a1 \x1c x\x85 ÀB\u00a0c \r\n", "a\ud800b Z\n", "z  Z\fz", "longer-than-ten 0123456789012345 " + "é" * 40]
+    want = [(t or "").encode("utf-8", "surrogatepass").lower().split() + [b""] for t in texts]
+    lengths, number, words = brown_lm.tokens_of(texts)
+    listed = [w.as_buffer().to_pybytes() for w in words]
+    assert lengths.tolist() == [len(t) for t in want] and [listed[i] for i in number] == [w for t in want for w in t]
+    assert listed[0] == b"" and len(set(listed)) == len(listed) and brown_lm._forms(words).tolist() == [brown_lm.form(w) if w else 0 for w in listed]
+
+
+def test_lm_chunks_of_one_task_are_dealt_out(spark, sf, monkeypatch):
+    """A table whose rows one task reads is that task's work no longer than it takes to tokenise them."""
+    plans, table = [], brown_lm.Scratch.table
+    monkeypatch.setattr(brown_lm.Scratch, "table", lambda self, df, name: plans.append((name, df._jdf.queryExecution().toString())) or table(self, df, name))
+    assert brown_lm.score(_shared.documents(spark, sf).limit(20)).count() == 20
+    assert [name for name, _ in plans][0] == "chunks" and "REPARTITION_BY_COL" in plans[0][1]
+
+
 def test_seeds_are_the_most_frequent_words_of_all_chunks(spark):
     """No word makes up one in 20,000 of a chunk's tokens, and a word's counts lie in several chunks."""
     rows = [(str(i), " ".join(f"w{(i * 37 + j * j) % 30011 if j % 60 else i % 300}" for j in range(120)), True) for i in range(1200)]
