@@ -90,6 +90,11 @@ def test_runs_meet_the_resolutions_of_their_ticker_only(spark, sf):
     assert re.search(r"Left keys \[2\]: \[b#\d+L?, .*whose", text)
 
 
+def test_pairs_of_runs_and_resolutions_are_made_in_many_tasks(spark, sf):
+    text = plan(catalog.QUERIES["resolving_runs"](spark, sf))
+    assert "BroadcastExchange" not in text and "SortMergeJoin" in text and text.count("REPARTITION_BY_NUM") == 1
+
+
 def test_coverage_groups_no_single_days_and_makes_no_sums_of_values(spark, sf):
     text = plan(catalog.QUERIES["coverage_levels"](spark, sf))
     assert "bit_or" in text and "Expand" not in text and "l_extendedprice" not in text
